@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -46,6 +47,20 @@ def centroids(df: DataFrame, key: str = "cluster_id", vec: str = "z", normalize:
     return m.select(F.col(key).alias("cluster_id"), mu.alias("mu"))
 
 
+def _row_doubles(cents: DataFrame) -> F.Column:
+    """Number of doubles one centroid row carries (flat or per-head arrays), for size checks."""
+    total = F.lit(0)
+    for f in cents.schema.fields:
+        t = f.dataType
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.ArrayType):
+            total = total + F.size(F.flatten(F.col(f.name)))
+        elif isinstance(t, T.ArrayType):
+            total = total + F.size(F.col(f.name))
+        else:
+            total = total + F.lit(1)
+    return total
+
+
 def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, int]:
     """Give every row of ``df`` the centroid list ``cents ARRAY<STRUCT<cluster_id, mu>>``.
 
@@ -54,7 +69,7 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
     of bounded size; each row is replicated G times and joined without broadcast, so no task
     ever holds more than ``max_bytes`` of centroids. Returns (frame, G).
     """
-    k, d = cents.agg(F.count(F.lit(1)), F.max(F.size("mu"))).first()
+    k, d = cents.agg(F.count(F.lit(1)), F.max(_row_doubles(cents))).first()
     k = int(k or 0)
     d = int(d or 0)
     est = k * max(d, 1) * 8
@@ -62,7 +77,7 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
     packed = (
         cents.withColumn("g", F.pmod(F.col("cluster_id"), F.lit(groups)).cast("int"))
         .groupBy("g")
-        .agg(F.collect_list(F.struct("cluster_id", "mu")).alias("cents"))
+        .agg(F.collect_list(F.struct(*cents.columns)).alias("cents"))
     )
     if groups == 1:
         left = df.withColumn("g", F.lit(0))
@@ -73,7 +88,7 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
 
 def join_own_centroid(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Equi-join each row to the centroid of its own ``cluster_id`` (broadcast only if measured small)."""
-    k, d = cents.agg(F.count(F.lit(1)), F.max(F.size("mu"))).first()
+    k, d = cents.agg(F.count(F.lit(1)), F.max(_row_doubles(cents))).first()
     small = int(k or 0) * max(int(d or 0), 1) * 8 <= max_bytes
     right = F.broadcast(cents) if small else cents
     return df.join(right, "cluster_id")

@@ -132,3 +132,45 @@ def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a").alias("i"),
         F.col("b").alias("j"),
     )
+
+
+# Fixed values (message fixture): concept words used to build emphasis messages.
+CONCEPT_WORDS = ("genre", "tone", "mystery", "suspense", "action", "comedy", "drama", "thriller")
+
+
+def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rename events: every 'purchase' event names cluster ``event_id % 7`` after its user."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return ev.select(
+        (F.col("event_id") % 7).cast("int").alias("cluster_id"),
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("Topic "), F.col("user_id").cast("string")).alias("label"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chat message per event, built from the event's ids and a trigger phrase."""
+    fl = feedback_log(spark, sf_dir)
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    a10, b10 = (F.col("a") % 10).cast("string"), (F.col("b") % 10).cast("string")
+    words = F.array(*[F.lit(w) for w in CONCEPT_WORDS])
+    wa = F.element_at(words, (F.col("a") % 8 + 1).cast("int"))
+    wb = F.element_at(words, (F.col("b") % 8 + 1).cast("int"))
+    odd = F.col("seq") % 2 == 1
+    t = F.col("event_type")
+    content = (
+        F.when((t == "click") & ~odd, F.concat(F.lit("Items "), a, F.lit(" and "), b, F.lit(" should be in the same cluster.")))
+        .when(t == "click", F.concat(F.lit("Clusters "), a10, F.lit(" and "), b10, F.lit(" should be merged.")))
+        .when((t == "error") & ~odd, F.concat(F.lit("Item "), a, F.lit(" should NOT be grouped with item "), b, F.lit(".")))
+        .when(t == "error", F.concat(F.lit("Cluster "), a10, F.lit(" seems too mixed and should be split into separate groups.")))
+        .when((t == "view") & ~odd, F.concat(F.lit("Item "), a, F.lit(" seems to be in the wrong cluster.")))
+        .when(t == "view", F.concat(F.lit("Please rename cluster "), a10, F.lit(" to 'Topic "), b, F.lit("'.")))
+        .when((t == "signup") & ~odd, F.concat(F.lit("Emphasize "), wa, F.lit(" and "), wb, F.lit(" elements when clustering.")))
+        .when(t == "signup", F.concat(F.lit("Focus on "), wa, F.lit(", "), wb, F.lit(" or tone.")))
+        .when(~odd, F.concat(F.lit("Move outlier item "), a, F.lit(" to cluster "), b10, F.lit(".")))
+        .when(F.col("a") % 3 == 0, F.concat(F.lit("Roll back to step "), b10, F.lit(".")))
+        .when(F.col("a") % 3 == 1, F.lit("show history"))
+        .otherwise(F.lit("Please start over."))
+    )
+    return fl.join(ev, "seq").select("session_id", "seq", F.lit("user").alias("role"), content.alias("content"))
