@@ -52,12 +52,14 @@ def item_uncertainty(df: DataFrame, cents: DataFrame, vec: str = "z") -> DataFra
     )
 
 
-UNCERTAIN_ORDER = [F.col("margin").asc_nulls_last(), F.col("dist_to_centroid").desc(), F.col("item_id").asc()]
+def uncertain_order() -> list:
+    """Small margin first, then large distance, then id."""
+    return [F.col("margin").asc_nulls_last(), F.col("dist_to_centroid").desc(), F.col("item_id").asc()]
 
 
 def top_uncertain_items(scores: DataFrame, k: int = 10) -> DataFrame:
     """the k least certain items (small margin first, then large distance, then id)."""
-    return scores.orderBy(*UNCERTAIN_ORDER).limit(k)
+    return scores.orderBy(*uncertain_order()).limit(k)
 
 
 def boundary_pairs_exact(df: DataFrame, scores: DataFrame, seeds: int = 50, max_pairs: int = 20, vec: str = "z") -> DataFrame:
