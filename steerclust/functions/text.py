@@ -94,10 +94,7 @@ def message_type(message) -> Column:
     return expr
 
 
-def classify_message(message) -> Column:
-    """H6: one action struct per message (type, item ids, cluster ids, payload, step) or NULL."""
-    msg = _c(message)
-    ftype = message_type(msg)
+def _action_from_type(msg: Column, ftype: Column) -> Column:
     payload = (
         F.when(ftype == "rename_cluster", F.nullif(F.regexp_extract(msg, QUOTED, 1), F.lit("")))
         .when(ftype == "emphasize_feature", F.nullif(_strip(F.regexp_extract(msg, EMPHASIS_PAYLOAD, 1)), F.lit("")))
@@ -117,6 +114,20 @@ def classify_message(message) -> Column:
     )
 
 
+def classify_message(message) -> Column:
+    """H6: one action struct per message (type, item ids, cluster ids, payload, step) or NULL.
+
+    For DataFrames prefer ``classify_messages``, which evaluates the rule chain once per row."""
+    msg = _c(message)
+    return _action_from_type(msg, message_type(msg))
+
+
+def classify_messages(df, message: str = "content", out: str = "action"):
+    """H6 over a DataFrame: the type is computed in its own projection, then the action struct."""
+    typed = df.withColumn("_ftype", message_type(message))
+    return typed.withColumn(out, _action_from_type(F.col(message), F.col("_ftype"))).drop("_ftype")
+
+
 def describe_step(types) -> Column:
     """H7: ``Applied: t1, t2`` from an ordered array of feedback types."""
     return F.concat(F.lit("Applied: "), F.array_join(_c(types), ", "))

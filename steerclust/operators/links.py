@@ -124,6 +124,7 @@ def cannot_events_status(events: DataFrame, tree: DataFrame | None = None, level
     """Every non-self cannot event with its fate: ``kept``, ``ignored_connected`` (endpoints
     already joined by earlier must links) or ``removed_by_must`` (same pair must-linked later)."""
     if tree is None:
+        events = _materialize(events)
         tree, levels = boruvka_tree(must_edges(events))
     c = canonical_pairs(events.where(F.col("kind") == "cannot")).select(S, "seq", "lo", "hi")
     bn = bottleneck(c.withColumn("a", F.col("lo")).withColumn("b", F.col("hi")), tree, levels)
@@ -141,8 +142,13 @@ def cannot_events_status(events: DataFrame, tree: DataFrame | None = None, level
     return j.select(S, "seq", "lo", "hi", status.alias("status"))
 
 
+def _materialize(events: DataFrame) -> DataFrame:
+    return cut_lineage(events.select(S, "seq", "kind", "i", "j"))
+
+
 def resolve_links(events: DataFrame) -> DataFrame:
     """Exact end state of the sequential store: ``(session_id, kind, i, j)`` with i < j."""
+    events = _materialize(events)
     tree, levels = boruvka_tree(must_edges(events))
     must = must_edges(events).select(S, F.lit("must").alias("kind"), F.col("u").alias("i"), F.col("v").alias("j"))
     st = cannot_events_status(events, tree, levels)
@@ -157,7 +163,7 @@ def resolve_links(events: DataFrame) -> DataFrame:
 def must_link_components(events: DataFrame) -> DataFrame:
     """Connected components of the must graph per session: ``(session_id, item, component)``
     with component = smallest item id; items without must links are not nodes."""
-    edges = must_edges(events)
+    edges = cut_lineage(must_edges(events))
     tree, levels = boruvka_tree(edges)
     nodes = edges.select(S, F.col("u").alias("item")).unionByName(edges.select(S, F.col("v").alias("item"))).distinct()
     cur = nodes.withColumn("anc", F.col("item"))
@@ -173,6 +179,7 @@ def must_link_components(events: DataFrame) -> DataFrame:
 def latent_conflicts(links: DataFrame, events: DataFrame) -> DataFrame:
     """Cannot links kept by the order rule whose endpoints *are* connected by the final must set
     (the reference does not re-check them)."""
+    events = _materialize(events)
     tree, levels = boruvka_tree(must_edges(events))
     c = links.where(F.col("kind") == "cannot").select(S, F.col("i").alias("a"), F.col("j").alias("b"))
     bn = bottleneck(c, tree, levels)
