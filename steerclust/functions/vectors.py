@@ -47,8 +47,16 @@ def cosine_distance(a, b) -> Column:
 
 
 def scale(a, s) -> Column:
+    """Element-wise ``a * s``; ``s`` is evaluated once per row (not once per element)."""
     s = s if isinstance(s, Column) else F.lit(s)
-    return F.transform(_c(a), lambda x: x * s)
+    col = _c(a)
+    return F.zip_with(col, F.array_repeat(s, F.size(col)), lambda x, y: x * y)
+
+
+def divide(a, d) -> Column:
+    """Element-wise ``a / d`` with ``d`` evaluated once per row."""
+    col = _c(a)
+    return F.zip_with(col, F.array_repeat(d, F.size(col)), lambda x, y: x / y)
 
 
 def add(a, b) -> Column:
@@ -70,7 +78,7 @@ def l2_normalize(a, zero: str = "one") -> Column:
         d = n + F.lit(1e-10)
     else:
         d = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(_c(a), lambda x: x / d)
+    return divide(a, d)
 
 
 def split_heads(a, num_heads: int) -> Column:
@@ -130,14 +138,21 @@ def clean_embeddings(a) -> Column:
     )
 
 
-def prepare_cluster_input(a) -> Column:
-    """k-means input: nan→0, +inf→1, −inf→−1, renormalize (norm+1e-10) unless already unit, clip ±10,
-    renormalize again (the reference's unseeded 1e-8 noise is dropped for reproducibility)."""
-    x = safe_array(a)
-    n = norm(x)
-    x = F.when(F.abs(n - F.lit(1.0)) <= F.lit(1e-6), x).otherwise(F.transform(x, lambda v: v / (n + F.lit(1e-10))))
-    x = F.transform(x, lambda v: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), v)))
-    return l2_normalize(x, zero="eps")
+def prepare_cluster_input(df, col: str, out: str | None = None):
+    """B4 on a DataFrame column: nan→0, +inf→1, −inf→−1; divide by norm+1e-10 unless already unit
+    (±1e-6); clip ±10; renormalize (norm+1e-10). The reference's unseeded 1e-8 noise is dropped so
+    runs are reproducible. Each stage is its own projection so no stage is inlined twice."""
+    out = out or col
+    x = df.withColumn("_x", safe_array(col)).withColumn("_n", norm("_x"))
+    x = x.withColumn(
+        "_x",
+        F.when(F.abs(F.col("_n") - F.lit(1.0)) <= F.lit(1e-6), F.col("_x")).otherwise(
+            divide("_x", F.col("_n") + F.lit(1e-10))
+        ),
+    )
+    x = x.withColumn("_x", F.transform("_x", lambda v: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), v))))
+    x = x.withColumn("_n", norm("_x") + F.lit(1e-10))
+    return x.withColumn(out, divide("_x", F.col("_n"))).drop("_x", "_n")
 
 
 def round_array(a, digits: int = 6) -> Column:
