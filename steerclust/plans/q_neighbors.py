@@ -1 +1,129 @@
-"""Plans (filled in as operators land)."""
+"""Neighbour plans: exact / IVF / LSH kNN, boundary pairs by search, nearest cross-cluster items,
+index append and upsert."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import centroids as C
+from ..operators import neighbors as N
+from ..operators import uncertainty as U
+from ..sources import tables as S
+from .common import SQL_CENTROIDS, SQL_ITEMS, finish, with_
+from .q_clusters import SQL_SCORES
+from .registry import register
+
+SQL_U = """u AS (SELECT item_id, cluster_id, list_transform(z, lambda x: x / CASE WHEN sqrt(list_sum(list_transform(z, lambda y: y*y))) = 0
+  THEN 1.0 ELSE sqrt(list_sum(list_transform(z, lambda y: y*y))) END) AS u FROM items)"""
+
+
+@register(
+    "knn_exact",
+    with_(SQL_ITEMS, SQL_U)
+    + """, s AS (SELECT a.item_id, b.item_id AS neighbor_id, list_inner_product(a.u, b.u) AS similarity FROM u a CROSS JOIN u b),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, neighbor_id) - 1 AS rank FROM s)
+SELECT item_id, CAST(rank AS BIGINT) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM r WHERE rank < 10""",
+)
+def q_knn_exact(spark, sf):
+    return finish(N.knn_exact(S.items(spark, sf), 10))
+
+
+def _seed_order(spark, sf, n: int):
+    it = S.items(spark, sf)
+    scores = U.item_uncertainty(it, C.centroids(it))
+    top = U.top_uncertain_items(scores, n)
+    w = Window.orderBy(*U.uncertain_order())  # bounded: n rows
+    return it, top.select(F.col("item_id").alias("seed_id"), (F.row_number().over(w) - 1).alias("seed_rank"))
+
+
+SQL_SEEDS = """seeds AS (SELECT item_id AS seed_id, row_number() OVER (ORDER BY margin ASC, dist_to_centroid DESC, item_id) - 1 AS seed_rank
+  FROM scores QUALIFY seed_rank < {n})"""
+
+
+@register(
+    "boundary_pairs_knn",
+    with_(SQL_ITEMS, SQL_CENTROIDS, SQL_SCORES, SQL_U, SQL_SEEDS.format(n=10))
+    + """, hits AS (SELECT s.seed_id, s.seed_rank, b.item_id AS neighbor_id, list_inner_product(a.u, b.u) AS sim
+  FROM seeds s JOIN u a ON a.item_id = s.seed_id CROSS JOIN u b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY sim DESC, neighbor_id) - 1 AS rank FROM hits),
+h AS (SELECT rk.*, least(seed_id, neighbor_id) AS lo, greatest(seed_id, neighbor_id) AS hi FROM rk
+  JOIN items ls ON ls.item_id = rk.seed_id JOIN items ln ON ln.item_id = rk.neighbor_id
+  WHERE rank BETWEEN 1 AND 10 AND ls.cluster_id <> ln.cluster_id),
+uq AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY seed_rank, rank) = 1),
+kept AS (SELECT *, row_number() OVER (ORDER BY seed_rank, rank) AS found FROM uq QUALIFY found <= 12)
+SELECT seed_id AS i, neighbor_id AS j, round(1.0 - sim, 6) AS distance,
+  CAST(row_number() OVER (ORDER BY 1.0 - sim, found) AS BIGINT) AS pair_rank FROM kept""",
+)
+def q_boundary_pairs_knn(spark, sf):
+    it, seeds = _seed_order(spark, sf, 10)
+    return finish(N.boundary_pairs_knn(it, seeds, max_pairs=12))
+
+
+@register(
+    "nearest_cross_cluster",
+    with_(SQL_ITEMS, SQL_CENTROIDS, SQL_SCORES, SQL_SEEDS.format(n=5))
+    + """, c AS (SELECT s.seed_id AS i, b.item_id AS j, list_distance(a.z, b.z) AS d FROM seeds s
+  JOIN items a ON a.item_id = s.seed_id JOIN items b ON b.cluster_id <> a.cluster_id)
+SELECT i, j, round(d, 6) AS distance FROM c QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1""",
+)
+def q_nearest_cross_cluster(spark, sf):
+    it, seeds = _seed_order(spark, sf, 5)
+    return finish(N.nearest_cross_cluster(it, seeds.select("seed_id")))
+
+
+SQL_IVF = """cells AS (SELECT item_id AS cell, u AS mu FROM u WHERE item_id < 16),
+sc AS (SELECT u.item_id, c.cell, list_inner_product(u.u, c.mu) AS ip FROM u CROSS JOIN cells c),
+dcell AS (SELECT item_id, cell FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ip DESC, cell) = 1),
+qcell AS (SELECT item_id, cell FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ip DESC, cell) <= 4),
+cand AS (SELECT q.item_id, d.item_id AS neighbor_id, list_inner_product(uq.u, ud.u) AS similarity
+  FROM qcell q JOIN dcell d USING (cell) JOIN u uq ON uq.item_id = q.item_id JOIN u ud ON ud.item_id = d.item_id)"""
+
+
+@register(
+    "knn_ivf",
+    with_(SQL_ITEMS, SQL_U, SQL_IVF)
+    + """SELECT item_id, CAST(rank AS BIGINT) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, neighbor_id) - 1 AS rank FROM cand) WHERE rank < 10""",
+)
+def q_knn_ivf(spark, sf):
+    """IVF with 16 fixed coarse cells (the first items' vectors, as the start rows of FIXTURES) and 4 probes."""
+    it = S.items(spark, sf)
+    cells = it.where(F.col("item_id") < 16).select(F.col("item_id").cast("int").alias("cluster_id"), F.col("z").alias("mu"))
+    return finish(N.knn_ivf(it, cells, k=10, nprobe=4))
+
+
+@register("knn_lsh")
+def q_knn_lsh(spark, sf):
+    """Random-hyperplane LSH join (8 planes × 4 tables); approximate, checked by recall in tests."""
+    return finish(N.knn_lsh(S.items(spark, sf), k=10, planes=8, tables=4))
+
+
+@register(
+    "append_vectors",
+    with_(SQL_ITEMS)
+    + """, allv AS (SELECT item_id, z FROM items UNION ALL
+  SELECT item_id + 1000000, list_transform(list_reverse(z), lambda x: x / CASE WHEN sqrt(list_sum(list_transform(z, lambda y: y*y))) = 0
+    THEN 1.0 ELSE sqrt(list_sum(list_transform(z, lambda y: y*y))) END) FROM items)
+SELECT item_id, round(z[1], 6) AS x0, round(sqrt(list_sum(list_transform(z, lambda y: y*y))), 6) AS norm FROM allv""",
+)
+def q_append_vectors(spark, sf):
+    it = S.items(spark, sf).select("item_id", "z")
+    new = it.select((F.col("item_id") + 1000000).alias("item_id"), F.reverse("z").alias("z"))
+    out = N.append_vectors(it, new)
+    return finish(out.select("item_id", F.col("z")[0].alias("x0"), V.norm("z").alias("norm")))
+
+
+@register(
+    "upsert_vectors",
+    with_(SQL_ITEMS)
+    + """, upd AS (SELECT item_id, cluster_id, list_reverse(z) AS z FROM items WHERE cluster_id = 3),
+allv AS (SELECT * FROM items WHERE item_id NOT IN (SELECT item_id FROM upd) UNION ALL SELECT * FROM upd)
+SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id, round(z[1], 6) AS x0 FROM allv""",
+)
+def q_upsert_vectors(spark, sf):
+    it = S.items(spark, sf)
+    upd = it.where(F.col("cluster_id") == 3).withColumn("z", F.reverse("z"))
+    out = N.upsert_vectors(it, upd)
+    return finish(out.select("item_id", "cluster_id", F.col("z")[0].alias("x0")))
