@@ -1 +1,73 @@
-"""Plans (filled in as operators land)."""
+"""Model plans: k-means (I1, I2), quantizers (I10–I12, A4, A8), projection heads and feedback
+loss (I7, D16, D17), metric training (I8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kmeans as KM
+from ..sources import tables as S
+from .common import SQL_ITEMS, finish, with_
+from .q_quality import sqd
+from .registry import register
+
+SQL_PREP = """p AS (SELECT item_id, list_transform(z, lambda x: x / (sqrt(list_sum(list_transform(z, lambda y: y*y))) + 1e-10)) AS z FROM (
+  SELECT item_id, list_transform(CASE WHEN abs(sqrt(list_sum(list_transform(z, lambda y: y*y))) - 1.0) <= 1e-6 THEN z
+    ELSE list_transform(z, lambda x: x / (sqrt(list_sum(list_transform(z, lambda y: y*y))) + 1e-10)) END,
+    lambda v: greatest(-10.0, least(10.0, v))) AS z FROM items))"""
+
+
+def sql_lloyd(k: int, rounds: int) -> str:
+    """Unrolled Lloyd rounds from the start rows (ids < k) — the oracle twin of ``kmeans.lloyd``."""
+    ctes = [SQL_ITEMS, SQL_PREP, f"c0 AS (SELECT CAST(item_id AS INTEGER) AS cluster_id, z AS mu FROM p WHERE item_id < {k})"]
+    for t in range(1, rounds + 2):
+        ctes.append(
+            f"""a{t} AS (SELECT p.item_id, p.z, c.cluster_id FROM p CROSS JOIN c{t - 1} c
+  QUALIFY row_number() OVER (PARTITION BY p.item_id ORDER BY {sqd('p.z', 'c.mu')}, c.cluster_id) = 1)"""
+        )
+        if t == rounds + 1:
+            break
+        ctes.append(
+            f"""m{t} AS (SELECT cluster_id, list(s / n ORDER BY pos) AS mean FROM (
+  SELECT cluster_id, pos, sum(x) AS s, count(*) AS n FROM (
+    SELECT cluster_id, unnest(z) AS x, unnest(generate_series(0, len(z) - 1)) AS pos FROM a{t}) GROUP BY ALL) GROUP BY cluster_id),
+c{t} AS (SELECT c.cluster_id, coalesce(m.mean, c.mu) AS mu FROM c{t - 1} c LEFT JOIN m{t} m USING (cluster_id))"""
+        )
+    return with_(*ctes)
+
+
+ROUNDS = 5
+
+
+@register("kmeans_fit", sql_lloyd(10, ROUNDS) + f"SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a{ROUNDS + 1}")
+def q_kmeans_fit(spark, sf):
+    it = S.items(spark, sf)
+    labels, _, _ = KM.kmeans_fit(it, KM.start_rows(it, 10), max_iter=ROUNDS, tol=-1.0)
+    return finish(labels)
+
+
+@register(
+    "kmeans_centroids",
+    sql_lloyd(10, ROUNDS)
+    + f"""SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(pos AS BIGINT) AS dim, round(x, 6) AS value FROM (
+  SELECT cluster_id, unnest(list_transform(mu, lambda v: v / (sqrt(list_sum(list_transform(mu, lambda y: y*y))) + 1e-10))) AS x,
+  unnest(generate_series(0, len(mu) - 1)) AS pos FROM c{ROUNDS})""",
+)
+def q_kmeans_centroids(spark, sf):
+    it = S.items(spark, sf)
+    _, cents, _ = KM.kmeans_fit(it, KM.start_rows(it, 10), max_iter=ROUNDS, tol=-1.0)
+    return finish(cents.select("cluster_id", F.posexplode("mu").alias("dim", "value")))
+
+
+@register("grow_k", sql_lloyd(12, ROUNDS) + f"SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a{ROUNDS + 1}")
+def q_grow_k(spark, sf):
+    it = S.items(spark, sf)
+    labels, _, _ = KM.grow_k(it, 10, 2, max_iter=ROUNDS, tol=-1.0)
+    return finish(labels)
+
+
+@register("kmeans_ml")
+def q_kmeans_ml(spark, sf):
+    """Spark ML k-means (k-means|| start, best of 3 seeds); rows-only check."""
+    labels, _, _ = KM.kmeans_ml(S.items(spark, sf), 10)
+    return finish(labels)
