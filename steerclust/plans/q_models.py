@@ -71,3 +71,152 @@ def q_kmeans_ml(spark, sf):
     """Spark ML k-means (k-means|| start, best of 3 seeds); rows-only check."""
     labels, _, _ = KM.kmeans_ml(S.items(spark, sf), 10)
     return finish(labels)
+
+
+# ------------------------------------------------------------------------------------------
+# Quantizers
+# ------------------------------------------------------------------------------------------
+
+from ..functions import vectors as V  # noqa: E402
+from ..operators import quantize as QZ  # noqa: E402
+
+SQL_SQ = """params AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT unnest(z) AS x FROM items)),
+sq AS (SELECT item_id, z, lo, hi, list_transform(z, lambda v: CASE WHEN hi = lo THEN 0
+  ELSE CAST(floor(greatest(0.0, least(1.0, (v - lo) / (hi - lo))) * 255) AS INTEGER) END) AS codes FROM items, params)"""
+
+
+def _max_abs_err(a: str, b: str) -> str:
+    return f"list_max(list_transform(list_zip({a}, {b}), lambda t: abs(t[1] - t[2])))"
+
+
+def _codes_str(col: str = "codes"):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), ",").alias("codes")
+
+
+def _max_err(a: str, b: str):
+    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))).alias("max_abs_error")
+
+
+@register("scalar_quantize", with_(SQL_ITEMS, SQL_SQ) + "SELECT item_id, array_to_string(codes, ',') AS codes FROM sq")
+def q_scalar_quantize(spark, sf):
+    it = S.items(spark, sf)
+    params = QZ.scalar_fit(it, normalize=False)
+    return finish(QZ.scalar_quantize(it, params, 8, normalize=False).select("item_id", _codes_str()))
+
+
+@register(
+    "scalar_dequantize",
+    with_(SQL_ITEMS, SQL_SQ)
+    + f""", rec AS (SELECT item_id, z, list_transform(codes, lambda c: c / 255 * (hi - lo) + lo) AS recon FROM sq)
+SELECT item_id, round({_max_abs_err('recon', 'z')}, 6) AS max_abs_error FROM rec""",
+)
+def q_scalar_dequantize(spark, sf):
+    it = S.items(spark, sf)
+    params = QZ.scalar_fit(it, normalize=False)
+    codes = QZ.scalar_quantize(it, params, 8, normalize=False)
+    rec = QZ.scalar_dequantize(codes, params, 8)
+    return finish(rec.select("item_id", _max_err("recon", "z")))
+
+
+SQL_UNIT = """u AS (SELECT item_id, list_transform(z, lambda x: x / CASE WHEN sqrt(list_sum(list_transform(z, lambda y: y*y))) = 0
+  THEN 1.0 ELSE sqrt(list_sum(list_transform(z, lambda y: y*y))) END) AS z FROM items)"""
+SQL_BQ = """bmean AS (SELECT list(m ORDER BY pos) AS mean FROM (SELECT pos, sum(x) / count(*) AS m FROM (
+  SELECT unnest(z) AS x, unnest(generate_series(0, len(z) - 1)) AS pos FROM u) GROUP BY pos)),
+bq AS (SELECT item_id, z, mean, list_transform(list_zip(z, mean), lambda t: CASE WHEN t[1] - t[2] > 0 THEN 1 ELSE 0 END) AS codes
+  FROM u, bmean)"""
+
+
+@register("binary_quantize", with_(SQL_ITEMS, SQL_UNIT, SQL_BQ) + "SELECT item_id, array_to_string(codes, ',') AS codes FROM bq")
+def q_binary_quantize(spark, sf):
+    it = S.items(spark, sf)
+    params = QZ.binary_fit(it)
+    return finish(QZ.binary_quantize(it, params).select("item_id", _codes_str()))
+
+
+@register(
+    "binary_dequantize",
+    with_(SQL_ITEMS, SQL_UNIT, SQL_BQ)
+    + f""", rec AS (SELECT item_id, z, list_transform(list_zip(codes, mean), lambda t: (t[1] - 0.5) * 2 + t[2]) AS recon FROM bq)
+SELECT item_id, round({_max_abs_err('recon', 'z')}, 6) AS max_abs_error FROM rec""",
+)
+def q_binary_dequantize(spark, sf):
+    it = S.items(spark, sf)
+    params = QZ.binary_fit(it)
+    codes = QZ.binary_quantize(it, params)
+    return finish(QZ.binary_dequantize(codes, params).select("item_id", _max_err("recon", "z")))
+
+
+PQ_M, PQ_BITS = 8, 4
+SQL_PQ = f"""sub AS (SELECT item_id, z, [z[s * 8 + 1: s * 8 + 8] for s in range(8)] AS sv FROM u),
+book AS (SELECT s, code, sv[s + 1] AS cv FROM (SELECT item_id AS code, sv FROM sub WHERE item_id < {1 << PQ_BITS}), range(8) r(s)),
+enc AS (SELECT item_id, s, code FROM (SELECT b.item_id, k.s, k.code, list_sum(list_transform(list_zip(b.sv[k.s + 1], k.cv),
+    lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM sub b CROSS JOIN book k)
+  QUALIFY row_number() OVER (PARTITION BY item_id, s ORDER BY d, code) = 1),
+pq AS (SELECT item_id, list(code ORDER BY s) AS codes FROM enc GROUP BY item_id)"""
+
+
+def _pq_codes(spark, sf):
+    it = S.items(spark, sf)
+    book = QZ.pq_codebook_from_rows(it, PQ_M, PQ_BITS)
+    return it, book, QZ.pq_encode(it, book, PQ_M)
+
+
+@register("pq_encode", with_(SQL_ITEMS, SQL_UNIT, SQL_PQ) + "SELECT item_id, array_to_string(codes, ',') AS codes FROM pq")
+def q_pq_encode(spark, sf):
+    _, _, codes = _pq_codes(spark, sf)
+    return finish(codes.select("item_id", _codes_str()))
+
+
+SQL_PQ_DEC = f"""dec AS (SELECT e.item_id, list(k.cv ORDER BY e.s) AS parts FROM enc e JOIN book k ON k.s = e.s AND k.code = e.code
+  GROUP BY e.item_id),
+rec AS (SELECT d.item_id, u.z, flatten(d.parts) AS recon FROM dec d JOIN u USING (item_id))
+SELECT item_id, round({_max_abs_err('recon', 'z')}, 6) AS max_abs_error FROM rec"""
+
+
+@register("pq_decode", with_(SQL_ITEMS, SQL_UNIT, SQL_PQ) + ", " + SQL_PQ_DEC)
+def q_pq_decode(spark, sf):
+    it, book, codes = _pq_codes(spark, sf)
+    rec = QZ.pq_decode(codes, book).withColumn("u", V.l2_normalize("z", zero="one"))
+    return finish(rec.select("item_id", _max_err("recon", "u")))
+
+
+@register("quantized_store", with_(SQL_ITEMS, SQL_UNIT, SQL_PQ) + ", " + SQL_PQ_DEC)
+def q_quantized_store(spark, sf):
+    """A4 round trip: codes and codebook written as Parquet, read back, decoded."""
+    it, book, codes = _pq_codes(spark, sf)
+    path = QZ.save_store(codes.select("item_id", "codes"), book, kind="pq")
+    c2, b2 = QZ.load_store(spark, path)
+    rec = QZ.pq_decode(c2, b2).join(it.select("item_id", V.l2_normalize("z", zero="one").alias("u")), "item_id")
+    return finish(rec.select("item_id", _max_err("recon", "u")))
+
+
+@register(
+    "storage_sizes",
+    with_(SQL_ITEMS)
+    + f""", n AS (SELECT sum(len(z)) AS nv, count(*) AS nr FROM items)
+SELECT 'scalar' AS method, CAST(nv * 4 AS BIGINT) AS original_bytes, CAST(nv AS BIGINT) AS quantized_bytes,
+  round(nv * 4.0 / nv, 6) AS savings FROM n
+UNION ALL SELECT 'binary', CAST(nv * 4 AS BIGINT), CAST(nv AS BIGINT), round(nv * 4.0 / nv, 6) FROM n
+UNION ALL SELECT 'pq', CAST(nv * 4 AS BIGINT), CAST(nr * {PQ_M} AS BIGINT), round(nv * 4.0 / (nr * {PQ_M}), 6) FROM n""",
+)
+def q_storage_sizes(spark, sf):
+    it = S.items(spark, sf)
+    sq = QZ.scalar_quantize(it, QZ.scalar_fit(it, normalize=False), 8, normalize=False)
+    bq = QZ.binary_quantize(it, QZ.binary_fit(it))
+    _, _, pq = _pq_codes(spark, sf)
+    out = (
+        QZ.storage_sizes(it, sq).withColumn("method", F.lit("scalar"))
+        .unionByName(QZ.storage_sizes(it, bq).withColumn("method", F.lit("binary")))
+        .unionByName(QZ.storage_sizes(it, pq).withColumn("method", F.lit("pq")))
+    )
+    return finish(out.select("method", "original_bytes", "quantized_bytes", "savings"))
+
+
+@register("pq_fit")
+def q_pq_fit(spark, sf):
+    """Codebook learned by Lloyd rounds in all subspaces at once; rows-only check."""
+    book = QZ.pq_fit(S.items(spark, sf), PQ_M, PQ_BITS, rounds=5)
+    flat = book.select(F.posexplode("codebook").alias("subspace", "codes")).select(
+        "subspace", F.posexplode("codes").alias("code", "centre")
+    )
+    return finish(flat.select("subspace", "code", V.norm("centre").alias("centre_norm")))
