@@ -26,11 +26,18 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Importing the plan modules fills the registry.
-    from . import q_clusters, q_feedback, q_links, q_neighbors, q_quality, q_text, q_vectors  # noqa: F401
-    try:
-        from . import q_models  # noqa: F401
-    except ImportError:  # pragma: no cover
-        pass
+    from . import (  # noqa: F401
+        q_active,
+        q_clusters,
+        q_feedback,
+        q_links,
+        q_models,
+        q_neighbors,
+        q_quality,
+        q_state,
+        q_text,
+        q_vectors,
+    )
 
 
 def queries() -> dict[str, QueryFn]:
