@@ -34,6 +34,7 @@ def _load_all() -> None:
         q_models,
         q_neighbors,
         q_quality,
+        q_report,
         q_state,
         q_text,
         q_vectors,
