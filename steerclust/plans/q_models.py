@@ -220,3 +220,126 @@ def q_pq_fit(spark, sf):
         "subspace", F.posexplode("codes").alias("code", "centre")
     )
     return finish(flat.select("subspace", "code", V.norm("centre").alias("centre_norm")))
+
+
+# ------------------------------------------------------------------------------------------
+# Projection heads, feedback loss, decorrelation, metric training
+# ------------------------------------------------------------------------------------------
+
+from ..operators import centroids as C  # noqa: E402
+from ..operators import links as L  # noqa: E402
+from ..operators import metric as M  # noqa: E402
+from .common import SQL_FEEDBACK_LOG, SQL_HEADS  # noqa: E402
+from .q_links import SQL_EV  # noqa: E402
+
+
+@register(
+    "project_heads",
+    with_(SQL_ITEMS)
+    + """, wts AS (SELECT h, o, i, ((((h * 4096 + o * 64 + i) * 2654435761) % 4294967296) / 4294967296.0 * 2 - 1) * 0.1 * sqrt(3.0) AS w
+  FROM range(2) t1(h), range(64) t2(o), range(64) t3(i)),
+x AS (SELECT item_id, unnest(z) AS v, unnest(generate_series(0, 63)) AS i FROM items),
+y AS (SELECT x.item_id, w.h, w.o, sum(w.w * x.v) AS y FROM x JOIN wts w USING (i) GROUP BY ALL),
+n AS (SELECT item_id, h, sqrt(sum(y * y)) AS nrm FROM y GROUP BY ALL)
+SELECT y.item_id, CAST(h AS BIGINT) AS head, CAST(o AS BIGINT) AS dim, round(y / greatest(nrm, 1e-12), 6) AS value
+FROM y JOIN n USING (item_id, h)""",
+)
+def q_project_heads(spark, sf):
+    it = S.items(spark, sf).select("item_id", F.col("z").alias("h"))
+    W, b = M.init_adapter(2, 64, init="hash")
+    z = M.project(it, W, b)
+    long = z.select("item_id", F.posexplode("heads").alias("head", "v")).select("item_id", "head", F.posexplode("v").alias("dim", "value"))
+    return finish(long)
+
+
+SQL_LOSS = """hf AS (SELECT item_id, cluster_id, h0, h1, list_concat(h0, h1) AS z FROM heads),
+cm_dims AS (SELECT cluster_id, pos, sum(x) / count(*) AS m FROM (
+  SELECT cluster_id, unnest(z) AS x, unnest(generate_series(0, len(z) - 1)) AS pos FROM hf) GROUP BY ALL),
+cm_raw AS (SELECT cluster_id, list(m ORDER BY pos) AS mean FROM cm_dims GROUP BY cluster_id),
+cm AS (SELECT cluster_id, list_transform(mean, lambda x: x / (sqrt(list_sum(list_transform(mean, lambda y: y*y))) + 1e-10)) AS mu FROM cm_raw),
+ch AS (SELECT cluster_id, mu[1:32] AS c0, mu[33:64] AS c1 FROM cm),
+own AS (SELECT f.item_id, f.cluster_id, f.h0, f.h1, c.c0, c.c1,
+  list_sum(list_transform(list_zip(f.h0, c.c0), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS q0,
+  list_sum(list_transform(list_zip(f.h1, c.c1), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS q1 FROM hf f JOIN ch c USING (cluster_id)),
+lc AS (SELECT (avg(q0) + avg(q1)) / 2 AS loss_cluster FROM own),
+lk AS (SELECT l.session_id, l.kind,
+  list_sum(list_transform(list_zip(a.h0, b.h0), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d0,
+  list_sum(list_transform(list_zip(a.h1, b.h1), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d1
+  FROM links l JOIN hf a ON a.item_id = l.i JOIN hf b ON b.item_id = l.j),
+ml AS (SELECT session_id, 5.0 * least(avg(greatest(d0 - 0.2, 0.0)), avg(greatest(d1 - 0.2, 0.0))) AS loss_must_link FROM lk
+  WHERE kind = 'must' GROUP BY session_id),
+cl AS (SELECT session_id, 5.0 * least(avg(greatest(1.0 - d0, 0.0)), avg(greatest(1.0 - d1, 0.0))) AS loss_cannot_link FROM lk
+  WHERE kind = 'cannot' GROUP BY session_id),
+fl AS (SELECT DISTINCT session_id, a AS item_id FROM feedback_log WHERE feedback_type = 'miscluster'),
+mis AS (SELECT fl.session_id, 3.0 * least(avg(greatest(1.0 - q0, 0.0)), avg(greatest(1.0 - q1, 0.0))) AS loss_miscluster
+  FROM fl JOIN own USING (item_id) GROUP BY fl.session_id),
+sess AS (SELECT session_id FROM ml UNION SELECT session_id FROM cl UNION SELECT session_id FROM mis)"""
+
+
+@register(
+    "feedback_loss",
+    "WITH RECURSIVE " + SQL_FEEDBACK_LOG + ",\n" + SQL_EV + ",\n" + SQL_ITEMS + ",\n" + SQL_HEADS + ",\n" + SQL_LOSS
+    + """
+SELECT s.session_id, round(coalesce(ml.loss_must_link, 0.0), 6) AS loss_must_link,
+  round(coalesce(cl.loss_cannot_link, 0.0), 6) AS loss_cannot_link, round(coalesce(mis.loss_miscluster, 0.0), 6) AS loss_miscluster,
+  round(lc.loss_cluster, 6) AS loss_cluster,
+  round(lc.loss_cluster + 3.0 * (coalesce(ml.loss_must_link, 0.0) + coalesce(cl.loss_cannot_link, 0.0) + coalesce(mis.loss_miscluster, 0.0)), 6) AS total
+FROM sess s LEFT JOIN ml USING (session_id) LEFT JOIN cl USING (session_id) LEFT JOIN mis USING (session_id), lc""",
+)
+def q_feedback_loss(spark, sf):
+    hd = S.heads(spark, sf)
+    flat = hd.select("item_id", "cluster_id", V.flatten_heads("heads").alias("z"))
+    cents = C.centroids(flat).select("cluster_id", V.split_heads("mu", 2).alias("mu"))
+    links = L.resolve_links(S.link_events(spark, sf))
+    fl = S.feedback_log(spark, sf)
+    flags = fl.where(F.col("feedback_type") == "miscluster").select("session_id", F.col("a").alias("item_id"))
+    terms = M.feedback_loss_terms(hd, cents, links, flags, keys=("session_id",))
+    out = M.combine_loss(terms, keys=("session_id",))
+    return finish(out.select("session_id", "loss_must_link", "loss_cannot_link", "loss_miscluster", "loss_cluster", "total"))
+
+
+@register(
+    "decorrelation",
+    with_(SQL_ITEMS, SQL_HEADS)
+    + """, x AS (SELECT item_id, 0 AS h, unnest(h0) AS v, unnest(generate_series(0, 31)) AS i FROM heads
+  UNION ALL SELECT item_id, 1 AS h, unnest(h1) AS v, unnest(generate_series(0, 31)) AS i FROM heads),
+s1 AS (SELECT h, i, sum(v) AS s FROM x GROUP BY ALL),
+s2 AS (SELECT a.h, a.i, b.i AS j, sum(a.v * b.v) AS s FROM x a JOIN x b ON a.item_id = b.item_id AND a.h = b.h GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM heads)
+SELECT round(CASE WHEN n < 2 THEN 0.0 ELSE sum(pow((s2.s - a.s * b.s / n) / (n - 1) - CASE WHEN s2.i = s2.j THEN 1.0 ELSE 0.0 END, 2)) END, 6)
+  AS decorrelation FROM s2 JOIN s1 a ON a.h = s2.h AND a.i = s2.i JOIN s1 b ON b.h = s2.h AND b.i = s2.j, n GROUP BY n""",
+)
+def q_decorrelation(spark, sf):
+    return finish(M.decorrelation(S.heads(spark, sf)))
+
+
+def _training_inputs(spark, sf):
+    """One store replaying the whole feedback log in seq order; base vectors = the embeddings."""
+    base = S.items(spark, sf).select("item_id", F.col("z").alias("h"), "cluster_id")
+    ev = S.link_events(spark, sf).withColumn("session_id", F.lit(0).cast("long"))
+    links = L.resolve_links(ev).select("kind", "i", "j")
+    fl = S.feedback_log(spark, sf)
+    flags = fl.where(F.col("feedback_type") == "miscluster").select(F.col("a").alias("item_id")).distinct()
+    W, b = M.init_adapter(2, 64, seed=42)
+    proj = M.project(base.select("item_id", "h"), W, b)
+    flat = proj.join(base.select("item_id", "cluster_id"), "item_id").select("item_id", "cluster_id", V.flatten_heads("heads").alias("z"))
+    start = C.cluster_means(flat).select("cluster_id", F.col("mean").alias("mu"))
+    return base, links, flags, W, b, start
+
+
+def _fit(spark, sf, epochs):
+    base, links, flags, W, b, start = _training_inputs(spark, sf)
+    _, _, hist, _ = M.metric_fit(base, W, b, start, epochs=epochs, links=links, flags=flags)
+    return finish(spark.createDataFrame(hist, "epoch int, loss double, grad_norm double"))
+
+
+@register("metric_fit")
+def q_metric_fit(spark, sf):
+    """Three epochs of analytic-gradient training on the replayed store; rows-only check."""
+    return _fit(spark, sf, 3)
+
+
+@register("metric_fit_epoch")
+def q_metric_fit_epoch(spark, sf):
+    """One training epoch (bench unit)."""
+    return _fit(spark, sf, 1)
