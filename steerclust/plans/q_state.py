@@ -1 +1,109 @@
-"""Session state plans (filled in below)."""
+"""Session-state plans: checkpoint replay, retention, lookup, history, surviving effects, and the
+Parquet checkpoint store. The operation log: every event of a user is a saved step, except that
+every fifth (by seq) is a rollback to (its rank − 3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import state as ST
+from ..sources import tables as S
+from .common import finish
+from .registry import register
+
+
+def ops(spark, sf):
+    ev = S.table(spark, sf, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    r = ev.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.row_number().over(w).alias("r"))
+    return r.select(
+        "session_id",
+        "seq",
+        F.when(F.col("r") % 5 == 0, F.lit("rollback")).otherwise(F.lit("save")).alias("op"),
+        F.when(F.col("r") % 5 == 0, F.col("r") - 3).alias("target"),
+    )
+
+
+SQL_REPLAY = """WITH RECURSIVE ops AS (SELECT user_id AS session_id, event_id AS seq,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+ops2 AS (SELECT session_id, seq, r, CASE WHEN r % 5 = 0 THEN 'rollback' ELSE 'save' END AS op,
+  CASE WHEN r % 5 = 0 THEN r - 3 END AS target FROM ops),
+rec AS (SELECT session_id, 0 AS r, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS BIGINT) AS target,
+    CAST(NULL AS BIGINT) AS step_number, CAST(NULL AS BOOLEAN) AS ok, CAST(0 AS BIGINT) AS lo, CAST(1 AS BIGINT) AS counter
+  FROM (SELECT DISTINCT session_id FROM ops2)
+  UNION ALL
+  SELECT o.session_id, o.r, o.seq, o.op, o.target,
+    CASE WHEN o.op = 'save' THEN rec.counter END,
+    CASE WHEN o.op = 'save' THEN true ELSE o.target BETWEEN rec.lo AND rec.counter - 1 END,
+    CASE WHEN o.op = 'save' THEN greatest(rec.lo, rec.counter + 1 - 10) ELSE rec.lo END,
+    CASE WHEN o.op = 'save' THEN rec.counter + 1 WHEN o.target BETWEEN rec.lo AND rec.counter - 1 THEN o.target + 1 ELSE rec.counter END
+  FROM rec JOIN ops2 o ON o.session_id = rec.session_id AND o.r = rec.r + 1),
+rep AS (SELECT session_id, seq, op, target, step_number, ok, counter AS counter_after, lo AS lo_after FROM rec WHERE r > 0),
+fs AS (SELECT session_id, max_by(lo_after, seq) AS lo, max_by(counter_after, seq) AS counter FROM rep GROUP BY session_id),
+saves AS (SELECT session_id, step_number, max(seq) AS seq FROM rep WHERE op = 'save' GROUP BY ALL),
+kept AS (SELECT s.session_id, s.step_number, s.seq FROM saves s JOIN fs USING (session_id)
+  WHERE s.step_number BETWEEN fs.lo AND fs.counter - 1
+  UNION ALL SELECT session_id, 0, NULL FROM fs WHERE lo = 0)
+"""
+
+
+@register(
+    "checkpoint_replay",
+    SQL_REPLAY + "SELECT session_id, seq, op, target, step_number, ok, counter_after, lo_after FROM rep",
+)
+def q_checkpoint_replay(spark, sf):
+    return finish(ST.replay(ops(spark, sf)))
+
+
+@register("checkpoint_retention", SQL_REPLAY + "SELECT session_id, CAST(step_number AS BIGINT) AS step_number, seq FROM kept")
+def q_checkpoint_retention(spark, sf):
+    return finish(ST.checkpoint_retention(ST.replay(ops(spark, sf))))
+
+
+@register(
+    "checkpoint_lookup",
+    SQL_REPLAY
+    + """, rb AS (SELECT session_id, seq, target, ok FROM rep WHERE op = 'rollback')
+SELECT rb.session_id, rb.seq, rb.target, CASE WHEN rb.ok THEN (SELECT max(s.seq) FROM rep s WHERE s.op = 'save'
+  AND s.session_id = rb.session_id AND s.step_number = rb.target AND s.seq < rb.seq) END AS restored_seq FROM rb""",
+)
+def q_checkpoint_lookup(spark, sf):
+    return finish(ST.checkpoint_lookup(ST.replay(ops(spark, sf))))
+
+
+@register(
+    "show_history",
+    SQL_REPLAY
+    + """SELECT k.session_id, CAST(count(*) AS BIGINT) AS n_entries, CAST(min(step_number) AS BIGINT) AS first_step,
+  CAST(max(step_number) AS BIGINT) AS last_step, CAST(any_value(fs.counter) AS BIGINT) AS current_step
+FROM kept k JOIN fs USING (session_id) GROUP BY k.session_id""",
+)
+def q_show_history(spark, sf):
+    return finish(ST.show_history(ST.replay(ops(spark, sf))))
+
+
+@register(
+    "rollback_effects",
+    SQL_REPLAY
+    + """, t AS (SELECT *, CASE WHEN op = 'rollback' AND ok THEN target END AS tt FROM rep),
+lm AS (SELECT *, min(tt) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later_min FROM t)
+SELECT session_id, seq, CAST(step_number AS BIGINT) AS step_number FROM lm
+WHERE op = 'save' AND (later_min IS NULL OR later_min >= step_number)""",
+)
+def q_rollback_effects(spark, sf):
+    return finish(ST.surviving_saves(ST.replay(ops(spark, sf))))
+
+
+@register(
+    "checkpoint_write",
+    SQL_REPLAY + "SELECT session_id, CAST(step_number AS BIGINT) AS step_number, seq FROM saves",
+)
+def q_checkpoint_write(spark, sf):
+    """A5: the newest save of every (session, step) written as a Parquet state table partitioned by
+    step (one bulk job), read back through partition pruning."""
+    rep = ST.replay(ops(spark, sf))
+    saves = rep.where(F.col("op") == "save").groupBy("session_id", "step_number").agg(F.max("seq").alias("seq"))
+    root = ST.state_root(spark)
+    path = ST.write_state_table(saves, root, "manifest")
+    return finish(spark.read.parquet(path).select("session_id", "step_number", "seq"))
