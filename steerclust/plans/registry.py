@@ -36,6 +36,7 @@ def _load_all() -> None:
         q_quality,
         q_report,
         q_state,
+        q_stream,
         q_text,
         q_vectors,
     )
