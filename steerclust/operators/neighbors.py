@@ -198,3 +198,20 @@ def upsert_vectors(index: DataFrame, updates: DataFrame, vec: str = "z") -> Data
     """I13 upsert: rows with the same id are replaced (left anti join + union)."""
     keep = index.join(updates.select("item_id"), "item_id", "left_anti")
     return keep.unionByName(updates.select(*index.columns))
+
+
+def knn_pq(df: DataFrame, cells: DataFrame, codebook: DataFrame, k: int = 10, nprobe: int = 10, m: int = 8, vec: str = "z") -> DataFrame:
+    """IVF search where the stored vectors are product-quantized: data rows are decoded from
+    their codes (approximate), queries stay exact, scores are inner products; top-k per query."""
+    from . import quantize as QZ
+
+    u = normalized(df.select("item_id", vec), vec, "u").select("item_id", "u")
+    codes = QZ.pq_encode(u.withColumnRenamed("u", "v"), codebook, m, "v", normalize=False)
+    dec = QZ.pq_decode(codes.select("item_id", "codes"), codebook).select("item_id", F.col("recon").alias("u"))
+    ucells = normalized(cells, "mu", "mu")
+    data = assign_cells(dec, ucells, "u", 1).drop("probe")
+    queries = assign_cells(u.withColumnRenamed("item_id", "query_id"), ucells, "u", nprobe).drop("probe")
+    cands = P.knn_within_groups(queries, data, ["cell"], "u", k)
+    return _rank_topk(cands.withColumnRenamed("query_id", "item_id"), "item_id", k).select(
+        "item_id", "rank", "neighbor_id", "similarity"
+    )

@@ -228,10 +228,19 @@ def q_split_members(spark, sf):
     return finish(FB.split_members(assign, t["splits"]))
 
 
-@register(
-    "resolve_action_links",
-    None,
-)
+def _sql_action_links() -> str:
+    from .q_links import SQL_EV
+
+    rest = SQL_EV[SQL_EV.index("me AS ("):]
+    ev = """ev AS (SELECT session_id, seq, kind, least(i, j) AS lo, greatest(i, j) AS hi FROM links_out WHERE i <> j),
+"""
+    return (
+        "WITH RECURSIVE " + ",\n".join([SQL_FEEDBACK_LOG, SQL_MESSAGES, SQL_CLASSIFIED, SQL_VALID, SQL_ASSIGN, SQL_APPLY])
+        + ",\n" + ev + rest + "\nSELECT session_id, kind, i, j FROM links"
+    )
+
+
+@register("resolve_action_links", _sql_action_links())
 def q_resolve_action_links(spark, sf):
     """Full chat path: messages → actions → expanded links → order-exact link store."""
     from ..operators import links as L

@@ -343,3 +343,13 @@ def q_metric_fit(spark, sf):
 def q_metric_fit_epoch(spark, sf):
     """One training epoch (bench unit)."""
     return _fit(spark, sf, 1)
+
+
+@register("refine_round")
+def q_refine_round(spark, sf):
+    """One full feedback round over the documents and the whole message log; rows-only."""
+    from .refine import refine_round
+
+    docs = S.load_items(spark, f"{sf.rstrip('/')}/documents.parquet", id_col="doc_id")
+    out = refine_round(spark, docs, S.messages(spark, sf), n_clusters=5)
+    return finish(out.select("cluster_id", "size", "title"))

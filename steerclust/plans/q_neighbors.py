@@ -127,3 +127,14 @@ def q_upsert_vectors(spark, sf):
     upd = it.where(F.col("cluster_id") == 3).withColumn("z", F.reverse("z"))
     out = N.upsert_vectors(it, upd)
     return finish(out.select("item_id", "cluster_id", F.col("z")[0].alias("x0")))
+
+
+@register("knn_pq")
+def q_knn_pq(spark, sf):
+    """IVF (16 fixed cells, 4 probes) over product-quantized vectors (fixed codebook, 8 × 4 bits)."""
+    from ..operators import quantize as QZ
+
+    it = S.items(spark, sf)
+    cells = it.where(F.col("item_id") < 16).select(F.col("item_id").cast("int").alias("cluster_id"), F.col("z").alias("mu"))
+    book = QZ.pq_codebook_from_rows(it, 8, 4)
+    return finish(N.knn_pq(it, cells, book, k=10, nprobe=4))

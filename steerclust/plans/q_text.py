@@ -251,3 +251,30 @@ def q_describe_step(spark, sf):
         )
     )
     return finish(g.select("response_id", T.describe_step("types").alias("description")))
+
+
+# ------------------------------------------------------------------------------------------
+# Corpus in (A1) and the built-in encoder (A2)
+# ------------------------------------------------------------------------------------------
+
+@register("load_items", "SELECT doc_id AS item_id, text FROM documents")
+def q_load_items(spark, sf):
+    return finish(S.load_items(spark, f"{sf.rstrip('/')}/documents.parquet", id_col="doc_id"))
+
+
+@register(
+    "encode_documents",
+    f"""WITH toks AS (SELECT doc_id AS item_id, unnest({SQL_TOKENS}) AS term FROM documents),
+hv AS (SELECT item_id, CAST(('0x' || substr(md5(term), 1, 6))::INTEGER AS BIGINT) AS v FROM toks),
+cnt AS (SELECT item_id, v % 64 AS bucket, sum(CASE WHEN (v // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS c FROM hv GROUP BY ALL),
+dense AS (SELECT d.doc_id AS item_id, r.k AS dim, coalesce(c.c, 0.0) AS x FROM documents d CROSS JOIN range(64) r(k)
+  LEFT JOIN cnt c ON c.item_id = d.doc_id AND c.bucket = r.k),
+nrm AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM dense GROUP BY item_id)
+SELECT item_id, CAST(dim AS BIGINT) AS dim, round(x / CASE WHEN n = 0 THEN 1.0 ELSE n END, 6) AS value FROM dense JOIN nrm USING (item_id)""",
+)
+def q_encode_documents(spark, sf):
+    from ..sources import encode as E
+
+    docs = S.load_items(spark, f"{sf.rstrip('/')}/documents.parquet", id_col="doc_id")
+    h = E.hash_encode(docs, 64)
+    return finish(h.select("item_id", F.posexplode("h").alias("dim", "value")))
