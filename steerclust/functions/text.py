@@ -85,9 +85,15 @@ def _ids(msg: Column, pattern: str) -> Column:
     return F.transform(nums, lambda n: n.cast("int"))
 
 
-def message_type(message) -> Column:
-    """H6 type: first matching rule on the lower-cased, trimmed message; NULL if none."""
-    m = F.lower(_strip(_c(message)))
+def normalized_message(message) -> Column:
+    """Lower-cased, trimmed message text (the form the typing rules read)."""
+    return F.lower(_strip(_c(message)))
+
+
+def message_type(message, normalized: bool = False) -> Column:
+    """H6 type: first matching rule on the lower-cased, trimmed message; NULL if none.
+    ``normalized=True`` when ``message`` already holds ``normalized_message``."""
+    m = _c(message) if normalized else normalized_message(message)
     expr = F.when(m.isin(*HISTORY_COMMANDS), F.lit("show_history"))
     for ftype, pattern in MESSAGE_RULES:
         expr = expr.when(m.rlike(pattern), F.lit(ftype))
@@ -124,10 +130,22 @@ def classify_message(message) -> Column:
 
 def classify_messages(df, message: str = "content", out: str = "action"):
     """H6 over a DataFrame: the type is computed in its own projection, then the action struct."""
-    typed = df.withColumn("_ftype", message_type(message))
+    norm = df.withColumn("_m", normalized_message(message))
+    typed = norm.withColumn("_ftype", message_type("_m", normalized=True)).drop("_m")
     return typed.withColumn(out, _action_from_type(F.col(message), F.col("_ftype"))).drop("_ftype")
 
 
+def typed_actions(df, keys: list[str], message: str = "content"):
+    """Rows of ``classify_messages`` that carry an action, flattened to the action fields.
+
+    Messages without an action are dropped by exploding a filtered one-element array rather than
+    by a Filter: a filter on the action would be pushed below the projections and re-evaluate
+    the whole rule chain (and whatever built the message) once more per row."""
+    c = classify_messages(df, message)
+    one = F.explode(F.filter(F.array(F.col("action")), lambda a: a.isNotNull())).alias("action")
+    return c.select(*keys, one).select(*keys, "action.*")
+
+
 def describe_step(types) -> Column:
     """H7: ``Applied: t1, t2`` from an ordered array of feedback types."""
     return F.concat(F.lit("Applied: "), F.array_join(_c(types), ", "))

@@ -194,8 +194,7 @@ classified AS (SELECT session_id, seq, content, feedback_type,
 
 def classified_messages(spark, sf):
     msgs = S.messages(spark, sf)
-    a = T.classify_messages(msgs.select("session_id", "seq", "content"), "content")
-    return a.where(F.col("action").isNotNull()).select("session_id", "seq", "content", "action.*")
+    return T.typed_actions(msgs.select("session_id", "seq", "content"), ["session_id", "seq", "content"])
 
 
 @register(

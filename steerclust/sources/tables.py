@@ -150,8 +150,14 @@ def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat message per event, built from the event's ids and a trigger phrase."""
-    fl = feedback_log(spark, sf_dir)
-    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    # one scan: the pair columns are the feedback-log formulas (no self-join of events)
+    fl = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"),
+        F.col("event_id").alias("seq"),
+        "event_type",
+        ((F.col("event_id") * 13 + F.col("user_id")) % 40).alias("a"),
+        ((F.col("event_id") * 29 + 7) % 40).alias("b"),
+    )
     a, b = F.col("a").cast("string"), F.col("b").cast("string")
     a10, b10 = (F.col("a") % 10).cast("string"), (F.col("b") % 10).cast("string")
     words = F.array(*[F.lit(w) for w in CONCEPT_WORDS])
@@ -173,4 +179,4 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("a") % 3 == 1, F.lit("show history"))
         .otherwise(F.lit("Please start over."))
     )
-    return fl.join(ev, "seq").select("session_id", "seq", F.lit("user").alias("role"), content.alias("content"))
+    return fl.select("session_id", "seq", F.lit("user").alias("role"), content.alias("content"))
