@@ -61,6 +61,26 @@ def _row_doubles(cents: DataFrame) -> F.Column:
     return total
 
 
+def measured_size(cents: DataFrame) -> tuple[int, int]:
+    """(rows, doubles per row) of a small table, measured once per DataFrame object (one tiny
+    job) and remembered on it, so repeated joins against the same table do not re-measure."""
+    cached = getattr(cents, "_steerclust_size", None)
+    if cached is None:
+        k, d = cents.agg(F.count(F.lit(1)), F.max(_row_doubles(cents))).first()
+        cached = (int(k or 0), int(d or 0))
+        try:
+            cents._steerclust_size = cached
+        except AttributeError:  # pragma: no cover
+            pass
+    return cached
+
+
+def remember_size(cents: DataFrame, rows: int, doubles: int) -> DataFrame:
+    """Record a size the caller knows (e.g. K centroids of dimension d) to skip the measurement."""
+    cents._steerclust_size = (int(rows), int(doubles))
+    return cents
+
+
 def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, int]:
     """Give every row of ``df`` the centroid list ``cents ARRAY<STRUCT<cluster_id, mu>>``.
 
@@ -69,9 +89,7 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
     of bounded size; each row is replicated G times and joined without broadcast, so no task
     ever holds more than ``max_bytes`` of centroids. Returns (frame, G).
     """
-    k, d = cents.agg(F.count(F.lit(1)), F.max(_row_doubles(cents))).first()
-    k = int(k or 0)
-    d = int(d or 0)
+    k, d = measured_size(cents)
     est = k * max(d, 1) * 8
     groups = max(1, math.ceil(est / max_bytes))
     packed = (
@@ -88,8 +106,8 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
 
 def join_own_centroid(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Equi-join each row to the centroid of its own ``cluster_id`` (broadcast only if measured small)."""
-    k, d = cents.agg(F.count(F.lit(1)), F.max(_row_doubles(cents))).first()
-    small = int(k or 0) * max(int(d or 0), 1) * 8 <= max_bytes
+    k, d = measured_size(cents)
+    small = k * max(d, 1) * 8 <= max_bytes
     right = F.broadcast(cents) if small else cents
     return df.join(right, "cluster_id")
 

@@ -1,9 +1,8 @@
 """k-means (I1) and growing K.
 
 * ``lloyd``: deterministic Lloyd iterations from caller-given start rows. One Spark job per
-  round: assignment against the broadcast centroid table (map-only), per (cluster, dim) partial
-  sums (map-side combine), and the new K-row centre table is checkpointed; only the largest
-  centre move (one number) reaches the driver.
+  round: numpy assignment and per-partition partial sums over Arrow batches, combined by a
+  grouped sum; the K×d centre table (size-checked) is the only state on the driver.
 * ``kmeans_ml``: Spark ML ``KMeans`` (k-means|| start) over several seeds, best by cost.
 
 Input vectors go through B4 (``prepare_cluster_input``); labels come from the raw centres and the
@@ -12,12 +11,15 @@ returned centroids are unit-normalized afterwards, as in the reference.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .centroids import attach_centroids, cluster_means
+from .centroids import MAX_BROADCAST_BYTES, attach_centroids, remember_size
 
 
 def _assign(df: DataFrame, cents: DataFrame, vec: str) -> DataFrame:
@@ -37,6 +39,79 @@ def assign_nearest(df: DataFrame, cents: DataFrame, vec: str = "z") -> DataFrame
     return _assign(df.drop("cluster_id") if "cluster_id" in df.columns else df, cents, vec)
 
 
+def _np_assign(X: np.ndarray, C: np.ndarray, ids: np.ndarray, chunk: int = 4096):
+    """Nearest centre by squared Euclidean distance from direct differences; ties → lowest id."""
+    out_k = np.empty(len(X), dtype=np.int64)
+    out_d = np.empty(len(X))
+    order = np.argsort(ids, kind="stable")
+    Cs, ids_s = C[order], ids[order]
+    for s0 in range(0, len(X), chunk):
+        diff = X[s0 : s0 + chunk, None, :] - Cs[None, :, :]
+        d = np.einsum("nkd,nkd->nk", diff, diff)
+        j = np.argmin(d, axis=1)
+        out_k[s0 : s0 + chunk] = ids_s[j]
+        out_d[s0 : s0 + chunk] = d[np.arange(len(j)), j]
+    return out_k, out_d
+
+
+def _centres(cur: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES):
+    rows = cur.orderBy("cluster_id").collect()  # K×d centre table, size-checked below
+    ids = np.array([r["cluster_id"] for r in rows], dtype=np.int64)
+    C = np.array([r["mu"] for r in rows], dtype=np.float64)
+    if C.size * 8 > max_bytes:
+        raise ValueError("centroid table exceeds the broadcast bound; use kmeans_ml")
+    return ids, C
+
+
+def _round_sums(pts: DataFrame, ids: np.ndarray, C: np.ndarray, vec: str) -> DataFrame:
+    """One pass: assign every point, emit per-partition per-cluster partial sums (long form)."""
+    d = C.shape[1]
+
+    def run(batches):
+        acc_s = np.zeros_like(C)
+        acc_n = np.zeros(len(ids))
+        pos = {int(k): i for i, k in enumerate(ids)}
+        seen = False
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            seen = True
+            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+            k, _ = _np_assign(X, C, ids)
+            idx = np.array([pos[int(x)] for x in k])
+            np.add.at(acc_s, idx, X)
+            np.add.at(acc_n, idx, 1.0)
+        if not seen:
+            return
+        nz = np.nonzero(acc_n)[0]
+        yield pd.DataFrame(
+            {
+                "cluster_id": np.repeat(ids[nz], d + 1).astype(np.int32),
+                "pos": np.tile(np.arange(-1, d), len(nz)).astype(np.int32),
+                "v": np.concatenate([np.concatenate([[acc_n[i]], acc_s[i]]) for i in nz]) if len(nz) else np.zeros(0),
+            }
+        )
+
+    return pts.select(vec).mapInPandas(run, schema="cluster_id int, pos int, v double").groupBy("cluster_id", "pos").agg(
+        F.sum("v").alias("v")
+    )
+
+
+def assign_np(pts: DataFrame, ids: np.ndarray, C: np.ndarray, vec: str = "z") -> DataFrame:
+    """Label rows with their nearest centre (Arrow batches, numpy)."""
+    schema = T.StructType([pts.schema["item_id"], T.StructField("cluster_id", T.IntegerType()), T.StructField("sq_dist", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+            k, dd = _np_assign(X, C, ids)
+            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "cluster_id": k.astype(np.int32), "sq_dist": dd})
+
+    return pts.select("item_id", vec).mapInPandas(run, schema=schema)
+
+
 def lloyd(
     df: DataFrame,
     start: DataFrame,
@@ -47,27 +122,36 @@ def lloyd(
     """I1(b): Lloyd from ``start(cluster_id, mu)``. Empty clusters keep their centre. Stops when
     the largest centre move is ≤ ``tol`` (``tol < 0``: run exactly ``max_iter`` rounds).
 
-    Returns ``(labels(item_id, cluster_id), raw_centroids(cluster_id, mu), iterations)``."""
+    Each round is one distributed pass (assignment + per-partition partial sums in numpy over
+    Arrow batches, combined by a grouped sum); only the K×d centre table returns to the driver,
+    exactly like Spark ML's k-means. Returns ``(labels(item_id, cluster_id), raw_centroids
+    (cluster_id, mu), iterations)``; labels are written once to the shared checkpoint folder."""
+    spark = df.sparkSession
     pts = df.select("item_id", vec)
-    cur = cut_lineage(
-        start.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("mu").cast("array<double>").alias("mu"))
-    )
+    ids, C = _centres(start.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("mu").cast("array<double>").alias("mu")))
     it = 0
     for it in range(1, max_iter + 1):
-        lab = _assign(pts, cur, vec)
-        means = cluster_means(lab.select("cluster_id", vec), "cluster_id", vec)
-        nxt = cur.join(means, "cluster_id", "left").select(
-            "cluster_id",
-            F.coalesce(F.col("mean"), F.col("mu")).alias("mu"),
-            F.when(F.col("mean").isNull(), F.lit(0.0)).otherwise(V.euclidean("mean", "mu")).alias("moved"),
-        )
-        nxt = cut_lineage(nxt)  # K rows: a tiny reliable checkpoint per round keeps lineage flat
-        moved = nxt.agg(F.max("moved")).first()[0] or 0.0
-        cur = nxt.drop("moved")
+        sums = _round_sums(pts, ids, C, vec).collect()  # ≤ K·(d+1) rows
+        n = {}
+        acc = {}
+        for r in sums:
+            k = int(r["cluster_id"])
+            if r["pos"] < 0:
+                n[k] = r["v"]
+            else:
+                acc.setdefault(k, np.zeros(C.shape[1]))[int(r["pos"])] = r["v"]
+        newC = C.copy()
+        for i, k in enumerate(ids):
+            if n.get(int(k), 0) > 0:
+                newC[i] = acc[int(k)] / n[int(k)]
+        moved = float(np.max(np.linalg.norm(newC - C, axis=1))) if len(C) else 0.0
+        C = newC
         if tol >= 0 and moved <= tol:
             break
-    labels = _assign(pts, cur, vec).select("item_id", "cluster_id")
-    return labels, cur, it
+    cents = spark.createDataFrame([(int(k), C[i].tolist()) for i, k in enumerate(ids)], "cluster_id int, mu array<double>")
+    cents = remember_size(cents, len(ids), C.shape[1])
+    labels = cut_lineage(assign_np(pts, ids, C, vec).select("item_id", "cluster_id"))
+    return labels, cents, it
 
 
 def kmeans_fit(df: DataFrame, start: DataFrame, max_iter: int = 100, tol: float = 1e-6, vec: str = "z"):
