@@ -21,17 +21,29 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def vector_sums(df: DataFrame, keys: list[str], vec: str = "z") -> DataFrame:
-    """Per key: ``n``, element-wise ``sum`` array and ``sumsq`` (Σ‖x‖²)."""
+    """Per key: ``n``, element-wise ``sum`` array and ``sumsq`` (Σ‖x‖²) — one scan, one shuffle of
+    K·d partial rows (map-side combined)."""
     per_dim = (
         df.select(*keys, F.posexplode(vec).alias("pos", "x"))
         .groupBy(*keys, "pos")
-        .agg(F.sum("x").alias("s"))
+        .agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.count(F.lit(1)).alias("c"))
     )
-    vec_sum = per_dim.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("sum")
+    return per_dim.groupBy(*keys).agg(
+        F.max("c").alias("n"),
+        F.sum("ss").alias("sumsq"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("sum"),
     )
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(V.sq_norm(vec)).alias("sumsq"))
-    return counts.join(vec_sum, keys)
+
+
+def const_key(df: DataFrame) -> F.Column:
+    """A join key that is 0 on every row but not foldable, so a join against a one-group table
+    stays a (broadcast) hash join instead of being rewritten into a nested-loop join."""
+    simple = [
+        f.name for f in df.schema.fields
+        if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
+    ]
+    col = F.col(simple[0]) if simple else F.size(F.col(df.columns[0]))
+    return F.pmod(F.xxhash64(col), F.lit(1)).cast("int")
 
 
 def cluster_means(df: DataFrame, key: str = "cluster_id", vec: str = "z") -> DataFrame:
@@ -98,7 +110,7 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
         .agg(F.collect_list(F.struct(*cents.columns)).alias("cents"))
     )
     if groups == 1:
-        left = df.withColumn("g", F.lit(0))
+        left = df.withColumn("g", const_key(df))
         return left.join(F.broadcast(packed), "g").drop("g"), 1
     left = df.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     return left.join(packed, "g").drop("g"), groups

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import pairs as P
-from .centroids import attach_centroids, cluster_means, join_own_centroid
+from .centroids import attach_centroids, cluster_means, const_key, join_own_centroid
 
 
 def _label_count_ok(df: DataFrame) -> F.Column:
@@ -22,9 +22,9 @@ def _label_count_ok(df: DataFrame) -> F.Column:
 
 def glue(*frames: DataFrame) -> DataFrame:
     """Put single-row results side by side: equi-join on a constant key (broadcast, no cartesian)."""
-    out = frames[0].withColumn("_one", F.lit(1))
+    out = frames[0].withColumn("_one", const_key(frames[0]))
     for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one", "left")
+        out = out.join(F.broadcast(f.withColumn("_one", const_key(f))), "_one", "left")
     return out.drop("_one")
 
 

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import checkpoint_dir, cut_lineage
+from .centroids import const_key
 
 FLOAT_BYTES = 4  # embeddings are stored as float32
 
 
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
     """Attach a one-row parameter table to every row (broadcast equi-join on a constant)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(params.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return df.withColumn("_one", const_key(df)).join(F.broadcast(params.withColumn("_one", const_key(params))), "_one").drop("_one")
 
 
 def _maybe_normalize(df: DataFrame, vec: str, normalize: bool) -> DataFrame:

@@ -65,15 +65,27 @@ def top_uncertain_items(scores: DataFrame, k: int = 10) -> DataFrame:
 def boundary_pairs_exact(df: DataFrame, scores: DataFrame, seeds: int = 50, max_pairs: int = 20, vec: str = "z") -> DataFrame:
     """Among the ``seeds`` most uncertain items, pairs i<j with different labels, closest first.
 
-    The theta join runs on the bounded seed set only (``seeds`` rows, limit is the feature).
-    """
+    The seed set is bounded by the parameter, so it is gathered into one array row and the pairs
+    are scored inside that row; only the ``max_pairs`` closest leave it (no join, no pair rows)."""
     seed = top_uncertain_items(scores, seeds).select("item_id")
     s = df.join(seed, "item_id", "left_semi").select("item_id", "cluster_id", vec)
-    a = s.select(F.col("item_id").alias("i"), F.col("cluster_id").alias("ci"), F.col(vec).alias("zi"))
-    b = s.select(F.col("item_id").alias("j"), F.col("cluster_id").alias("cj"), F.col(vec).alias("zj"))
-    pairs = F.broadcast(a).join(F.broadcast(b), (F.col("i") < F.col("j")) & (F.col("ci") != F.col("cj")))
-    return (
-        pairs.select("i", "j", V.euclidean("zi", "zj").alias("distance"))
-        .orderBy("distance", "i", "j")
-        .limit(max_pairs)
+    packed = s.agg(F.array_sort(F.collect_list(F.struct("item_id", "cluster_id", F.col(vec).alias("v")))).alias("r"))
+    n = F.size("r")
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda a: F.transform(
+                F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda b: b > a),
+                lambda b: F.struct(
+                    V.euclidean(F.col("r")[a]["v"], F.col("r")[b]["v"]).alias("distance"),
+                    F.col("r")[a]["item_id"].alias("i"),
+                    F.col("r")[b]["item_id"].alias("j"),
+                    (F.col("r")[a]["cluster_id"] != F.col("r")[b]["cluster_id"]).alias("cross"),
+                ),
+            ),
+        )
+    )
+    best = F.slice(F.array_sort(F.filter(pairs, lambda p: p["cross"])), 1, max_pairs)
+    return packed.select(F.explode(best).alias("p")).select(
+        F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.distance").alias("distance")
     )
