@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .centroids import MAX_BROADCAST_BYTES, attach_centroids, remember_size
+from .centroids import MAX_BROADCAST_BYTES, attach_centroids, measured_size, remember_size
 
 
 def _assign(df: DataFrame, cents: DataFrame, vec: str) -> DataFrame:
@@ -55,11 +55,12 @@ def _np_assign(X: np.ndarray, C: np.ndarray, ids: np.ndarray, chunk: int = 4096)
 
 
 def _centres(cur: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES):
-    rows = cur.orderBy("cluster_id").collect()  # K×d centre table, size-checked below
+    k, d = measured_size(cur)
+    if k * d * 8 > max_bytes:
+        raise ValueError("centroid table exceeds the broadcast bound; use kmeans_ml")
+    rows = cur.orderBy("cluster_id").collect()  # K×d centre table, size checked above
     ids = np.array([r["cluster_id"] for r in rows], dtype=np.int64)
     C = np.array([r["mu"] for r in rows], dtype=np.float64)
-    if C.size * 8 > max_bytes:
-        raise ValueError("centroid table exceeds the broadcast bound; use kmeans_ml")
     return ids, C
 
 
