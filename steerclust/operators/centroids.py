@@ -46,6 +46,12 @@ def const_key(df: DataFrame) -> F.Column:
     return F.pmod(F.xxhash64(col), F.lit(1)).cast("int")
 
 
+def cluster_means_keys(df: DataFrame, keys: list[str], vec: str = "z") -> DataFrame:
+    """Mean vectors per composite key ``(keys…, n, mean)``."""
+    s = vector_sums(df, keys, vec)
+    return s.select(*keys, "n", F.transform("sum", lambda x: x / F.col("n")).alias("mean"))
+
+
 def cluster_means(df: DataFrame, key: str = "cluster_id", vec: str = "z") -> DataFrame:
     """Raw per-cluster mean vectors ``(key, n, mean)``."""
     s = vector_sums(df, [key], vec)

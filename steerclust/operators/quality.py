@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import pairs as P
-from .centroids import attach_centroids, cluster_means, const_key, join_own_centroid
+from .centroids import attach_centroids, cluster_means, cluster_means_keys, const_key, join_own_centroid
 
 
 def _label_count_ok(df: DataFrame) -> F.Column:
@@ -135,12 +135,15 @@ def davies_bouldin(df: DataFrame, vec: str = "z") -> DataFrame:
 # ------------------------------------------------------------------------------------------
 
 def head_means(df: DataFrame, heads: str = "heads", num_heads: int | None = None) -> DataFrame:
-    """Per-cluster per-head mean vectors ``(cluster_id, n, mean, hmean ARRAY<ARRAY<DOUBLE>>)``."""
-    if num_heads is None:
-        num_heads = int(df.agg(F.max(F.size(heads))).first()[0] or 1)
-    flat = df.select("cluster_id", V.flatten_heads(heads).alias("flat"))
-    m = cluster_means(flat, "cluster_id", "flat")
-    return m.select("cluster_id", "n", "mean", V.split_heads("mean", num_heads).alias("hmean"))
+    """Per-cluster per-head mean vectors ``(cluster_id, n, mean, hmean ARRAY<ARRAY<DOUBLE>>)``;
+    ``mean`` is the head-major flat form. Keyed by (cluster, head): no probe of H needed."""
+    per_head = df.select("cluster_id", F.posexplode(heads).alias("head", "hv"))
+    m = cluster_means_keys(per_head, ["cluster_id", "head"], "hv")
+    packed = m.groupBy("cluster_id").agg(
+        F.max("n").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("head", "mean"))), lambda e: e["mean"]).alias("hmean"),
+    )
+    return packed.select("cluster_id", "n", V.flatten_heads("hmean").alias("mean"), "hmean")
 
 
 def learned_silhouette(df: DataFrame, heads: str = "heads") -> DataFrame:
