@@ -62,15 +62,22 @@ def boruvka_tree(edges: DataFrame, max_levels: int = 64) -> tuple[DataFrame, int
             F.when((F.col("yy") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("p"),
             "w",
         )
-        ptr = cut_lineage(hooked)
+        # Pointer jumping inside one level: each round is cached and materialized by the same
+        # count that tests convergence (one job per round); the level's result is checkpointed.
+        ptr = hooked.cache()
+        held = [ptr]
         while True:
             nxt = ptr.select(S, F.col("x").alias("p"), F.col("p").alias("pp"))
-            j = ptr.join(nxt, [S, "p"], "left").select(S, "x", "p", F.coalesce("pp", "p").alias("pp"), "w")
-            j = cut_lineage(j)
-            if j.where(F.col("pp") != F.col("p")).isEmpty():
-                ptr = j.select(S, "x", F.col("pp").alias("p"), "w")
+            j = ptr.join(nxt, [S, "p"], "left").select(S, "x", F.coalesce("pp", "p").alias("p"), "w", (F.col("pp") != F.col("p")).alias("_moved"))
+            j = j.cache()
+            held.append(j)
+            moved = j.where(F.col("_moved")).count()
+            ptr = j.drop("_moved")
+            if moved == 0:
                 break
-            ptr = j.select(S, "x", F.col("pp").alias("p"), "w")
+        ptr = cut_lineage(ptr)
+        for h in held:
+            h.unpersist()
         tree_parts.append(ptr.select(F.lit(level).alias("level"), S, F.col("x").alias("node"), F.col("p").alias("parent"), "w"))
         ru = ptr.select(S, F.col("x").alias("u"), F.col("p").alias("ru"))
         rv = ptr.select(S, F.col("x").alias("v"), F.col("p").alias("rv"))
