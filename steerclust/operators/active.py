@@ -30,6 +30,7 @@ def candidate_pool(
     top_pairs: int = 6,
     top_clusters: int = 3,
     vec: str = "z",
+    dedupe: bool = True,
 ) -> DataFrame:
     """G1: uncertain items, boundary pairs (search-based), high-variance clusters — in that order —
     with metrics, display text and a ``position``; then G2: first candidate per display text.
@@ -109,6 +110,8 @@ def candidate_pool(
     pool = pool.withColumn("display_key", F.coalesce(F.col("text"), F.to_json("texts"), F.to_json("examples")))
     w = Window.orderBy("branch", "rank")  # bounded pool
     pool = pool.withColumn("position", F.row_number().over(w) - 1)
+    if not dedupe:
+        return pool
     first = Window.partitionBy("display_key").orderBy("position")
     return pool.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1).drop("_k")
 

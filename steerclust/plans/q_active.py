@@ -75,10 +75,10 @@ def _out(df):
     )
 
 
-def _pool(spark, sf):
+def _pool(spark, sf, dedupe: bool = True):
     it = S.items(spark, sf)
     texts = S.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return A.candidate_pool(it, texts, C.centroids(it)), it
+    return A.candidate_pool(it, texts, C.centroids(it), dedupe=dedupe), it
 
 
 @register("candidate_pool", BASE + OUT_SQL + " FROM pool")
@@ -129,3 +129,30 @@ def q_propose_questions(spark, sf):
     top = U.top_uncertain_items(U.item_uncertainty(it, C.centroids(it)), 3)
     q = A.propose_questions(A.exclude_already_asked(pool, A.asked_items(top)), 3)
     return _out(q).join(finish(q.select("candidate_id", "question_rank")), "candidate_id")
+
+
+@register(
+    "top_pairs",
+    BASE + """SELECT CAST(rank AS BIGINT) AS rank, candidate_id, array_to_string(ids, ',') AS ids, round(metric_1, 6) AS distance
+FROM pc""",
+)
+def q_top_pairs(spark, sf):
+    """the first 6 boundary pairs of the candidate pool (before text dedupe)."""
+    pool, _ = _pool(spark, sf, dedupe=False)
+    p = pool.where(F.col("type") == "pair_boundary")
+    return finish(
+        p.select("rank", "candidate_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"),
+                 F.col("metric_1").alias("distance"))
+    )
+
+
+@register(
+    "top_clusters",
+    BASE + """SELECT CAST(rank AS BIGINT) AS rank, candidate_id, round(metric_1, 6) AS variance,
+  CAST(metric_2 AS BIGINT) AS size FROM cc""",
+)
+def q_top_clusters(spark, sf):
+    """the first 3 high-variance clusters of the candidate pool."""
+    pool, _ = _pool(spark, sf, dedupe=False)
+    c = pool.where(F.col("type") == "cluster_high_variance")
+    return finish(c.select("rank", "candidate_id", F.col("metric_1").alias("variance"), F.col("metric_2").cast("long").alias("size")))
