@@ -146,8 +146,9 @@ def _materialize(events: DataFrame) -> DataFrame:
     return cut_lineage(events.select(S, "seq", "kind", "i", "j"))
 
 
-def resolve_links(events: DataFrame) -> DataFrame:
-    """Exact end state of the sequential store: ``(session_id, kind, i, j)`` with i < j."""
+def resolve_links(events: DataFrame, with_tree: bool = False):
+    """Exact end state of the sequential store: ``(session_id, kind, i, j)`` with i < j.
+    ``with_tree=True`` also returns the merge tree and its depth for reuse."""
     events = _materialize(events)
     tree, levels = boruvka_tree(must_edges(events))
     must = must_edges(events).select(S, F.lit("must").alias("kind"), F.col("u").alias("i"), F.col("v").alias("j"))
@@ -157,14 +158,17 @@ def resolve_links(events: DataFrame) -> DataFrame:
         .select(S, F.lit("cannot").alias("kind"), F.col("lo").alias("i"), F.col("hi").alias("j"))
         .distinct()
     )
-    return must.unionByName(cannot)
+    out = must.unionByName(cannot)
+    return (out, tree, levels) if with_tree else out
 
 
-def must_link_components(events: DataFrame) -> DataFrame:
+def must_link_components(events: DataFrame, tree: DataFrame | None = None, levels: int | None = None) -> DataFrame:
     """Connected components of the must graph per session: ``(session_id, item, component)``
-    with component = smallest item id; items without must links are not nodes."""
+    with component = smallest item id; items without must links are not nodes. A merge tree
+    already built for the same events can be passed in."""
     edges = cut_lineage(must_edges(events))
-    tree, levels = boruvka_tree(edges)
+    if tree is None:
+        tree, levels = boruvka_tree(edges)
     nodes = edges.select(S, F.col("u").alias("item")).unionByName(edges.select(S, F.col("v").alias("item"))).distinct()
     cur = nodes.withColumn("anc", F.col("item"))
     for level in range(levels):

@@ -137,7 +137,7 @@ FROM fl LEFT JOIN lk USING (session_id) LEFT JOIN comp USING (session_id)""",
 )
 def q_constraint_stats(spark, sf):
     ev = _events(spark, sf)
-    links = L.resolve_links(ev)
+    links, tree, levels = L.resolve_links(ev, with_tree=True)
     fl = S.feedback_log(spark, sf)
     words = F.array(*[F.lit(w) for w in S.CONCEPT_WORDS])
     base = fl.groupBy("session_id").agg(
@@ -150,7 +150,7 @@ def q_constraint_stats(spark, sf):
         F.count(F.when(F.col("kind") == "must", 1)).alias("num_must_links"),
         F.count(F.when(F.col("kind") == "cannot", 1)).alias("num_cannot_links"),
     )
-    comp = L.must_link_components(ev).groupBy("session_id").agg(F.countDistinct("component").alias("ml_components"))
+    comp = L.must_link_components(ev, tree, levels).groupBy("session_id").agg(F.countDistinct("component").alias("ml_components"))
     out = base.join(lk, "session_id", "left").join(comp, "session_id", "left").fillna(
         0, ["num_must_links", "num_cannot_links", "ml_components"]
     )

@@ -28,10 +28,6 @@ def _root(spark: SparkSession, root: str | None) -> str:
     return root or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _dynamic_overwrite(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-
 def write_files(df: DataFrame, path: str, files: int = 5, seed: int = 7) -> str:
     """Write a table as ``files`` Parquet files in shuffled row order (a test source)."""
     df.withColumn("_r", F.rand(seed)).repartition(files, "_r").sortWithinPartitions("_r").drop("_r").write.mode(
@@ -50,7 +46,6 @@ def stream_actions(
 ) -> tuple[str, str]:
     """Validate streamed actions. Returns (accepted_path, quarantine_path)."""
     root = _root(spark, root)
-    _dynamic_overwrite(spark)
     acc, qua = f"{root}/accepted", f"{root}/quarantine"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
     if watermark:
@@ -58,8 +53,9 @@ def stream_actions(
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         v = FB.validate_actions(batch).withColumn("batch_id", F.lit(batch_id))
-        v.where(F.col("valid")).write.mode("overwrite").partitionBy("batch_id").parquet(acc)
-        v.where(~F.col("valid")).write.mode("overwrite").partitionBy("batch_id").parquet(qua)
+        dyn = {"partitionOverwriteMode": "dynamic"}  # only this batch's partition is replaced
+        v.where(F.col("valid")).write.mode("overwrite").options(**dyn).partitionBy("batch_id").parquet(acc)
+        v.where(~F.col("valid")).write.mode("overwrite").options(**dyn).partitionBy("batch_id").parquet(qua)
 
     q = (
         stream.writeStream.foreachBatch(per_batch)
@@ -87,7 +83,6 @@ def stream_links(
 ) -> str:
     """Keep the resolved link store current while link events arrive; returns its path."""
     root = _root(spark, root)
-    _dynamic_overwrite(spark)
     events_path, links_path = f"{root}/events", f"{root}/links"
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
@@ -104,7 +99,7 @@ def stream_links(
             .dropDuplicates(["session_id", "seq"])
         )
         res = L.resolve_links(ev.drop("bucket")).withColumn("bucket", bucket)
-        res.write.mode("overwrite").partitionBy("bucket").parquet(links_path)
+        res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(links_path)
 
     q = (
         stream.writeStream.foreachBatch(per_batch)
