@@ -42,9 +42,22 @@ def _load_all() -> None:
     )
 
 
+def _shipped(fn: QueryFn) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..session import ship_package
+
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
+    """Every registered plan; each call first makes the package importable on the workers."""
     _load_all()
-    return dict(_QUERIES)
+    return {name: _shipped(fn) for name, fn in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
