@@ -123,11 +123,14 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
 
 
 def join_own_centroid(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Equi-join each row to the centroid of its own ``cluster_id`` (broadcast only if measured small)."""
-    k, d = measured_size(cents)
-    small = k * max(d, 1) * 8 <= max_bytes
-    right = F.broadcast(cents) if small else cents
-    return df.join(right, "cluster_id")
+    """Equi-join each row to the centroid of its own ``cluster_id``. No hint and no driver-side
+    measurement: adaptive execution measures the centroid side when it is materialized and
+    broadcasts it only if it is small, otherwise it keeps a shuffle join (with skew splitting
+    for a hot cluster). A size already known on ``cents`` is used to broadcast up front."""
+    known = getattr(cents, "_steerclust_size", None)
+    if known is not None and known[0] * max(known[1], 1) * 8 <= max_bytes:
+        return df.join(F.broadcast(cents), "cluster_id")
+    return df.join(cents, "cluster_id")
 
 
 def _fill_range(stats: DataFrame, spark, n: int, fill: dict) -> DataFrame:
