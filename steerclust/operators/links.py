@@ -64,13 +64,19 @@ def boruvka_tree(edges: DataFrame, max_levels: int = 64) -> tuple[DataFrame, int
         )
         ptr = cut_lineage(hooked)
         while True:
-            nxt = ptr.select(S, F.col("x").alias("p"), F.col("p").alias("pp"))
-            j = ptr.join(nxt, [S, "p"], "left").select(S, "x", "p", F.coalesce("pp", "p").alias("pp"), "w")
+            # pointer doubling: q = p(p(x)); in the same pass test whether q is already a root
+            # (p(q) == q), so no extra round is needed to confirm convergence
+            look = ptr.select(S, F.col("x").alias("_k"), F.col("p").alias("_v"))
+            j = (
+                ptr.join(look.withColumnRenamed("_k", "p").withColumnRenamed("_v", "q"), [S, "p"], "left")
+                .withColumn("q", F.coalesce("q", "p"))
+                .join(look.withColumnRenamed("_k", "q").withColumnRenamed("_v", "r"), [S, "q"], "left")
+                .select(S, "x", F.col("q").alias("p"), "w", (F.coalesce("r", "q") != F.col("q")).alias("_open"))
+            )
             j = cut_lineage(j)
-            if j.where(F.col("pp") != F.col("p")).isEmpty():
-                ptr = j.select(S, "x", F.col("pp").alias("p"), "w")
+            ptr = j.drop("_open")
+            if j.where(F.col("_open")).isEmpty():
                 break
-            ptr = j.select(S, "x", F.col("pp").alias("p"), "w")
         tree_parts.append(ptr.select(F.lit(level).alias("level"), S, F.col("x").alias("node"), F.col("p").alias("parent"), "w"))
         ru = ptr.select(S, F.col("x").alias("u"), F.col("p").alias("ru"))
         rv = ptr.select(S, F.col("x").alias("v"), F.col("p").alias("rv"))
