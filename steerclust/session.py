@@ -75,3 +75,20 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def recommended_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict[str, str]:
+    """Settings for a cluster run sized from the input: ~128 MB scan splits, shuffle partitions
+    so that a partition is ~256 MB (at least 2 per core), adaptive execution with partition
+    coalescing and skew splitting. Applied by the caller when building the session."""
+    cores = max(1, executor_cores * executors)
+    parts = max(2 * cores, int(input_bytes / (256 * 1024 * 1024)) + 1)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
