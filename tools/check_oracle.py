@@ -18,13 +18,16 @@ from steerclust.sources.tables import TABLES
 from steerclust.session import local_session
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm_val(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return v if STRICT else round(v, 5)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
