@@ -64,7 +64,7 @@ def q_stream_actions(spark, sf):
     """J1 over the feedback log written as 5 shuffled Parquet files."""
     log = action_log(spark, sf)
     src = FS.write_files(log, _scratch(spark, "actions-src"), files=5)
-    acc, qua = FS.stream_actions(spark, src, log.schema, watermark="36500 days", max_files_per_trigger=2)
+    acc, qua = FS.stream_actions(spark, src, log.schema, watermark="36500 days", max_files_per_trigger=5)
     out = FS.read_actions(spark, acc).unionByName(FS.read_actions(spark, qua))
     return finish(out.select("session_id", "seq", "feedback_type", "valid", "reason_code"))
 
@@ -74,5 +74,5 @@ def q_stream_links(spark, sf):
     """J2 over the link events written as 5 shuffled Parquet files."""
     ev = S.link_events(spark, sf)
     src = FS.write_files(ev, _scratch(spark, "links-src"), files=5)
-    path = FS.stream_links(spark, src, ev.schema)
+    path = FS.stream_links(spark, src, ev.schema, max_files_per_trigger=3)
     return finish(spark.read.parquet(path).select("session_id", "kind", "i", "j"))
