@@ -7,7 +7,6 @@ import contextlib
 import itertools
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -268,55 +267,57 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
+def _contract(batches):
+    """Edges of one partition as stars: each node with the smallest node its partition ties it to."""
+    sets = DisjointSets()
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            sets.union(u, v)
+    u, v = sets.stars()
+    yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """Connected components of an edge table: ``(node, root)`` with the smallest node as root.
+    """Connected components of an edge table: ``(node, root)`` with the smallest node as root, for
+    all nodes but the roots.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014): every step is a grouped
-    minimum and a join, written to the shared folder; a node of any degree is reduced by partial
+    Each partition first turns its edges into stars; alternating large-star and small-star steps
+    (Kiveris et al. 2014) then go on until all edges form disjoint stars. Every step is grouped
+    minima and joins, written to the shared folder; a node of any degree is reduced by partial
     aggregation and AQE's skew splitting, and nothing is gathered in one task.
     """
-    cur = materialize(
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "edges"
-    )
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    cur = materialize(pairs.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     for step in itertools.count():
+        roles = cur.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(
+            cur.select("v", F.lit(0), F.lit(1))
+        )
+        unfinished = roles.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child > 1 or child = 1 and root = 1")
+        if unfinished.isEmpty():
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # large star: neighbours above u are hung below the smallest of u and its neighbours
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours at or below u, and u itself, are hung below the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = materialize(small, f"edges{step}")
-        same = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same == nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
-            break
-        cur = nxt
-    return nxt.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+        small = large.join(low, "u").select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v")).where("u <> v")
+        cur = materialize(small.mapInArrow(_contract, "u long, v long").distinct(), f"edges{step}")
 
 
 class DisjointSets:
-    """Union-find over small integers inside one task."""
+    """Union-find inside one task; the smallest member is the root."""
 
-    def __init__(self, labels):
-        self.parent = {int(x): int(x) for x in labels}
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
     def find(self, x: int) -> int:
+        parent = self.parent
         root = x
-        while self.parent[root] != root:
-            root = self.parent[root]
-        while self.parent[x] != root:
-            self.parent[x], x = root, self.parent[x]
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while (up := parent[x]) != root:
+            parent[x], x = root, up
         return root
 
     def union(self, a: int, b: int) -> bool:
@@ -325,3 +326,8 @@ class DisjointSets:
             return False
         self.parent[max(a, b)] = min(a, b)
         return True
+
+    def stars(self) -> tuple[list[int], list[int]]:
+        """Each member that is no root, and its root."""
+        kids = [x for x in self.parent if self.find(x) != x]
+        return kids, [self.find(x) for x in kids]

@@ -4,7 +4,7 @@ Each document's set of distinct word shingles gets ``SAMPLES`` MinHash values. G
 values form bands; documents sharing a band meet. At a similarity of 0.85 a pair misses all 32
 bands with probability 6e-11. The samples are also folded into a parity bitmap (odd sketch,
 Mitzenmacher, Pagh, Pham 2014): the population count of two bitmaps' XOR estimates high
-similarities precisely, and only pairs estimated above ``SCREEN`` (more than six standard
+similarities precisely, and only pairs estimated above ``SCREEN`` (six standard
 deviations below the link threshold) go on to the exact check on full shingle sets.
 
 How groups of any size stay linear where they can:
@@ -37,7 +37,7 @@ SHINGLE = 5
 SAMPLES, ROWS = 128, 4
 BITS = 512
 BLOCK = 256
-SCREEN = 0.6
+SCREEN = 0.65
 LINK = (85, 100)  # 100 * intersection >= 85 * union
 
 _XOR, _MUL = random_words(SAMPLES, 11), random_words(SAMPLES, 12) | U64(1)
@@ -152,30 +152,23 @@ def _sorted_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _forest(batches):
-    """Maximum spanning forest of each block pair's screened graph."""
+    """Maximum spanning forest of each block pair's screened graph, grown from node to node."""
     a: list[int] = []
     b: list[int] = []
     for group in _groups(batches, ["key", "i", "j"]):
         node = group.column("node").to_numpy()
         sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), U64).reshape(len(node), -1)
-        pairs, ests = [], []
-        for r in range(len(node) - 1):
-            e = estimate(sk[r], sk[r + 1 :])
-            ok = np.flatnonzero(e >= SCREEN)
-            pairs.append(np.stack([np.full(len(ok), r), ok + r + 1]))
-            ests.append(e[ok])
-        if not pairs:
-            continue
-        pair, est = np.concatenate(pairs, axis=1), np.concatenate(ests)
-        sets = DisjointSets(range(len(node)))
-        joined = 0
-        for p in np.argsort(-est, kind="stable"):
-            if sets.union(pair[0, p], pair[1, p]):
-                a.append(int(min(node[pair[:, p]])))
-                b.append(int(max(node[pair[:, p]])))
-                joined += 1
-                if joined == len(node) - 1:
-                    break
+        best, tie = np.full(len(node), -1.0), np.zeros(len(node), np.int64)
+        done = np.zeros(len(node), bool)
+        for _ in range(len(node)):
+            r = int(np.where(done, -2.0, best).argmax())
+            if best[r] >= SCREEN:
+                a.append(int(min(node[r], node[tie[r]])))
+                b.append(int(max(node[r], node[tie[r]])))
+            done[r] = True
+            e = estimate(sk[r], sk)
+            nearer = e > best
+            best[nearer], tie[nearer] = e[nearer], r
         if len(a) > 10_000:
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
             a, b = [], []
@@ -210,21 +203,29 @@ def _verify(batches):
 
 
 def _across(batches):
-    """Spanning forest of the exact links between different components inside a block pair."""
+    """Spanning forest of the exact links between different components inside a block pair, the
+    likeliest pairs first; pairs of what is one component by then need no check."""
     for group in _groups(batches, ["key", "i", "j"]):
         node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
-        if len(np.unique(root)) < 2:
+        if (root == root[0]).all():
             continue
         sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), U64).reshape(len(node), -1)
         full = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
-        sets, a, b = DisjointSets(np.unique(root)), [], []
+        left, right, ests = [], [], []
         for r in range(len(node) - 1):
             e = estimate(sk[r], sk[r + 1 :])
-            for t in np.flatnonzero((e >= SCREEN) & (root[r + 1 :] != root[r])) + r + 1:
-                if sets.find(root[r]) != sets.find(root[t]) and linked(full[r], full[t]):
-                    sets.union(root[r], root[t])
-                    a.append(int(min(node[r], node[t])))
-                    b.append(int(max(node[r], node[t])))
+            t = np.flatnonzero((e >= SCREEN) & (root[r + 1 :] != root[r]))
+            left.append(np.full(len(t), r))
+            right.append(t + r + 1)
+            ests.append(e[t])
+        order = np.argsort(-np.concatenate(ests), kind="stable")
+        sets, a, b = DisjointSets(), [], []
+        roots = root.tolist()
+        for r, t in zip(np.concatenate(left)[order].tolist(), np.concatenate(right)[order].tolist()):
+            if sets.find(roots[r]) != sets.find(roots[t]) and linked(full[r], full[t]):
+                sets.union(roots[r], roots[t])
+                a.append(roots[r])
+                b.append(roots[t])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -263,20 +264,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b", "left", "right")
     )
     tested = materialize(full.mapInArrow(_verify, "a long, b long, linked boolean"), "tested")
-    links = tested.where("linked").select("a", "b")
-    roots = materialize(components(links), "roots")
-    fine = met.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-    # groups of the screened graph that hold several components of links, beyond single pairs
-    coarse = components(pairs).withColumnRenamed("root", "key")
-    grouped = fine.join(coarse, "node")
-    open_ = grouped.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low < high")
-    rest = grouped.join(open_.select("key", "size"), "key").join(sketches, "node").join(sets, "node")
-    more = _sorted_groups(_split(rest, "key", "size", BLOCK), ["key", "i", "j"]).mapInArrow(_across, "a long, b long")
-    links = materialize(links.union(more), "links")
-    final = components(links)
-
-    owner = classes.join(final, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
+    roots = materialize(components(tested.where("linked")), "roots")
+    failed = (
+        tested.where("not linked")
+        .join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+        .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        .where("a <> b")
+        .distinct()
+    )
+    # Screened pairs between different components: a group of components tied by such pairs may
+    # hold links that no tested pair shows, unless it is a single pair of documents.
+    coarse = components(failed)
+    keyed = materialize(coarse.union(coarse.select("root", "root").distinct()).toDF("root", "key"), "groups")
+    if not keyed.isEmpty():
+        member = roots.join(keyed, "root").select("node", "root", "key").union(keyed.select(F.col("root").alias("node"), "root", "key"))
+        size = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 2")
+        rest = member.join(size, "key").join(sketches, "node").join(sets, "node")
+        more = materialize(_sorted_groups(_split(rest, "key", "size", BLOCK), ["key", "i", "j"]).mapInArrow(_across, "a long, b long"), "late-links")
+        if not more.isEmpty():
+            above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            lifted = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            roots = materialize(lifted.union(above), "roots")
+
+    owner = classes.join(roots, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     out = rows.select("doc_id", "row_hash", "n_shingles", "d1", "d2")
     placed = out.where("n_shingles > 0").join(owner, ["d1", "d2", "n_shingles"], "left").select("doc_id", "row_hash", "n_shingles", "component_id")
     alone = out.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"))
