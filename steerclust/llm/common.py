@@ -267,6 +267,10 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
+# Edges one task turns into stars in memory.
+TASK_EDGES = 200_000
+
+
 def _contract(batches):
     """Edges of one partition as stars: each node with the smallest node its partition ties it to."""
     sets = DisjointSets()
@@ -281,14 +285,18 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of an edge table: ``(node, root)`` with the smallest node as root, for
     all nodes but the roots.
 
-    Each partition first turns its edges into stars; alternating large-star and small-star steps
-    (Kiveris et al. 2014) then go on until all edges form disjoint stars. Every step is grouped
-    minima and joins, written to the shared folder; a node of any degree is reduced by partial
-    aggregation and AQE's skew splitting, and nothing is gathered in one task.
+    Tasks of ``TASK_EDGES`` edges first turn their edges into stars; unless one task held them all,
+    alternating large-star and small-star steps (Kiveris et al. 2014) go on until all edges form
+    disjoint stars. Every step is grouped minima and joins, written to the shared folder; a node of
+    any degree is reduced by partial aggregation and AQE's skew splitting.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    cur = materialize(pairs.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    pairs = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v"), "pairs")
     for step in itertools.count():
+        tasks = pairs.count() // TASK_EDGES + 1
+        cur = materialize(pairs.coalesce(tasks).mapInArrow(_contract, "u long, v long"), f"stars{step}")
+        if tasks == 1:
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        cur = cur.distinct()
         roles = cur.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(
             cur.select("v", F.lit(0), F.lit(1))
         )
@@ -302,7 +310,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         # small star: neighbours at or below u, and u itself, are hung below the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v")).where("u <> v")
-        cur = materialize(small.mapInArrow(_contract, "u long, v long").distinct(), f"edges{step}")
+        pairs = materialize(small.distinct(), f"pairs{step}")
 
 
 class DisjointSets:
