@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, ship_package
 
 # Text bytes handled at once inside a task (a single longer document is handled on its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Rows of text in one Arrow batch between the JVM and a Python worker.
 BATCH_ROWS = 1000
 
