@@ -82,7 +82,7 @@ EMPHASIS_PAYLOAD = r"(?i)(?:emphasize|focus on|prioritize|pay attention to)\s+(.
 def _ids(msg: Column, pattern: str) -> Column:
     groups = F.regexp_extract_all(msg, F.lit(pattern), 1)
     nums = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), 1)))
-    return F.transform(nums, lambda n: n.cast("int"))
+    return F.transform(nums, lambda n: n.try_cast("int"))
 
 
 def normalized_message(message) -> Column:

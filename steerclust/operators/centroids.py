@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 # Largest centroid table (bytes of doubles) shipped to every task as one broadcast group.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -104,8 +105,10 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
 
     The centroid table is measured first (one tiny job). Up to ``max_bytes`` it is one group,
     broadcast through an equi-join on a constant group key. Beyond that it is split into G groups
-    of bounded size; each row is replicated G times and joined without broadcast, so no task
-    ever holds more than ``max_bytes`` of centroids. Returns (frame, G).
+    of bounded size: each row (numbered, in the shared checkpoint folder) is repeated once per
+    group, joined without broadcast on (group, salt) so that no key holds every row, and its G
+    partial lists are put together again. The list is complete and in ``cluster_id`` order at any
+    size; the second value returned is always 1 (lists per row).
     """
     k, d = measured_size(cents)
     est = k * max(d, 1) * 8
@@ -113,13 +116,19 @@ def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROAD
     packed = (
         cents.withColumn("g", F.pmod(F.col("cluster_id"), F.lit(groups)).cast("int"))
         .groupBy("g")
-        .agg(F.collect_list(F.struct(*cents.columns)).alias("cents"))
+        .agg(F.array_sort(F.collect_list(F.struct(*cents.columns))).alias("cents"))
     )
     if groups == 1:
         left = df.withColumn("g", const_key(df))
         return left.join(F.broadcast(packed), "g").drop("g"), 1
-    left = df.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return left.join(packed, "g").drop("g"), groups
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    left = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).withColumn(
+        "g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    )
+    right = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    whole = left.join(right, ["g", "_salt"]).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("cents"))).alias("cents"))
+    return numbered.join(whole, "_row").drop("_row"), 1
 
 
 def join_own_centroid(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

@@ -9,6 +9,8 @@ in-action order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,8 @@ FEEDBACK_TYPES = (
     "must_link", "cannot_link", "miscluster", "merge_clusters", "rename_cluster", "emphasize_feature",
     "subcluster", "assign_outlier", "rollback", "show_history", "reset_session",
 )
-SUB_ORDER = 1 << 20
+# Links of one action lie between two multiples of this in the order of all links.
+SUB_ORDER = 1 << 28
 ANCHOR_MULT = 1103515245
 ANCHOR_MOD = 2147483648
 
@@ -43,7 +46,10 @@ RESPONSE_SCHEMA = T.StructType(
         T.StructField("reply_to_user", T.StringType()),
     ]
 )
-APOLOGY = "I'm sorry, I had trouble processing that. Could you rephrase?"
+# The reply when a response is rejected as a whole.
+APOLOGY = "That answer could not be read. Please say it in other words."
+# The same text with every action as raw JSON values, to tell a wrong type from an absent field.
+RAW_SCHEMA = T.StructType([T.StructField("actions", T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
 
 
 def parse_action_json(responses: DataFrame, col: str = "response") -> DataFrame:
@@ -53,6 +59,17 @@ def parse_action_json(responses: DataFrame, col: str = "response") -> DataFrame:
     p = F.from_json(F.col(col), RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
     parsed = responses.withColumn("_p", p)
     acts = F.col("_p.actions")
+    raws = F.from_json(F.col(col), RAW_SCHEMA, {"mode": "PERMISSIVE"})["actions"]
+    lists = ("item_ids", "cluster_ids")
+
+    def wrong_type(raw, typed):
+        """A value is there but not of its type, a list holds a null, or the confidence is null."""
+        bad = [raw[f.name].isNotNull() & typed[f.name].isNull() for f in ACTION_SCHEMA.fields]
+        bad += [F.exists(F.coalesce(typed[n], F.array().cast("array<int>")), lambda x: x.isNull()) for n in lists]
+        bad.append(F.map_contains_key(raw, "confidence") & raw["confidence"].isNull())
+        return reduce(lambda a, b: a | b, [F.coalesce(b, F.lit(False)) for b in bad])
+
+    right_types = ~F.exists(F.zip_with(raws, acts, wrong_type), lambda x: x)
     ok_action = lambda a: (
         a["feedback_type"].isin(*FEEDBACK_TYPES)
         & F.coalesce(a["confidence"], F.lit(1.0)).between(0.0, 1.0)
@@ -63,6 +80,7 @@ def parse_action_json(responses: DataFrame, col: str = "response") -> DataFrame:
         & F.col("_p.thought_process").isNotNull()
         & F.col("_p.reply_to_user").isNotNull()
         & F.coalesce(F.forall(acts, ok_action), F.lit(False))
+        & F.coalesce(right_types, F.lit(False))
     )
     return (
         parsed.withColumn("accepted", accepted)
@@ -146,6 +164,13 @@ def first_members(assignments: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+def _checked_place(pos: str) -> F.Column:
+    """The place of a link within its action; more links than ``SUB_ORDER`` are refused, not mixed
+    up with the next action's."""
+    too_many = F.raise_error(F.lit("an action expands to too many links")).cast("int")
+    return F.when(F.col(pos) < SUB_ORDER, F.col(pos)).otherwise(too_many)
+
+
 def apply_actions(actions: DataFrame, assignments: DataFrame, session: str = "session_id") -> dict[str, DataFrame]:
     """Valid actions → ``links (session, seq, kind, i, j)``, ``flags``, ``splits``, ``labels``
     (last rename wins), ``keywords`` (distinct, lower-case)."""
@@ -156,7 +181,7 @@ def apply_actions(actions: DataFrame, assignments: DataFrame, session: str = "se
     direct = v.where(t.isin("must_link", "cannot_link")).select(
         session, "seq", F.when(t == "must_link", "must").otherwise("cannot").alias("kind"),
         F.posexplode(_pairs_in_list(F.col("item_ids"))).alias("pos", "p"),
-    ).select(session, (F.col("seq") * SUB_ORDER + F.col("pos")).alias("seq"), "kind",
+    ).select(session, (F.col("seq") * SUB_ORDER + _checked_place("pos")).alias("seq"), "kind",
              F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j"))
 
     anchors = merge_anchor_ranks(assignments)

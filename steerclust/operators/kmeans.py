@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .centroids import MAX_BROADCAST_BYTES, attach_centroids, measured_size, remember_size
+from .centroids import attach_centroids, remember_size
 
 
 def _assign(df: DataFrame, cents: DataFrame, vec: str) -> DataFrame:
@@ -54,11 +54,8 @@ def _np_assign(X: np.ndarray, C: np.ndarray, ids: np.ndarray, chunk: int = 4096)
     return out_k, out_d
 
 
-def _centres(cur: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES):
-    k, d = measured_size(cur)
-    if k * d * 8 > max_bytes:
-        raise ValueError("centroid table exceeds the broadcast bound; use kmeans_ml")
-    rows = cur.orderBy("cluster_id").collect()  # K×d centre table, size checked above
+def _centres(cur: DataFrame):
+    rows = cur.orderBy("cluster_id").collect()  # the model: K×d numbers, held by the driver as in Spark ML
     ids = np.array([r["cluster_id"] for r in rows], dtype=np.int64)
     C = np.array([r["mu"] for r in rows], dtype=np.float64)
     return ids, C
@@ -165,8 +162,11 @@ def kmeans_fit(df: DataFrame, start: DataFrame, max_iter: int = 100, tol: float
 
 
 def start_rows(df: DataFrame, k: int, vec: str = "z") -> DataFrame:
-    """Start centroids: vectors of the items with ids 0..k−1 (cluster id = item id)."""
-    return df.where(F.col("item_id") < k).select(F.col("item_id").cast("int").alias("cluster_id"), F.col(vec).alias("mu"))
+    """Start centroids: the vectors of the k smallest item ids, whatever ids there are (cluster
+    id = place in id order)."""
+    first = df.select("item_id", vec).orderBy("item_id").limit(k)
+    place = F.row_number().over(Window.orderBy("item_id")) - 1  # k rows
+    return first.select(place.cast("int").alias("cluster_id"), F.col(vec).alias("mu"))
 
 
 def grow_k(df: DataFrame, k: int, delta: int, max_iter: int = 100, tol: float = 1e-6, vec: str = "z"):

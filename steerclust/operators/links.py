@@ -37,7 +37,7 @@ def must_edges(events: DataFrame) -> DataFrame:
     return m.groupBy(S, F.col("lo").alias("u"), F.col("hi").alias("v")).agg(F.min("seq").alias("w"))
 
 
-def boruvka_tree(edges: DataFrame, max_levels: int = 64) -> tuple[DataFrame, int]:
+def boruvka_tree(edges: DataFrame) -> tuple[DataFrame, int]:
     """Borůvka merge tree of a weighted graph with unique weights per session.
 
     ``edges``: ``(session_id, u, v, w)``. Returns ``(tree, levels)`` with tree rows
@@ -48,7 +48,7 @@ def boruvka_tree(edges: DataFrame, max_levels: int = 64) -> tuple[DataFrame, int
     cur = cut_lineage(edges.select(S, "u", "v", "w"))
     tree_parts = []
     level = 0
-    while level < max_levels and not cur.isEmpty():
+    while not cur.isEmpty():
         inc = cur.select(S, F.col("u").alias("x"), F.col("v").alias("y"), "w").unionByName(
             cur.select(S, F.col("v").alias("x"), F.col("u").alias("y"), "w")
         )

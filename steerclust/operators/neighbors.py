@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 from . import pairs as P
 from .centroids import attach_centroids
 
-EXACT_BELOW = 10_000
-
 
 def normalized(df: DataFrame, vec: str = "z", out: str = "u") -> DataFrame:
     return df.withColumn(out, V.l2_normalize(vec, zero="one"))
@@ -28,7 +27,8 @@ def normalized(df: DataFrame, vec: str = "z", out: str = "u") -> DataFrame:
 
 def _rank_topk(cands: DataFrame, qcol: str, k: int) -> DataFrame:
     w = Window.partitionBy(qcol).orderBy(F.col("similarity").desc(), F.col("neighbor_id").asc())
-    return cands.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # filtered on the row number itself, so that Spark limits each group before the shuffle
+    return cands.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def knn_exact(df: DataFrame, k: int = 10, vec: str = "z") -> DataFrame:
@@ -176,13 +176,28 @@ def knn_lsh(df: DataFrame, k: int = 10, planes: int = 8, tables: int = 4, vec: s
             lambda acc, c: acc * 2 + F.when(V.dot("u", c["mu"]) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"),
         ).alias("bucket"),
     )
-    cands = P.knn_within_groups(bits.withColumnRenamed("item_id", "query_id"), bits, ["table", "bucket"], "u", k)
-    best = cands.groupBy("query_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
+    bits = cut_lineage(bits)
+    wanted = min(k, u.count())
+    queries = bits.withColumnRenamed("item_id", "query_id")
+    best = cut_lineage(_distinct_pairs(P.knn_within_groups(queries, bits, ["table", "bucket"], "u", k)))
+    # queries whose buckets hold too few rows look again with fewer planes, down to none (all rows)
+    for dropped in range(1, planes + 1):
+        full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select("query_id")
+        short = queries.join(full, "query_id", "left_anti")
+        if short.isEmpty():
+            break
+        wider = lambda rows: rows.withColumn("bucket", F.shiftright("bucket", dropped))  # noqa: E731, B023
+        more = P.knn_within_groups(wider(short), wider(bits), ["table", "bucket"], "u", k)
+        best = cut_lineage(_distinct_pairs(best.unionByName(more.select(*best.columns))))
     return _rank_topk(best.withColumnRenamed("query_id", "item_id"), "item_id", k).select(
         "item_id", "rank", "neighbor_id", "similarity"
     )
 
 
+def _distinct_pairs(cands: DataFrame) -> DataFrame:
+    return cands.groupBy("query_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbours an approximate join found (per query and overall)."""
     hit = exact.join(approx.select("item_id", "neighbor_id", F.lit(1).alias("_h")), ["item_id", "neighbor_id"], "left")

@@ -92,7 +92,7 @@ def pq_codebook_from_rows(df: DataFrame, m: int = 8, bits: int = 8, vec: str = "
     """Fixed codebook: sub-vectors of the first 2^b items by id (fewer rows → padded with the
     last). One row ``(codebook ARRAY<ARRAY<ARRAY<DOUBLE>>>)`` indexed [subspace][code]."""
     ncodes = 1 << bits
-    x = _maybe_normalize(df.where(F.col("item_id") < ncodes).select("item_id", vec), vec, normalize)
+    x = _maybe_normalize(df.select("item_id", vec).orderBy("item_id").limit(ncodes), vec, normalize)
     rows = x.select("item_id", _subvectors(vec, m).alias("sub"))
     packed = rows.agg(F.array_sort(F.collect_list(F.struct("item_id", "sub"))).alias("r"))
     # transpose [code][subspace] → [subspace][code], padding with the last row up to 2^b codes

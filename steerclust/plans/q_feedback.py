@@ -123,16 +123,16 @@ firsts AS (SELECT * FROM (SELECT cluster_id, item_id, row_number() OVER (PARTITI
   FROM assign) WHERE member_rank <= 3)"""
 
 SQL_APPLY = """v AS (SELECT * FROM valid WHERE reason_code IS NULL),
-direct AS (SELECT session_id, seq * 1048576 + pos - 1 AS seq, CASE feedback_type WHEN 'must_link' THEN 'must' ELSE 'cannot' END AS kind,
+direct AS (SELECT session_id, seq * 268435456 + pos - 1 AS seq, CASE feedback_type WHEN 'must_link' THEN 'must' ELSE 'cannot' END AS kind,
   CAST(p.i AS BIGINT) AS i, CAST(p.j AS BIGINT) AS j FROM (
   SELECT session_id, seq, feedback_type, unnest(prs) AS p, unnest(generate_series(1, len(prs))) AS pos FROM (
     SELECT session_id, seq, feedback_type, flatten(list_transform(generate_series(1, len(item_ids) - 1),
       lambda x: list_transform(generate_series(x + 1, len(item_ids)), lambda y: {'i': item_ids[x], 'j': item_ids[y]}))) AS prs
     FROM v WHERE feedback_type IN ('must_link', 'cannot_link')))),
-merges AS (SELECT m.session_id, m.seq * 1048576 + a1.anchor_rank - 1 AS seq, 'must' AS kind, a1.item_id AS i, a2.item_id AS j
+merges AS (SELECT m.session_id, m.seq * 268435456 + a1.anchor_rank - 1 AS seq, 'must' AS kind, a1.item_id AS i, a2.item_id AS j
   FROM v m JOIN anchors a1 ON a1.cluster_id = m.cluster_ids[1] JOIN anchors a2 ON a2.cluster_id = m.cluster_ids[2]
   AND a2.anchor_rank = a1.anchor_rank WHERE m.feedback_type = 'merge_clusters'),
-outl AS (SELECT o.session_id, o.seq * 1048576 + f.member_rank - 1 AS seq, 'must' AS kind, CAST(o.item_ids[1] AS BIGINT) AS i,
+outl AS (SELECT o.session_id, o.seq * 268435456 + f.member_rank - 1 AS seq, 'must' AS kind, CAST(o.item_ids[1] AS BIGINT) AS i,
   f.item_id AS j FROM v o JOIN firsts f ON f.cluster_id = o.cluster_ids[1] WHERE o.feedback_type = 'assign_outlier'),
 links_out AS (SELECT * FROM direct UNION ALL SELECT * FROM merges UNION ALL SELECT * FROM outl)"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import centroids as C
+from ..operators import kmeans as KM
 from ..operators import neighbors as N
 from ..operators import uncertainty as U
 from ..sources import tables as S
@@ -90,7 +91,7 @@ cand AS (SELECT q.item_id, d.item_id AS neighbor_id, list_inner_product(uq.u, ud
 def q_knn_ivf(spark, sf):
     """IVF with 16 fixed coarse cells (the first items' vectors, as the start rows of FIXTURES) and 4 probes."""
     it = S.items(spark, sf)
-    cells = it.where(F.col("item_id") < 16).select(F.col("item_id").cast("int").alias("cluster_id"), F.col("z").alias("mu"))
+    cells = KM.start_rows(it, 16)
     return finish(N.knn_ivf(it, cells, k=10, nprobe=4))
 
 
@@ -135,6 +136,6 @@ def q_knn_pq(spark, sf):
     from ..operators import quantize as QZ
 
     it = S.items(spark, sf)
-    cells = it.where(F.col("item_id") < 16).select(F.col("item_id").cast("int").alias("cluster_id"), F.col("z").alias("mu"))
+    cells = KM.start_rows(it, 16)
     book = QZ.pq_codebook_from_rows(it, 8, 4)
     return finish(N.knn_pq(it, cells, book, k=10, nprobe=4))

@@ -13,8 +13,8 @@ def test_merge_and_outlier_links(spark):
     )
     t = FB.apply_actions(acts, labels)
     rows = t["links"].orderBy("seq").collect()
-    merge = [r for r in rows if r["seq"] >> 20 == 1]
-    outl = [r for r in rows if r["seq"] >> 20 == 2]
+    merge = [r for r in rows if r["seq"] // FB.SUB_ORDER == 1]
+    outl = [r for r in rows if r["seq"] // FB.SUB_ORDER == 2]
     assert len(merge) == 2  # min(3, 5, 2)
     assert {r["j"] for r in merge} == {5, 6} and all(r["i"] < 5 for r in merge)
     assert [(r["i"], r["j"]) for r in outl] == [(6, 0), (6, 1), (6, 2)]
