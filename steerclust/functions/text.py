@@ -79,10 +79,10 @@ QUOTED = r"""['"]([^'"]+)['"]"""
 EMPHASIS_PAYLOAD = r"(?i)(?:emphasize|focus on|prioritize|pay attention to)\s+(.*?)(?:\s+when\b|\s+-|[.!?]|$)"
 
 
-def _ids(msg: Column, pattern: str) -> Column:
+def _ids(msg: Column, pattern: str, kind: str) -> Column:
     groups = F.regexp_extract_all(msg, F.lit(pattern), 1)
     nums = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), 1)))
-    return F.transform(nums, lambda n: n.try_cast("int"))
+    return F.transform(nums, lambda n: n.try_cast(kind))
 
 
 def normalized_message(message) -> Column:
@@ -105,13 +105,13 @@ def _action_from_type(msg: Column, ftype: Column) -> Column:
         F.when(ftype == "rename_cluster", F.nullif(F.regexp_extract(msg, QUOTED, 1), F.lit("")))
         .when(ftype == "emphasize_feature", F.nullif(_strip(F.regexp_extract(msg, EMPHASIS_PAYLOAD, 1)), F.lit("")))
     )
-    step = F.when(ftype == "rollback", F.nullif(F.regexp_extract(msg, STEP_NUMBER, 1), F.lit("")).cast("int"))
+    step = F.when(ftype == "rollback", F.nullif(F.regexp_extract(msg, STEP_NUMBER, 1), F.lit("")).try_cast("int"))
     return F.when(
         ftype.isNotNull(),
         F.struct(
             ftype.alias("feedback_type"),
-            _ids(msg, ITEM_LIST).alias("item_ids"),
-            _ids(msg, CLUSTER_LIST).alias("cluster_ids"),
+            _ids(msg, ITEM_LIST, "bigint").alias("item_ids"),
+            _ids(msg, CLUSTER_LIST, "int").alias("cluster_ids"),
             payload.alias("text_payload"),
             step.alias("step_number"),
             F.lit(None).cast("string").alias("reason"),

@@ -138,6 +138,23 @@ def clean_embeddings(a) -> Column:
     )
 
 
+# Fixed value: the scale of the noise that replaces an all-zero vector.
+ZERO_NOISE = 1e-6
+
+
+def nudge_zero_rows(a, item_id) -> Column:
+    """All-zero vectors become tiny ones (the reference adds unseeded noise of scale 1e-6): value
+    ``k`` is uniform with that standard deviation, fixed by the item id and ``k``; other vectors
+    stay as they are."""
+    v, key = _c(a), _c(item_id).cast("long")
+
+    def noise(_, k):
+        u = (F.pmod(F.pmod(key, F.lit(1 << 20)) * F.size(v) + k, F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(1 << 32) / F.lit(float(1 << 32))
+        return (u * 2.0 - 1.0) * F.lit(ZERO_NOISE * 3.0**0.5)
+
+    return F.when(F.forall(v, lambda x: x == 0.0), F.transform(v, noise)).otherwise(v)
+
+
 def prepare_cluster_input(df, col: str, out: str | None = None):
     """B4 on a DataFrame column: nan→0, +inf→1, −inf→−1; divide by norm+1e-10 unless already unit
     (±1e-6); clip ±10; renormalize (norm+1e-10). The reference's unseeded 1e-8 noise is dropped so

@@ -7,10 +7,16 @@ boundary pairs, cluster variances) is a distributed job over the whole item tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
+from ..session import cut_lineage
 from . import centroids as C
 from . import neighbors as N
 from . import uncertainty as U
@@ -143,8 +149,28 @@ def propose_questions(pool: DataFrame, max_questions: int = 3) -> DataFrame:
     """G5 + F3 (default rule, no model): round-robin over the three branches by rank; a candidate
     that shares an item id with an earlier one in that order is skipped; at most
     ``max_questions``. Adds ``question_rank``."""
-    w_rr = Window.orderBy("rank", "branch")  # bounded pool
-    p = pool.withColumn("rr", F.row_number().over(w_rr))
+    return _pick(pool, Window.orderBy("rank", "branch"), max_questions)  # bounded pool
+
+
+def rank_with(pool: DataFrame, make_ranker: Callable[[], Callable[[pd.DataFrame], np.ndarray]], max_questions: int = 3) -> DataFrame:
+    """G5 with a plug-in question ranker: ``make_ranker()`` is called once per Python worker and
+    gives each row of a batch of candidates a score (null: not asked). The best come first, ties in
+    the default order; no item is used twice. Adds ``ranker_score`` and ``question_rank``."""
+    schema = ST.StructType([*pool.schema.fields, ST.StructField("ranker_score", ST.DoubleType())])
+
+    def run(batches):
+        score = make_ranker()
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(ranker_score=np.asarray(score(pdf), dtype=np.float64))
+
+    scored = pool.mapInPandas(run, schema).where("ranker_score is not null and not isnan(ranker_score)")
+    return _pick(scored, Window.orderBy(F.desc("ranker_score"), "rank", "branch"), max_questions)
+
+
+def _pick(pool: DataFrame, order: WindowSpec, max_questions: int) -> DataFrame:
+    # the pool is a handful of rows behind a long plan, and is read three times below
+    p = cut_lineage(pool.withColumn("rr", F.row_number().over(order)))
     ids = p.select("candidate_id", "rr", F.explode("ids").alias("item_id"))
     first_use = ids.groupBy("item_id").agg(F.min("rr").alias("first_rr"))
     clash = ids.join(first_use, "item_id").where(F.col("first_rr") < F.col("rr")).select("candidate_id").distinct()

@@ -3,14 +3,16 @@
 An action is the struct ``<feedback_type, item_ids, cluster_ids, text_payload, step_number,
 reason, confidence>``. Expansion turns accepted actions into narrow tables (links, flags, splits,
 labels, keywords) keyed by ``(session_id, seq)``; link rows get a unique sub-order
-``seq * 2^20 + position`` so the order-exact link rule (operators.links) sees the reference's
+``seq * SUB_ORDER + position`` so the order-exact link rule (operators.links) sees the reference's
 in-action order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ ANCHOR_MOD = 2147483648
 ACTION_SCHEMA = T.StructType(
     [
         T.StructField("feedback_type", T.StringType()),
-        T.StructField("item_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("item_ids", T.ArrayType(T.LongType())),
         T.StructField("cluster_ids", T.ArrayType(T.IntegerType())),
         T.StructField("text_payload", T.StringType()),
         T.StructField("step_number", T.IntegerType()),
@@ -94,6 +96,26 @@ def parse_action_json(responses: DataFrame, col: str = "response") -> DataFrame:
     )
 
 
+def parse_with(messages: DataFrame, make_parser: Callable[[], Callable[[list[str]], list[str | None]]], content: str = "content") -> DataFrame:
+    """Plug-in message parser (a caller's model in place of the phrase rules): ``make_parser()`` is
+    called once per Python worker and maps a list of messages to as many JSON responses, which
+    ``parse_action_json`` checks like any other. A null message is passed as empty; a null or wrong
+    response is rejected with the apology. Adds ``response`` and the columns of A7."""
+    schema = T.StructType([f for f in messages.schema.fields if f.name != "response"] + [T.StructField("response", T.StringType())])
+
+    def run(batches):
+        parse = make_parser()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(content).to_pylist()]
+            answers = list(parse(texts)) if texts else []
+            if len(answers) != len(texts):
+                raise ValueError(f"the parser gave {len(answers)} responses to {len(texts)} messages")
+            kept = [f.name for f in schema.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(answers, pa.string())], [*kept, "response"])
+
+    return parse_action_json(messages.mapInArrow(run, schema))
+
+
 def explode_actions(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per action of accepted responses, ``action_pos`` keeps the response order."""
     return parsed.select(*keys, F.posexplode("actions").alias("action_pos", "a")).select(*keys, "action_pos", "a.*")

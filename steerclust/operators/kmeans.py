@@ -3,6 +3,8 @@
 * ``lloyd``: deterministic Lloyd iterations from caller-given start rows. One Spark job per
   round: numpy assignment and per-partition partial sums over Arrow batches, combined by a
   grouped sum; the K×d centre table (size-checked) is the only state on the driver.
+* ``kmeans_best``: k-means++ starts over all rows, several restarts run side by side in the same
+  passes, each until its centres rest; the restart of lowest cost wins.
 * ``kmeans_ml``: Spark ML ``KMeans`` (k-means|| start) over several seeds, best by cost.
 
 Input vectors go through B4 (``prepare_cluster_input``); labels come from the raw centres and the
@@ -13,6 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,9 @@ from ..functions import vectors as V
 from ..session import cut_lineage
 from .centroids import attach_centroids, remember_size
 
+# Numbers in one block of point-centre differences (32 MB of doubles).
+DIFF_CELLS = 1 << 22
+
 
 def _assign(df: DataFrame, cents: DataFrame, vec: str) -> DataFrame:
     j, groups = attach_centroids(df, cents)
@@ -39,8 +46,9 @@ def assign_nearest(df: DataFrame, cents: DataFrame, vec: str = "z") -> DataFrame
     return _assign(df.drop("cluster_id") if "cluster_id" in df.columns else df, cents, vec)
 
 
-def _np_assign(X: np.ndarray, C: np.ndarray, ids: np.ndarray, chunk: int = 4096):
+def _np_assign(X: np.ndarray, C: np.ndarray, ids: np.ndarray):
     """Nearest centre by squared Euclidean distance from direct differences; ties → lowest id."""
+    chunk = max(1, DIFF_CELLS // max(1, C.size))
     out_k = np.empty(len(X), dtype=np.int64)
     out_d = np.empty(len(X))
     order = np.argsort(ids, kind="stable")
@@ -61,40 +69,105 @@ def _centres(cur: DataFrame):
     return ids, C
 
 
-def _round_sums(pts: DataFrame, ids: np.ndarray, C: np.ndarray, vec: str) -> DataFrame:
-    """One pass: assign every point, emit per-partition per-cluster partial sums (long form)."""
-    d = C.shape[1]
+def _round_sums(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], vec: str) -> DataFrame:
+    """One pass for all restarts in ``centres`` (run → K×d): assign every point, add per partition,
+    then per (run, cluster): ``(run, cluster_id, n, s, cost)``, ``s`` the vector sum."""
+    place = np.argsort(ids, kind="stable")
 
     def run(batches):
-        acc_s = np.zeros_like(C)
-        acc_n = np.zeros(len(ids))
-        pos = {int(k): i for i, k in enumerate(ids)}
-        seen = False
+        acc = {r: (np.zeros(len(ids)), np.zeros_like(C), np.zeros(len(ids))) for r, C in centres.items()}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            seen = True
             X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            k, _ = _np_assign(X, C, ids)
-            idx = np.array([pos[int(x)] for x in k])
-            np.add.at(acc_s, idx, X)
-            np.add.at(acc_n, idx, 1.0)
-        if not seen:
-            return
-        nz = np.nonzero(acc_n)[0]
-        yield pd.DataFrame(
-            {
-                "cluster_id": np.repeat(ids[nz], d + 1).astype(np.int32),
-                "pos": np.tile(np.arange(-1, d), len(nz)).astype(np.int32),
-                "v": np.concatenate([np.concatenate([[acc_n[i]], acc_s[i]]) for i in nz]) if len(nz) else np.zeros(0),
-            }
-        )
-
-    return pts.select(vec).mapInPandas(run, schema="cluster_id int, pos int, v double").groupBy("cluster_id", "pos").agg(
-        F.sum("v").alias("v")
+            for r, C in centres.items():
+                k, d = _np_assign(X, C, ids)
+                at = place[np.searchsorted(ids[place], k)]
+                n, total, cost = acc[r]
+                np.add.at(total, at, X)
+                n += np.bincount(at, minlength=len(ids))
+                cost += np.bincount(at, weights=d, minlength=len(ids))
+        for r, (n, total, cost) in acc.items():
+            met = np.flatnonzero(n)
+            if len(met):
+                yield pd.DataFrame(
+                    {"run": np.int32(r), "cluster_id": ids[met].astype(np.int32), "n": n[met], "s": list(total[met]), "cost": cost[met]}
+                )
+
+    parts = pts.select(vec).mapInPandas(run, schema="run int, cluster_id int, n double, s array<double>, cost double")
+    return parts.groupBy("run", "cluster_id").agg(
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.sum("cost").alias("cost")
     )
 
 
+def _lloyd_rounds(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], max_iter: int, tol: float, vec: str):
+    """Rounds of all restarts together; a restart whose largest centre move is ≤ ``tol`` rests.
+    Returns the centres, each restart's cost as of its last pass, and its number of rounds."""
+    centres, cost, rounds = dict(centres), dict.fromkeys(centres, float("inf")), dict.fromkeys(centres, 0)
+    place = {int(k): i for i, k in enumerate(ids)}
+    moving = set(centres)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        new = {r: centres[r].copy() for r in moving}
+        total = dict.fromkeys(moving, 0.0)
+        for row in _round_sums(pts, ids, {r: centres[r] for r in moving}, vec).collect():  # ≤ K rows a restart
+            new[row["run"]][place[row["cluster_id"]]] = np.asarray(row["s"]) / row["n"]
+            total[row["run"]] += row["cost"]
+        for r in sorted(moving):
+            moved = float(np.max(np.linalg.norm(new[r] - centres[r], axis=1))) if len(ids) else 0.0
+            centres[r], cost[r], rounds[r] = new[r], total[r], rounds[r] + 1
+            if tol >= 0 and moved <= tol:
+                moving.discard(r)
+    return centres, cost, rounds
+
+
+def _uniform(item_ids: np.ndarray, run: int, step: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each item, fixed by its id, the restart, the step and the seed."""
+    x = item_ids.astype(np.int64).view(np.uint64) + np.uint64(((seed * 1009 + run) * 100003 + step) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
+
+
+def plus_plus_starts(pts: DataFrame, k: int, restarts: int = 10, seed: int = 42, vec: str = "z") -> dict[int, np.ndarray]:
+    """k-means++ starts from all rows, for all restarts at once: ``run → centres``.
+
+    A row is drawn with probability proportional to its squared distance to the nearest centre so
+    far. The draw is an exponential race: the row of least ``-log(u) / distance`` wins, ``u`` being
+    fixed by its id, so a start is one grouped minimum per centre and the same on every run. With
+    fewer than ``k`` distinct rows there is one centre for each. ``item_id`` has to be an integer.
+    """
+    chosen: dict[int, list] = {r: [] for r in range(restarts)}
+    for step in range(k):
+        held = {r: np.array(c) for r, c in chosen.items()}
+
+        def race(batches, held=held, step=step):
+            best: dict[int, tuple] = {}
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+                ids = pdf["item_id"].to_numpy()
+                for r, C in held.items():
+                    dist = _np_assign(X, C, np.arange(len(C)))[1] if len(C) else np.ones(len(X))
+                    with np.errstate(divide="ignore"):
+                        key = np.where(dist > 0, -np.log(_uniform(ids, r, step, seed)) / dist, np.inf)
+                    at = np.lexsort((ids, key))[0]
+                    if np.isfinite(key[at]) and (r not in best or (key[at], ids[at]) < best[r][:2]):
+                        best[r] = (float(key[at]), int(ids[at]), X[at].tolist())
+            if best:
+                yield pd.DataFrame([(r, *b) for r, b in best.items()], columns=["run", "key", "item_id", vec])
+
+        drawn = pts.select("item_id", vec).mapInPandas(race, f"run int, key double, item_id long, {vec} array<double>")
+        won = drawn.groupBy("run").agg(F.min_by(vec, F.struct("key", "item_id")).alias(vec)).collect()  # one row a restart
+        if not won:
+            break
+        for row in won:
+            chosen[row["run"]].append(row[vec])
+    return {r: np.array(c, dtype=np.float64) for r, c in chosen.items() if c}
+
+
 def assign_np(pts: DataFrame, ids: np.ndarray, C: np.ndarray, vec: str = "z") -> DataFrame:
     """Label rows with their nearest centre (Arrow batches, numpy)."""
     schema = T.StructType([pts.schema["item_id"], T.StructField("cluster_id", T.IntegerType()), T.StructField("sq_dist", T.DoubleType())])
@@ -127,25 +200,8 @@ def lloyd(
     spark = df.sparkSession
     pts = df.select("item_id", vec)
     ids, C = _centres(start.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("mu").cast("array<double>").alias("mu")))
-    it = 0
-    for it in range(1, max_iter + 1):
-        sums = _round_sums(pts, ids, C, vec).collect()  # ≤ K·(d+1) rows
-        n = {}
-        acc = {}
-        for r in sums:
-            k = int(r["cluster_id"])
-            if r["pos"] < 0:
-                n[k] = r["v"]
-            else:
-                acc.setdefault(k, np.zeros(C.shape[1]))[int(r["pos"])] = r["v"]
-        newC = C.copy()
-        for i, k in enumerate(ids):
-            if n.get(int(k), 0) > 0:
-                newC[i] = acc[int(k)] / n[int(k)]
-        moved = float(np.max(np.linalg.norm(newC - C, axis=1))) if len(C) else 0.0
-        C = newC
-        if tol >= 0 and moved <= tol:
-            break
+    centres, _, rounds = _lloyd_rounds(pts, ids, {0: C}, max_iter, tol, vec)
+    C, it = centres[0], rounds[0]
     cents = spark.createDataFrame([(int(k), C[i].tolist()) for i, k in enumerate(ids)], "cluster_id int, mu array<double>")
     cents = remember_size(cents, len(ids), C.shape[1])
     labels = cut_lineage(assign_np(pts, ids, C, vec).select("item_id", "cluster_id"))
@@ -161,6 +217,32 @@ def kmeans_fit(df: DataFrame, start: DataFrame, max_iter: int = 100, tol: float
     return labels, cents, iters
 
 
+def kmeans_best(
+    df: DataFrame, k: int, restarts: int = 10, max_iter: int = 100, tol: float = 1e-6, seed: int = 42, vec: str = "z"
+) -> tuple[DataFrame, DataFrame, float]:
+    """I1 in full: k-means++ starts, ``restarts`` of them, each until its largest centre move is
+    ≤ ``tol`` (at most ``max_iter`` rounds); the one of lowest cost, ties to the lower number.
+
+    Restarts share their passes: k passes for all starts and at most ``max_iter`` for all rounds.
+    The driver holds restarts·K·d numbers. Returns ``(labels, unit centroids, cost)``; an empty
+    table gives empty tables."""
+    spark = df.sparkSession
+    pts = cut_lineage(V.prepare_cluster_input(df.select("item_id", vec), vec))
+    starts = plus_plus_starts(pts, k, restarts, seed, vec)
+    if not starts:
+        return pts.select("item_id", F.lit(None).cast("int").alias("cluster_id")), spark.createDataFrame([], "cluster_id int, mu array<double>"), 0.0
+    ids = np.arange(len(starts[0]))
+    centres, _, _ = _lloyd_rounds(pts, ids, starts, max_iter, tol, vec)
+    cost = dict.fromkeys(centres, 0.0)
+    for row in _round_sums(pts, ids, centres, vec).groupBy("run").agg(F.sum("cost").alias("cost")).collect():
+        cost[row["run"]] = row["cost"]
+    best = min(cost, key=lambda r: (cost[r], r))
+    labels = cut_lineage(assign_np(pts, ids, centres[best], vec).select("item_id", "cluster_id"))
+    cents = spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(ids, centres[best])], "cluster_id int, mu array<double>")
+    unit = remember_size(cents, len(ids), centres[best].shape[1]).select("cluster_id", V.l2_normalize("mu", zero="eps").alias("mu"))
+    return labels, unit, cost[best]
+
+
 def start_rows(df: DataFrame, k: int, vec: str = "z") -> DataFrame:
     """Start centroids: the vectors of the k smallest item ids, whatever ids there are (cluster
     id = place in id order)."""
@@ -177,8 +259,6 @@ def grow_k(df: DataFrame, k: int, delta: int, max_iter: int = 100, tol: float =
 def kmeans_ml(df: DataFrame, k: int, seeds: tuple[int, ...] = (42, 43, 44), max_iter: int = 100, tol: float = 1e-6, vec: str = "z"):
     """I1(a): Spark ML k-means (k-means|| start), best of several seeds by training cost."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     prepared = V.prepare_cluster_input(df.select("item_id", vec), vec).withColumn("features", array_to_vector(vec))
     best = None
     for s in seeds:

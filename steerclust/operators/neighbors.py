@@ -64,12 +64,8 @@ def boundary_pairs_knn(
     2·max_pairs used), look at hits 1..take of a k_search search (hit 0 is taken as self); keep
     neighbours in another cluster; the first occurrence of each unordered pair counts; stop after
     ``max_pairs`` in seed order; then sort by cosine distance (ties keep discovery order)."""
-    n = df.count()
-    ks = min(k_search, n)
-    if ks <= 1:
-        return df.sparkSession.createDataFrame([], "i long, j long, distance double, pair_rank int")
     seeds = seed_order.where(F.col("seed_rank") < 2 * max_pairs)
-    hits = knn_seeds(df, seeds.select("seed_id"), ks, vec).where((F.col("rank") >= 1) & (F.col("rank") <= take))
+    hits = knn_seeds(df, seeds.select("seed_id"), k_search, vec).where((F.col("rank") >= 1) & (F.col("rank") <= take))
     lab = df.select("item_id", "cluster_id")
     h = (
         hits.join(seeds, "seed_id")
@@ -140,6 +136,15 @@ def knn_ivf(df: DataFrame, cells: DataFrame, k: int = 10, nprobe: int = 10, vec:
     )
 
 
+def train_cells(df: DataFrame, nlist: int = 100, max_iter: int = 25, seed: int = 42, vec: str = "z") -> DataFrame:
+    """Coarse cells ``(cluster_id, mu)`` trained on all normalized rows. The k-means|| start takes
+    a few passes however many cells there are."""
+    from .kmeans import kmeans_ml
+
+    unit = normalized(df.select("item_id", vec), vec, "u").select("item_id", "u")
+    return kmeans_ml(unit, nlist, (seed,), max_iter, vec="u")[1]
+
+
 def lsh_planes(spark, dim: int, planes: int, tables: int, seed: int = 42) -> DataFrame:
     """Random hyperplanes ``(table, plane, mu)`` generated from a seed (small: tables·planes·dim)."""
     import numpy as np

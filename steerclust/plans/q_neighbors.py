@@ -95,6 +95,13 @@ def q_knn_ivf(spark, sf):
     return finish(N.knn_ivf(it, cells, k=10, nprobe=4))
 
 
+@register("knn_ivf_trained")
+def q_knn_ivf_trained(spark, sf):
+    """IVF with 100 cells trained on all rows and 10 probes; approximate, checked by recall in tests."""
+    it = S.items(spark, sf)
+    return finish(N.knn_ivf(it, N.train_cells(it), k=10, nprobe=10))
+
+
 @register("knn_lsh")
 def q_knn_lsh(spark, sf):
     """Random-hyperplane LSH join (8 planes × 4 tables); approximate, checked by recall in tests."""

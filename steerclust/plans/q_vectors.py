@@ -75,6 +75,30 @@ def q_clean_embeddings(spark, sf):
     return finish(it.select("item_id", V.norm(V.clean_embeddings("z")).alias("norm"), fixed.alias("n_fixed")))
 
 
+@register(
+    "clean_faulty_embeddings",
+    """WITH faulty AS (SELECT vec_id AS item_id, CASE vec_id % 10
+    WHEN 3 THEN list_prepend('nan'::DOUBLE, embedding[2:]::DOUBLE[]) WHEN 4 THEN list_prepend('inf'::DOUBLE, embedding[2:]::DOUBLE[])
+    WHEN 5 THEN list_prepend('-inf'::DOUBLE, embedding[2:]::DOUBLE[]) WHEN 6 THEN list_transform(embedding, lambda x: 0.0::DOUBLE)
+    ELSE embedding::DOUBLE[] END AS z FROM embeddings),
+fixed AS (SELECT item_id, list_transform(z, lambda x: CASE WHEN isnan(x) THEN 0.0 ELSE greatest(-1e6, least(1e6, x)) END) AS z FROM faulty),
+filled AS (SELECT item_id, CASE WHEN len(list_filter(z, lambda x: x <> 0.0)) > 0 THEN z ELSE list_transform(generate_series(0, len(z) - 1),
+    lambda k: ((((item_id % 1048576) * len(z) + k) % 2147483648 * 2654435761) % 4294967296 / 4294967296.0::DOUBLE * 2.0 - 1.0) * 1e-6 * sqrt(3.0)) END AS z FROM fixed)
+SELECT item_id, round(z[1] * 1e6, 6) AS x0_millionths, round(sqrt(list_sum(list_transform(z, lambda x: x * x))) * 1e6, 3) AS norm_millionths FROM filled""",
+)
+def q_clean_faulty_embeddings(spark, sf):
+    """A3 on embeddings with NaN, infinite and all-zero rows put in."""
+    kind = F.col("item_id") % 10
+    head = lambda x: F.concat(F.array(F.lit(x)), F.slice("z", 2, F.size("z")))
+    faulty = S.items(spark, sf).select(
+        "item_id",
+        F.when(kind == 3, head(float("nan"))).when(kind == 4, head(float("inf"))).when(kind == 5, head(float("-inf")))
+        .when(kind == 6, F.transform("z", lambda x: F.lit(0.0))).otherwise(F.col("z")).alias("z"),
+    )
+    z = faulty.select("item_id", V.clean_embeddings("z").alias("z")).select("item_id", V.nudge_zero_rows("z", "item_id").alias("z"))
+    return finish(z.select("item_id", (F.col("z")[0] * 1e6).alias("x0_millionths"), F.round(V.norm("z") * 1e6, 3).alias("norm_millionths")))
+
+
 SQL_NEXT = """nxt AS (SELECT a.item_id AS i, b.item_id AS j, a.z AS za, b.z AS zb FROM items a JOIN items b ON b.item_id = a.item_id + 1)"""
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -33,7 +34,7 @@ def load_items(
     """A1: corpus in as ``(item_id BIGINT, text STRING)``.
 
     An explicit id column is required; without one the caller names a stable order and ids are
-    ``row_number() - 1`` over it (never ``monotonically_increasing_id``, which changes on retry).
+    places in it from 0 (never ``monotonically_increasing_id``, which changes on retry).
     """
     reader = spark.read.options(**options)
     df = reader.format(fmt).load(path)
@@ -43,8 +44,13 @@ def load_items(
         return df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
     if not order_by:
         raise ValueError("load_items needs an id column or an explicit order_by for positional ids")
-    w = Window.orderBy(*[F.col(c) for c in order_by])
-    return df.select((F.row_number().over(w) - 1).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
+    # rows sorted into ranges, numbered within each, plus the size of all ranges before it
+    ranged = cut_lineage(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row per shuffle partition
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
+    numbered = ranged.withColumn("_place", place).join(before, "_range")
+    return numbered.select((F.col("_before") + F.col("_place") - 1).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
 
 
 # ---------------------------------------------------------------------------------------------
