@@ -79,7 +79,7 @@ QUOTED = r"""['"]([^'"]+)['"]"""
 EMPHASIS_PAYLOAD = r"(?i)(?:emphasize|focus on|prioritize|pay attention to)\s+(.*?)(?:\s+when\b|\s+-|[.!?]|$)"
 
 
-def _ids(msg: Column, pattern: str, kind: str) -> Column:
+def _ids(msg: Column, pattern: str, kind: str = "bigint") -> Column:
     groups = F.regexp_extract_all(msg, F.lit(pattern), 1)
     nums = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), 1)))
     return F.transform(nums, lambda n: n.try_cast(kind))
