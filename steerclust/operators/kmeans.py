@@ -69,9 +69,10 @@ def _centres(cur: DataFrame):
     return ids, C
 
 
-def _round_sums(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], vec: str) -> DataFrame:
+def _round_sums(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], vec: str, dims: dict[int, slice] | None = None) -> DataFrame:
     """One pass for all restarts in ``centres`` (run → K×d): assign every point, add per partition,
-    then per (run, cluster): ``(run, cluster_id, n, s, cost)``, ``s`` the vector sum."""
+    then per (run, cluster): ``(run, cluster_id, n, s, cost)``, ``s`` the vector sum. ``dims``: the
+    dimensions a run sees (all, if not given)."""
     place = np.argsort(ids, kind="stable")
 
     def run(batches):
@@ -81,10 +82,11 @@ def _round_sums(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray],
                 continue
             X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
             for r, C in centres.items():
-                k, d = _np_assign(X, C, ids)
+                part = X[:, dims[r]] if dims else X
+                k, d = _np_assign(part, C, ids)
                 at = place[np.searchsorted(ids[place], k)]
                 n, total, cost = acc[r]
-                np.add.at(total, at, X)
+                np.add.at(total, at, part)
                 n += np.bincount(at, minlength=len(ids))
                 cost += np.bincount(at, weights=d, minlength=len(ids))
         for r, (n, total, cost) in acc.items():
@@ -100,7 +102,9 @@ def _round_sums(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray],
     )
 
 
-def _lloyd_rounds(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], max_iter: int, tol: float, vec: str):
+def lloyd_rounds(
+    pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], max_iter: int, tol: float, vec: str, dims: dict[int, slice] | None = None
+):
     """Rounds of all restarts together; a restart whose largest centre move is ≤ ``tol`` rests.
     Returns the centres, each restart's cost as of its last pass, and its number of rounds."""
     centres, cost, rounds = dict(centres), dict.fromkeys(centres, float("inf")), dict.fromkeys(centres, 0)
@@ -111,7 +115,7 @@ def _lloyd_rounds(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray
             break
         new = {r: centres[r].copy() for r in moving}
         total = dict.fromkeys(moving, 0.0)
-        for row in _round_sums(pts, ids, {r: centres[r] for r in moving}, vec).collect():  # ≤ K rows a restart
+        for row in _round_sums(pts, ids, {r: centres[r] for r in moving}, vec, dims).collect():  # ≤ K rows a restart
             new[row["run"]][place[row["cluster_id"]]] = np.asarray(row["s"]) / row["n"]
             total[row["run"]] += row["cost"]
         for r in sorted(moving):
@@ -200,7 +204,7 @@ def lloyd(
     spark = df.sparkSession
     pts = df.select("item_id", vec)
     ids, C = _centres(start.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("mu").cast("array<double>").alias("mu")))
-    centres, _, rounds = _lloyd_rounds(pts, ids, {0: C}, max_iter, tol, vec)
+    centres, _, rounds = lloyd_rounds(pts, ids, {0: C}, max_iter, tol, vec)
     C, it = centres[0], rounds[0]
     cents = spark.createDataFrame([(int(k), C[i].tolist()) for i, k in enumerate(ids)], "cluster_id int, mu array<double>")
     cents = remember_size(cents, len(ids), C.shape[1])
@@ -232,7 +236,7 @@ def kmeans_best(
     if not starts:
         return pts.select("item_id", F.lit(None).cast("int").alias("cluster_id")), spark.createDataFrame([], "cluster_id int, mu array<double>"), 0.0
     ids = np.arange(len(starts[0]))
-    centres, _, _ = _lloyd_rounds(pts, ids, starts, max_iter, tol, vec)
+    centres, _, _ = lloyd_rounds(pts, ids, starts, max_iter, tol, vec)
     cost = dict.fromkeys(centres, 0.0)
     for row in _round_sums(pts, ids, centres, vec).groupBy("run").agg(F.sum("cost").alias("cost")).collect():
         cost[row["run"]] = row["cost"]

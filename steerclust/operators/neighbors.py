@@ -145,6 +145,15 @@ def train_cells(df: DataFrame, nlist: int = 100, max_iter: int = 25, seed: int =
     return kmeans_ml(unit, nlist, (seed,), max_iter, vec="u")[1]
 
 
+def rested_cells(df: DataFrame, nlist: int, vec: str = "z") -> DataFrame:
+    """Coarse cells ``(cluster_id, mu)`` by Lloyd rounds over all normalized rows, from the rows of
+    the smallest ids until the centres rest: the same cells on every run."""
+    from .kmeans import lloyd, start_rows
+
+    unit = cut_lineage(normalized(df.select("item_id", vec), vec, "u").select("item_id", "u"))
+    return lloyd(unit, start_rows(unit, nlist, "u"), vec="u")[1]
+
+
 def lsh_planes(spark, dim: int, planes: int, tables: int, seed: int = 42) -> DataFrame:
     """Random hyperplanes ``(table, plane, mu)`` generated from a seed (small: tables·planes·dim)."""
     import numpy as np

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,31 +108,22 @@ def pq_codebook_from_rows(df: DataFrame, m: int = 8, bits: int = 8, vec: str = "
     )
 
 
-def pq_fit(df: DataFrame, m: int = 8, bits: int = 8, rounds: int = 10, vec: str = "z", normalize: bool = True) -> DataFrame:
-    """Codebook by Lloyd rounds in every subspace at once (key = (subspace, code)), started
-    from the fixed codebook. The M·2^b centre table is checkpointed per round."""
-    book = pq_codebook_from_rows(df, m, bits, vec, normalize)
-    x = cut_lineage(_maybe_normalize(df.select("item_id", vec), vec, normalize).select("item_id", _subvectors(vec, m).alias("sub")))
-    for _ in range(rounds):
-        enc = pq_encode_sub(x, book, "sub")
-        per_sub = enc.select(F.posexplode(F.arrays_zip("codes", "sub")).alias("s", "e")).select(
-            "s", F.col("e.codes").alias("code"), F.col("e.sub").alias("sv")
-        )
-        long = per_sub.select("s", "code", F.posexplode("sv").alias("pos", "v"))
-        means = long.groupBy("s", "code", "pos").agg((F.sum("v") / F.count(F.lit(1))).alias("mv"))
-        vecs = means.groupBy("s", "code").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "mv"))), lambda e: e["mv"]).alias("cv")
-        )
-        old = book.select(F.posexplode("codebook").alias("s", "codes")).select(
-            "s", F.posexplode("codes").alias("code", "ov")
-        )
-        upd = old.join(vecs, ["s", "code"], "left").select("s", "code", F.coalesce("cv", "ov").alias("v"))
-        book = cut_lineage(
-            upd.groupBy("s")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "v"))), lambda e: e["v"]).alias("cb"))
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "cb"))), lambda e: e["cb"]).alias("codebook"))
-        )
-    return book
+def pq_fit(
+    df: DataFrame, m: int = 8, bits: int = 8, max_iter: int = 100, tol: float = 1e-6, vec: str = "z", normalize: bool = True
+) -> DataFrame:
+    """Codebook by Lloyd rounds over all rows in every subspace at once, started from the rows of
+    the smallest ids; a subspace rests when its centres move by at most ``tol``. Each round is one
+    pass with partial sums per partition; the driver holds the M·2^b centres, as in ``lloyd``."""
+    from .kmeans import lloyd_rounds
+
+    start = pq_codebook_from_rows(df, m, bits, vec, normalize).first()["codebook"]
+    centres = {s: np.array(codes, dtype=np.float64) for s, codes in enumerate(start)}
+    ends = np.cumsum([c.shape[1] for c in centres.values()]).tolist()
+    dims = {s: slice(end - centres[s].shape[1], end) for s, end in enumerate(ends)}
+    x = cut_lineage(_maybe_normalize(df.select("item_id", vec), vec, normalize))
+    centres, _, _ = lloyd_rounds(x, np.arange(1 << bits), centres, max_iter, tol, vec, dims)
+    book = [centres[s].tolist() for s in range(m)]
+    return df.sparkSession.createDataFrame([(book,)], "codebook array<array<array<double>>>")
 
 
 def pq_encode_sub(df: DataFrame, codebook: DataFrame, sub: str = "sub", out: str = "codes") -> DataFrame:

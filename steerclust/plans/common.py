@@ -58,3 +58,26 @@ SQL_PREV = """prev AS (SELECT vec_id AS item_id,
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def sql_lloyd(points: str, start: str, name: str, max_iter: int = 100, tol: float = 1e-6) -> str:
+    """Lloyd rounds to rest as a recursive CTE (after WITH RECURSIVE): ``points(item_id, s, v)``,
+    ``start(s, cluster_id, mu)`` → ``name(s, cluster_id, mu)``. Every space ``s`` stops by itself
+    when its largest centre move is <= ``tol``; empty clusters keep their centre."""
+    return f"""{name}_rounds AS (SELECT 0 AS t, s, cluster_id, mu, CAST('inf' AS DOUBLE) AS moved FROM {start}
+  UNION ALL
+  SELECT t + 1, s, cluster_id, mean, max(list_distance(mean, mu)) OVER (PARTITION BY s) FROM (
+    SELECT c.t, c.s, c.cluster_id, c.mu, coalesce(m.mean, c.mu) AS mean
+    FROM {name}_rounds c LEFT JOIN (
+      SELECT s, cluster_id, list(x ORDER BY pos) AS mean FROM (
+        SELECT s, cluster_id, pos, sum(x) / count(*) AS x FROM (
+          SELECT s, cluster_id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM (
+            SELECT p.s, p.item_id, p.v, k.cluster_id FROM {points} p JOIN {name}_rounds k ON k.s = p.s
+            QUALIFY row_number() OVER (PARTITION BY p.s, p.item_id ORDER BY list_distance(p.v, k.mu), k.cluster_id) = 1))
+        GROUP BY ALL) GROUP BY ALL) m ON m.s = c.s AND m.cluster_id = c.cluster_id
+    WHERE c.t < {max_iter} AND c.moved > {tol!r})),
+{name} AS (SELECT s, cluster_id, mu FROM {name}_rounds QUALIFY row_number() OVER (PARTITION BY s, cluster_id ORDER BY t DESC) = 1)"""
+
+
+def with_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kmeans as KM
 from ..sources import tables as S
-from .common import SQL_ITEMS, finish, with_
-from .q_quality import sqd
+from .common import SQL_ITEMS, finish, sql_lloyd, with_, with_recursive
 from .registry import register
 
 SQL_PREP = """p AS (SELECT item_id, list_transform(z, lambda x: x / (sqrt(list_sum(list_transform(z, lambda y: y*y))) + 1e-10)) AS z FROM (
@@ -17,52 +16,44 @@ SQL_PREP = """p AS (SELECT item_id, list_transform(z, lambda x: x / (sqrt(list_s
     lambda v: greatest(-10.0, least(10.0, v))) AS z FROM items))"""
 
 
-def sql_lloyd(k: int, rounds: int) -> str:
-    """Unrolled Lloyd rounds from the start rows (ids < k) — the oracle twin of ``kmeans.lloyd``."""
-    ctes = [SQL_ITEMS, SQL_PREP, f"c0 AS (SELECT CAST(item_id AS INTEGER) AS cluster_id, z AS mu FROM p WHERE item_id < {k})"]
-    for t in range(1, rounds + 2):
-        ctes.append(
-            f"""a{t} AS (SELECT p.item_id, p.z, c.cluster_id FROM p CROSS JOIN c{t - 1} c
-  QUALIFY row_number() OVER (PARTITION BY p.item_id ORDER BY {sqd('p.z', 'c.mu')}, c.cluster_id) = 1)"""
-        )
-        if t == rounds + 1:
-            break
-        ctes.append(
-            f"""m{t} AS (SELECT cluster_id, list(s / n ORDER BY pos) AS mean FROM (
-  SELECT cluster_id, pos, sum(x) AS s, count(*) AS n FROM (
-    SELECT cluster_id, unnest(z) AS x, unnest(generate_series(0, len(z) - 1)) AS pos FROM a{t}) GROUP BY ALL) GROUP BY cluster_id),
-c{t} AS (SELECT c.cluster_id, coalesce(m.mean, c.mu) AS mu FROM c{t - 1} c LEFT JOIN m{t} m USING (cluster_id))"""
-        )
-    return with_(*ctes)
-
-
-ROUNDS = 5
+def sql_kmeans(k: int) -> str:
+    """Lloyd from the vectors of the k smallest ids until the centres rest: ``c(cluster_id, mu)``
+    and ``a(item_id, cluster_id)``."""
+    return with_recursive(
+        SQL_ITEMS,
+        SQL_PREP,
+        "pts AS (SELECT item_id, 0 AS s, z AS v FROM p)",
+        f"c0 AS (SELECT 0 AS s, row_number() OVER (ORDER BY item_id) - 1 AS cluster_id, v AS mu FROM pts QUALIFY cluster_id < {k})",
+        sql_lloyd("pts", "c0", "c"),
+        """a AS (SELECT p.item_id, c.cluster_id FROM p CROSS JOIN c
+  QUALIFY row_number() OVER (PARTITION BY p.item_id ORDER BY list_distance(p.z, c.mu), c.cluster_id) = 1)""",
+    )
 
 
-@register("kmeans_fit", sql_lloyd(10, ROUNDS) + f"SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a{ROUNDS + 1}")
+@register("kmeans_fit", sql_kmeans(10) + "SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a")
 def q_kmeans_fit(spark, sf):
     it = S.items(spark, sf)
-    labels, _, _ = KM.kmeans_fit(it, KM.start_rows(it, 10), max_iter=ROUNDS, tol=-1.0)
+    labels, _, _ = KM.kmeans_fit(it, KM.start_rows(it, 10))
     return finish(labels)
 
 
 @register(
     "kmeans_centroids",
-    sql_lloyd(10, ROUNDS)
-    + f"""SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(pos AS BIGINT) AS dim, round(x, 6) AS value FROM (
+    sql_kmeans(10)
+    + """SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(pos AS BIGINT) AS dim, round(x, 6) AS value FROM (
   SELECT cluster_id, unnest(list_transform(mu, lambda v: v / (sqrt(list_sum(list_transform(mu, lambda y: y*y))) + 1e-10))) AS x,
-  unnest(generate_series(0, len(mu) - 1)) AS pos FROM c{ROUNDS})""",
+  unnest(generate_series(0, len(mu) - 1)) AS pos FROM c)""",
 )
 def q_kmeans_centroids(spark, sf):
     it = S.items(spark, sf)
-    _, cents, _ = KM.kmeans_fit(it, KM.start_rows(it, 10), max_iter=ROUNDS, tol=-1.0)
+    _, cents, _ = KM.kmeans_fit(it, KM.start_rows(it, 10))
     return finish(cents.select("cluster_id", F.posexplode("mu").alias("dim", "value")))
 
 
-@register("grow_k", sql_lloyd(12, ROUNDS) + f"SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a{ROUNDS + 1}")
+@register("grow_k", sql_kmeans(12) + "SELECT item_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a")
 def q_grow_k(spark, sf):
     it = S.items(spark, sf)
-    labels, _, _ = KM.grow_k(it, 10, 2, max_iter=ROUNDS, tol=-1.0)
+    labels, _, _ = KM.grow_k(it, 10, 2)
     return finish(labels)
 
 
@@ -154,21 +145,23 @@ def q_binary_dequantize(spark, sf):
 
 
 PQ_M, PQ_BITS = 8, 4
-SQL_PQ = f"""sub AS (SELECT item_id, z, [z[s * 8 + 1: s * 8 + 8] for s in range(8)] AS sv FROM u),
-book AS (SELECT s, code, sv[s + 1] AS cv FROM (SELECT item_id AS code, sv FROM sub WHERE item_id < {1 << PQ_BITS}), range(8) r(s)),
-enc AS (SELECT item_id, s, code FROM (SELECT b.item_id, k.s, k.code, list_sum(list_transform(list_zip(b.sv[k.s + 1], k.cv),
-    lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM sub b CROSS JOIN book k)
-  QUALIFY row_number() OVER (PARTITION BY item_id, s ORDER BY d, code) = 1),
+SQL_PQ = f"""sub AS (SELECT item_id, unnest(range(8)) AS s, unnest([z[i * 8 + 1: i * 8 + 8] for i in range(8)]) AS v FROM u),
+book0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY item_id) - 1 AS cluster_id, v AS mu FROM sub QUALIFY cluster_id < {1 << PQ_BITS}),
+{sql_lloyd("sub", "book0", "fitted")},
+book AS (SELECT s, cluster_id AS code, mu AS cv FROM fitted),
+enc AS (SELECT b.item_id, b.s, k.code FROM sub b JOIN book k ON k.s = b.s
+  QUALIFY row_number() OVER (PARTITION BY b.item_id, b.s ORDER BY list_distance(b.v, k.cv), k.code) = 1),
 pq AS (SELECT item_id, list(code ORDER BY s) AS codes FROM enc GROUP BY item_id)"""
 
 
 def _pq_codes(spark, sf):
+    """Codes under a codebook fitted on all rows."""
     it = S.items(spark, sf)
-    book = QZ.pq_codebook_from_rows(it, PQ_M, PQ_BITS)
+    book = QZ.pq_fit(it, PQ_M, PQ_BITS)
     return it, book, QZ.pq_encode(it, book, PQ_M)
 
 
-@register("pq_encode", with_(SQL_ITEMS, SQL_UNIT, SQL_PQ) + "SELECT item_id, array_to_string(codes, ',') AS codes FROM pq")
+@register("pq_encode", with_recursive(SQL_ITEMS, SQL_UNIT, SQL_PQ) + "SELECT item_id, array_to_string(codes, ',') AS codes FROM pq")
 def q_pq_encode(spark, sf):
     _, _, codes = _pq_codes(spark, sf)
     return finish(codes.select("item_id", _codes_str()))
@@ -180,14 +173,14 @@ rec AS (SELECT d.item_id, u.z, flatten(d.parts) AS recon FROM dec d JOIN u USING
 SELECT item_id, round({_max_abs_err('recon', 'z')}, 6) AS max_abs_error FROM rec"""
 
 
-@register("pq_decode", with_(SQL_ITEMS, SQL_UNIT, SQL_PQ) + ", " + SQL_PQ_DEC)
+@register("pq_decode", with_recursive(SQL_ITEMS, SQL_UNIT, SQL_PQ) + ", " + SQL_PQ_DEC)
 def q_pq_decode(spark, sf):
     it, book, codes = _pq_codes(spark, sf)
     rec = QZ.pq_decode(codes, book).withColumn("u", V.l2_normalize("z", zero="one"))
     return finish(rec.select("item_id", _max_err("recon", "u")))
 
 
-@register("quantized_store", with_(SQL_ITEMS, SQL_UNIT, SQL_PQ) + ", " + SQL_PQ_DEC)
+@register("quantized_store", with_recursive(SQL_ITEMS, SQL_UNIT, SQL_PQ) + ", " + SQL_PQ_DEC)
 def q_quantized_store(spark, sf):
     """A4 round trip: codes and codebook written as Parquet, read back, decoded."""
     it, book, codes = _pq_codes(spark, sf)
@@ -219,10 +212,15 @@ def q_storage_sizes(spark, sf):
     return finish(out.select("method", "original_bytes", "quantized_bytes", "savings"))
 
 
-@register("pq_fit")
+@register(
+    "pq_fit",
+    with_recursive(SQL_ITEMS, SQL_UNIT, SQL_PQ)
+    + """SELECT CAST(s AS BIGINT) AS subspace, CAST(code AS BIGINT) AS code,
+  round(sqrt(list_sum(list_transform(cv, lambda y: y*y))), 6) AS centre_norm FROM book""",
+)
 def q_pq_fit(spark, sf):
-    """Codebook learned by Lloyd rounds in all subspaces at once; rows-only check."""
-    book = QZ.pq_fit(S.items(spark, sf), PQ_M, PQ_BITS, rounds=5)
+    """Codebook learned by Lloyd rounds over all rows in all subspaces at once, each until it rests."""
+    book = QZ.pq_fit(S.items(spark, sf), PQ_M, PQ_BITS)
     flat = book.select(F.posexplode("codebook").alias("subspace", "codes")).select(
         "subspace", F.posexplode("codes").alias("code", "centre")
     )

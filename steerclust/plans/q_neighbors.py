@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import centroids as C
-from ..operators import kmeans as KM
 from ..operators import neighbors as N
 from ..operators import uncertainty as U
 from ..sources import tables as S
-from .common import SQL_CENTROIDS, SQL_ITEMS, finish, with_
+from .common import SQL_CENTROIDS, SQL_ITEMS, finish, sql_lloyd, with_, with_recursive
 from .q_clusters import SQL_SCORES
 from .registry import register
 
@@ -74,25 +73,30 @@ def q_nearest_cross_cluster(spark, sf):
     return finish(N.nearest_cross_cluster(it, seeds.select("seed_id")))
 
 
-SQL_IVF = """cells AS (SELECT item_id AS cell, u AS mu FROM u WHERE item_id < 16),
-sc AS (SELECT u.item_id, c.cell, list_inner_product(u.u, c.mu) AS ip FROM u CROSS JOIN cells c),
-dcell AS (SELECT item_id, cell FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ip DESC, cell) = 1),
-qcell AS (SELECT item_id, cell FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ip DESC, cell) <= 4),
+SQL_CELLS = f"""unit AS (SELECT item_id, 0 AS s, u AS v FROM u),
+cells0 AS (SELECT 0 AS s, row_number() OVER (ORDER BY item_id) - 1 AS cluster_id, v AS mu FROM unit QUALIFY cluster_id < 16),
+{sql_lloyd("unit", "cells0", "rested")},
+cells AS (SELECT cluster_id AS cell, list_transform(mu, lambda x: x / CASE WHEN sqrt(list_sum(list_transform(mu, lambda y: y*y))) = 0
+  THEN 1.0 ELSE sqrt(list_sum(list_transform(mu, lambda y: y*y))) END) AS mu FROM rested)"""
+
+
+def sql_probe(stored: str) -> str:
+    """Search with 4 probes for all ``u``; ``stored(item_id, u)`` are the vectors in the index."""
+    return f"""dcell AS (SELECT d.item_id, c.cell FROM {stored} d CROSS JOIN cells c
+  QUALIFY row_number() OVER (PARTITION BY d.item_id ORDER BY list_inner_product(d.u, c.mu) DESC, c.cell) = 1),
+qcell AS (SELECT u.item_id, c.cell FROM u CROSS JOIN cells c
+  QUALIFY row_number() OVER (PARTITION BY u.item_id ORDER BY list_inner_product(u.u, c.mu) DESC, c.cell) <= 4),
 cand AS (SELECT q.item_id, d.item_id AS neighbor_id, list_inner_product(uq.u, ud.u) AS similarity
-  FROM qcell q JOIN dcell d USING (cell) JOIN u uq ON uq.item_id = q.item_id JOIN u ud ON ud.item_id = d.item_id)"""
+  FROM qcell q JOIN dcell d USING (cell) JOIN u uq ON uq.item_id = q.item_id JOIN {stored} ud ON ud.item_id = d.item_id)
+SELECT item_id, CAST(rank AS BIGINT) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, neighbor_id) - 1 AS rank FROM cand) WHERE rank < 10"""
 
 
-@register(
-    "knn_ivf",
-    with_(SQL_ITEMS, SQL_U, SQL_IVF)
-    + """SELECT item_id, CAST(rank AS BIGINT) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, neighbor_id) - 1 AS rank FROM cand) WHERE rank < 10""",
-)
+@register("knn_ivf", with_recursive(SQL_ITEMS, SQL_U, SQL_CELLS, sql_probe("u")))
 def q_knn_ivf(spark, sf):
-    """IVF with 16 fixed coarse cells (the first items' vectors, as the start rows of FIXTURES) and 4 probes."""
+    """IVF with 16 cells, Lloyd rounds over all rows until they rest, and 4 probes."""
     it = S.items(spark, sf)
-    cells = KM.start_rows(it, 16)
-    return finish(N.knn_ivf(it, cells, k=10, nprobe=4))
+    return finish(N.knn_ivf(it, N.rested_cells(it, 16), k=10, nprobe=4))
 
 
 @register("knn_ivf_trained")
@@ -137,12 +141,19 @@ def q_upsert_vectors(spark, sf):
     return finish(out.select("item_id", "cluster_id", F.col("z")[0].alias("x0")))
 
 
-@register("knn_pq")
+SQL_STORED = """sub AS (SELECT item_id, unnest(range(8)) AS s, unnest([u[i * 8 + 1: i * 8 + 8] for i in range(8)]) AS v FROM u),
+book0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY item_id) - 1 AS cluster_id, v AS mu FROM sub QUALIFY cluster_id < 16),
+{fitted},
+enc AS (SELECT b.item_id, b.s, k.mu AS cv FROM sub b JOIN fitted k ON k.s = b.s
+  QUALIFY row_number() OVER (PARTITION BY b.item_id, b.s ORDER BY list_distance(b.v, k.mu), k.cluster_id) = 1),
+stored AS (SELECT item_id, flatten(list(cv ORDER BY s)) AS u FROM enc GROUP BY item_id)""".format(fitted=sql_lloyd("sub", "book0", "fitted"))
+
+
+@register("knn_pq", with_recursive(SQL_ITEMS, SQL_U, SQL_CELLS, SQL_STORED, sql_probe("stored")))
 def q_knn_pq(spark, sf):
-    """IVF (16 fixed cells, 4 probes) over product-quantized vectors (fixed codebook, 8 × 4 bits)."""
+    """IVF (16 cells, 4 probes) over product-quantized vectors (8 × 4 bits); cells and codebook are
+    fitted on all rows."""
     from ..operators import quantize as QZ
 
     it = S.items(spark, sf)
-    cells = KM.start_rows(it, 16)
-    book = QZ.pq_codebook_from_rows(it, 8, 4)
-    return finish(N.knn_pq(it, cells, book, k=10, nprobe=4))
+    return finish(N.knn_pq(it, N.rested_cells(it, 16), QZ.pq_fit(it, 8, 4), k=10, nprobe=4))
