@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import feedback as FB
@@ -148,10 +149,7 @@ def q_apply_actions(spark, sf):
     return finish(t["links"])
 
 
-@register(
-    "action_tables",
-    with_(SQL_FEEDBACK_LOG, SQL_MESSAGES, SQL_CLASSIFIED, SQL_VALID, SQL_ASSIGN, SQL_APPLY)
-    + """, flags AS (SELECT session_id, CAST(it AS BIGINT) AS item_id FROM (
+SQL_TABLES = """flags AS (SELECT session_id, CAST(it AS BIGINT) AS item_id FROM (
     SELECT session_id, unnest(item_ids) AS it FROM v WHERE feedback_type = 'miscluster') GROUP BY ALL),
 splits AS (SELECT session_id, c AS cluster_id FROM (
     SELECT session_id, unnest(cluster_ids) AS c FROM v WHERE feedback_type = 'subcluster') GROUP BY ALL),
@@ -166,12 +164,12 @@ kw AS (SELECT DISTINCT session_id, lower(k) AS keyword FROM (
 SELECT session_id, 'flag' AS target, CAST(item_id AS VARCHAR) AS value FROM flags
 UNION ALL SELECT session_id, 'split', CAST(cluster_id AS VARCHAR) FROM splits
 UNION ALL SELECT session_id, 'label', CAST(cluster_id AS VARCHAR) || '=' || label FROM labels
-UNION ALL SELECT session_id, 'keyword', keyword FROM kw""",
-)
-def q_action_tables(spark, sf):
-    assign = S.items(spark, sf).select("item_id", "cluster_id")
-    t = FB.apply_actions(classified_messages(spark, sf), assign)
-    out = (
+UNION ALL SELECT session_id, 'keyword', keyword FROM kw"""
+
+
+def table_rows(t) -> DataFrame:
+    """Flags, splits, labels and keywords as ``(session_id, target, value)``."""
+    return (
         t["flags"].select("session_id", F.lit("flag").alias("target"), F.col("item_id").cast("string").alias("value"))
         .unionByName(t["splits"].select("session_id", F.lit("split").alias("target"), F.col("cluster_id").cast("string").alias("value")))
         .unionByName(
@@ -180,7 +178,15 @@ def q_action_tables(spark, sf):
         )
         .unionByName(t["keywords"].select("session_id", F.lit("keyword").alias("target"), F.col("keyword").alias("value")))
     )
-    return finish(out)
+
+
+@register(
+    "action_tables",
+    with_(SQL_FEEDBACK_LOG, SQL_MESSAGES, SQL_CLASSIFIED, SQL_VALID, SQL_ASSIGN, SQL_APPLY, SQL_TABLES),
+)
+def q_action_tables(spark, sf):
+    assign = S.items(spark, sf).select("item_id", "cluster_id")
+    return finish(table_rows(FB.apply_actions(classified_messages(spark, sf), assign)))
 
 
 @register(

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import state as ST
 from ..sources import tables as S
-from .common import finish
+from .common import SQL_FEEDBACK_LOG, finish
+from .q_feedback import SQL_APPLY, SQL_ASSIGN, SQL_TABLES, SQL_VALID, table_rows
+from .q_links import SQL_EV
+from .q_text import SQL_CLASSIFIED, SQL_MESSAGES, classified_messages
 from .registry import register
 
 
@@ -107,3 +110,52 @@ def q_checkpoint_write(spark, sf):
     root = ST.state_root(spark)
     path = ST.write_state_table(saves, root, "manifest")
     return finish(spark.read.parquet(path).select("session_id", "step_number", "seq"))
+
+
+SQL_STATE = f"""WITH RECURSIVE {SQL_FEEDBACK_LOG},
+{SQL_MESSAGES},
+{SQL_CLASSIFIED},
+{SQL_VALID},
+{SQL_ASSIGN},
+ops AS (SELECT session_id, seq, CASE feedback_type WHEN 'rollback' THEN 'rollback' WHEN 'reset_session' THEN 'reset' ELSE 'save' END AS op,
+  CASE WHEN feedback_type = 'rollback' THEN step_number END AS target, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r
+  FROM valid WHERE reason_code IS NULL AND feedback_type <> 'show_history'),
+rec AS (SELECT DISTINCT session_id, 0 AS r, CAST(NULL AS BIGINT) AS seq, '' AS op, CAST(NULL AS BIGINT) AS step_number,
+    CAST(NULL AS BIGINT) AS back, CAST(0 AS BIGINT) AS lo, CAST(1 AS BIGINT) AS counter FROM ops
+  UNION ALL
+  SELECT o.session_id, o.r, o.seq, o.op, CASE WHEN o.op = 'save' THEN rec.counter END,
+    CASE WHEN o.op = 'reset' THEN 0 WHEN o.op = 'rollback' AND o.target BETWEEN rec.lo AND rec.counter - 1 THEN o.target END,
+    CASE o.op WHEN 'save' THEN greatest(rec.lo, rec.counter + 1 - 10) WHEN 'reset' THEN 0 ELSE rec.lo END,
+    CASE WHEN o.op = 'save' THEN rec.counter + 1 WHEN o.op = 'reset' THEN 1
+      WHEN o.target BETWEEN rec.lo AND rec.counter - 1 THEN o.target + 1 ELSE rec.counter END
+  FROM rec JOIN ops o ON o.session_id = rec.session_id AND o.r = rec.r + 1),
+alive AS (SELECT session_id, seq FROM (SELECT *, min(back) OVER (PARTITION BY session_id ORDER BY seq DESC
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM rec WHERE r > 0)
+  WHERE op = 'save' AND (later IS NULL OR later >= step_number)),
+restored AS (SELECT session_id, max(seq) AS restored_at FROM rec WHERE back IS NOT NULL GROUP BY session_id),
+{SQL_APPLY.replace("SELECT * FROM valid WHERE reason_code IS NULL", "SELECT valid.* FROM valid JOIN alive USING (session_id, seq)")},
+ev AS (SELECT session_id, seq, kind, least(i, j) AS lo, greatest(i, j) AS hi FROM links_out WHERE i <> j),
+{SQL_EV[SQL_EV.index("me AS ("):]},
+walk AS (SELECT session_id, restored_at, i, j, i AS node FROM links JOIN restored USING (session_id) WHERE kind = 'cannot'
+  UNION SELECT w.session_id, w.restored_at, w.i, w.j, a.y FROM walk w
+  JOIN adj a ON a.session_id = w.session_id AND a.x = w.node AND a.w < w.restored_at * 268435456),
+gone AS (SELECT DISTINCT session_id, 'cannot' AS kind, i, j FROM walk WHERE node = j),
+{SQL_TABLES}
+UNION ALL SELECT session_id, kind, CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR) FROM links ANTI JOIN gone USING (session_id, kind, i, j)
+UNION ALL SELECT session_id, 'clusters', CAST(10 + sum(CASE WHEN feedback_type = 'subcluster' THEN len(cluster_ids) ELSE 0 END) AS VARCHAR)
+  FROM valid JOIN ops USING (session_id, seq) WHERE op = 'save' GROUP BY session_id"""
+
+
+@register("restored_state", SQL_STATE)
+def q_restored_state(spark, sf):
+    """Links, flags, splits, labels, keywords and cluster number of every session at the end of
+    its messages, rollbacks and resets."""
+    actions = classified_messages(spark, sf)
+    t = ST.session_state(actions, S.items(spark, sf).select("item_id", "cluster_id"))
+    pairs = F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string"))
+    out = (
+        table_rows(t)
+        .unionByName(t["links"].select("session_id", F.col("kind").alias("target"), pairs.alias("value")))
+        .unionByName(t["clusters"].select("session_id", F.lit("clusters").alias("target"), F.col("n_clusters").cast("string").alias("value")))
+    )
+    return finish(out)
