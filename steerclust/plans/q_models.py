@@ -303,6 +303,52 @@ def q_feedback_loss(spark, sf):
     return finish(out.select("session_id", "loss_must_link", "loss_cannot_link", "loss_miscluster", "loss_cluster", "total"))
 
 
+SQL_MORE_TERMS = """var AS (SELECT cluster_id, avg(q0) AS v0, avg(q1) AS v1 FROM own GROUP BY cluster_id HAVING count(*) > 1),
+sp AS (SELECT s.session_id, 3.0 * least(sum(1 / (v0 + 1e-4)), sum(1 / (v1 + 1e-4))) AS loss_cluster_split
+  FROM (SELECT DISTINCT session_id, a % 10 AS cluster_id FROM feedback_log WHERE feedback_type = 'cannot_link') s JOIN var USING (cluster_id) GROUP BY ALL),
+lb AS (SELECT session_id, b % 10 AS cluster_id, max_by(a, seq) AS item_id FROM feedback_log WHERE feedback_type = 'assign_outlier' GROUP BY ALL),
+co AS (SELECT session_id, 2.0 * (sum(power(list_distance(c.c0, f.h0), 2)) + sum(power(list_distance(c.c1, f.h1), 2))) / count(*) / 2 AS loss_concept
+  FROM lb JOIN ch c USING (cluster_id) JOIN hf f ON f.item_id = lb.item_id GROUP BY session_id),
+spread AS (SELECT k.item_id, var_samp(list_inner_product(f.h0, k.h0)) AS v0, var_samp(list_inner_product(f.h1, k.h1)) AS v1
+  FROM hf k CROSS JOIN hf f WHERE k.item_id < 40 GROUP BY k.item_id),
+kw AS (SELECT session_id, 2.0 * least(avg(1 / (v0 + 1e-4)), avg(1 / (v1 + 1e-4))) AS loss_keyword
+  FROM (SELECT DISTINCT session_id, a AS item_id FROM feedback_log WHERE feedback_type = 'emphasize_feature') JOIN spread USING (item_id) GROUP BY session_id)"""
+
+
+@register(
+    "feedback_loss_terms",
+    "WITH RECURSIVE " + ",\n".join([SQL_FEEDBACK_LOG, SQL_EV, SQL_ITEMS, SQL_HEADS, SQL_LOSS, SQL_MORE_TERMS])
+    + """,
+al AS (SELECT session_id FROM sess UNION SELECT session_id FROM sp UNION SELECT session_id FROM co UNION SELECT session_id FROM kw)
+SELECT session_id, round(coalesce(loss_cluster_split, 0.0), 6) AS loss_cluster_split, round(coalesce(loss_concept, 0.0), 6) AS loss_concept,
+  round(coalesce(loss_keyword, 0.0), 6) AS loss_keyword,
+  round(loss_cluster + 3.0 * (coalesce(loss_must_link, 0.0) + coalesce(loss_cannot_link, 0.0) + coalesce(loss_miscluster, 0.0)
+    + coalesce(loss_cluster_split, 0.0) + coalesce(loss_concept, 0.0) + coalesce(loss_keyword, 0.0)), 6) AS total
+FROM al LEFT JOIN ml USING (session_id) LEFT JOIN cl USING (session_id) LEFT JOIN mis USING (session_id) LEFT JOIN sp USING (session_id)
+  LEFT JOIN co USING (session_id) LEFT JOIN kw USING (session_id), lc""",
+)
+def q_feedback_loss_terms(spark, sf):
+    """D16 with every term: the clusters of cannot links are split, outlier targets carry the
+    outlier's vector as label, emphasised items stand for keywords."""
+    hd = S.heads(spark, sf)
+    cents = C.centroids(hd.select("item_id", "cluster_id", V.flatten_heads("heads").alias("z"))).select("cluster_id", V.split_heads("mu", 2).alias("mu"))
+    fl = S.feedback_log(spark, sf)
+    t = F.col("feedback_type")
+    vector = hd.select(F.col("item_id").alias("a"), "heads")
+    flags = fl.where(t == "miscluster").select("session_id", F.col("a").alias("item_id"))
+    splits = fl.where(t == "cannot_link").select("session_id", (F.col("a") % 10).cast("int").alias("cluster_id"))
+    labels = fl.where(t == "assign_outlier").groupBy("session_id", (F.col("b") % 10).cast("int").alias("cluster_id")).agg(F.max_by("a", "seq").alias("a"))
+    words = fl.where(t == "emphasize_feature").select("session_id", "a").distinct()
+    terms = M.feedback_loss_terms(
+        hd, cents, L.resolve_links(S.link_events(spark, sf)), flags, splits,
+        labels_z=labels.join(vector, "a").withColumnRenamed("heads", "label_z"),
+        keywords_z=words.join(vector, "a").select("session_id", F.col("a").alias("keyword"), F.col("heads").alias("kw_z")),
+        keys=("session_id",),
+    )
+    out = M.combine_loss(terms, keys=("session_id",))
+    return finish(out.select("session_id", "loss_cluster_split", "loss_concept", "loss_keyword", "total"))
+
+
 @register(
     "decorrelation",
     with_(SQL_ITEMS, SQL_HEADS)
