@@ -399,10 +399,9 @@ def q_metric_fit_epoch(spark, sf):
 
 @register("refine_round")
 def q_refine_round(spark, sf):
-    """A feedback round over the documents and the whole message log; rows-only. One epoch of
-    three clustering rounds, as ever; ``refine_round`` itself defaults to ten with full clustering."""
+    """A feedback round over the documents and the whole message log; rows-only."""
     from .refine import refine_round
 
     docs = S.load_items(spark, f"{sf.rstrip('/')}/documents.parquet", id_col="doc_id")
-    out = refine_round(spark, docs, S.messages(spark, sf), n_clusters=5, epochs=1, kmeans_rounds=3, kmeans_tol=-1.0)
+    out = refine_round(spark, docs, S.messages(spark, sf), n_clusters=5)
     return finish(out.select("cluster_id", "size", "title"))
