@@ -6,8 +6,9 @@
   Optional event-time dedupe: ``withWatermark(ts) + dropDuplicatesWithinWatermark(session, seq)``.
 * ``stream_links`` (J2): link events are appended to an event table (deduplicated on read by
   (session, seq), so replays are harmless); the order-exact link store (I5) is recomputed for
-  the session buckets touched by the batch only, and those buckets are overwritten. Late or
-  out-of-order files therefore give the same end state as the batch job.
+  the sessions touched by the batch only, and their buckets are overwritten together with the
+  stored links of the other sessions. Late or out-of-order files therefore give the same end
+  state as the batch job. ``buckets`` should be about the bytes of all events over 128 MB.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import feedback as FB
 from ..operators import links as L
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 
 BUCKETS = 64
 
@@ -88,19 +89,26 @@ def stream_links(
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select("session_id", "seq", "kind", "i", "j").withColumn("bucket", bucket)
-        b.write.mode("append").partitionBy("bucket").parquet(events_path)
-        touched = [r["bucket"] for r in b.select("bucket").distinct().collect()]  # ≤ `buckets` ids
-        if not touched:
-            return
-        ev = (
-            spark.read.parquet(events_path)
-            .where(F.col("bucket").isin(touched))
-            .dropDuplicates(["session_id", "seq"])
-        )
-        res = L.resolve_links(ev.drop("bucket")).withColumn("bucket", bucket)
-        res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(links_path)
-
+        b = batch.select("session_id", "seq", "kind", "i", "j").withColumn("bucket", bucket).persist()
+        try:
+            b.write.mode("append").partitionBy("bucket").parquet(events_path)
+            sessions = b.select("session_id", "bucket").distinct()
+            touched = [r["bucket"] for r in sessions.select("bucket").distinct().collect()]  # ≤ `buckets` ids
+            if not touched:
+                return
+            own = F.col("bucket").isin(touched)
+            ev = spark.read.parquet(events_path).where(own).join(sessions, ["session_id", "bucket"], "left_semi")
+            res = L.resolve_links(ev.dropDuplicates(["session_id", "seq"]).drop("bucket")).withColumn("bucket", bucket)
+            kept = spark.read.schema(res.schema).parquet(links_path).where(own).join(sessions, ["session_id", "bucket"], "left_anti")
+            # written first: the buckets it is read from are overwritten
+            whole = cut_lineage(res.unionByName(kept.select(*res.columns)))
+            whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(links_path)
+        finally:
+            b.unpersist()
+
+    L.resolve_links(spark.createDataFrame([], "session_id long, seq long, kind string, i long, j long")).withColumn("bucket", bucket).write.mode(
+        "ignore"
+    ).partitionBy("bucket").parquet(links_path)
     q = (
         stream.writeStream.foreachBatch(per_batch)
         .option("checkpointLocation", f"{root}/_checkpoint")
