@@ -29,7 +29,7 @@ def test_oracles_are_for_registered_queries():
     assert all(isinstance(s, str) and s.strip() for s in o.values())
 
 
-@pytest.mark.parametrize("name", ["kmeans_best", "kmeans_ml", "knn_lsh", "knn_pq", "knn_ivf_trained", "pq_fit", "metric_fit_epoch", "refine_round"])
+@pytest.mark.parametrize("name", ["kmeans_best", "kmeans_ml", "knn_lsh", "knn_ivf_trained", "metric_fit_epoch", "refine_round"])
 def test_queries_without_oracle_run(spark, name):
     mod = _entry()
     assert name not in mod.oracle_sql()
