@@ -316,3 +316,54 @@ def test_components_over_many_tasks(spark, monkeypatch):
     common.prepare(spark)
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{k: 100 for k in range(101, 130)}, 5000: 100}
+
+
+def licenses_of(spark, texts):
+    from steerclust.llm.license_scan import license_scan
+
+    rows = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[m["license"] for m in r["matches"]] for r in sorted(rows, key=lambda r: r["doc_id"])], {r["doc_id"]: r["matches"] for r in rows}
+
+
+def test_license_neighbours(spark):
+    """Versions, clauses and names decide, not coverage alone; whole texts are one whole match."""
+    from steerclust.llm.license_templates import TEMPLATES, all_templates
+
+    start = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    one = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    two = ("2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+           "documentation and/or other materials provided with the distribution. ")
+    ads = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes X. "
+    name = "4. Neither the name of Some Company, Inc. nor the names of its people may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = "THIS SOFTWARE IS PROVIDED BY" + TEMPLATES["BSD-3-Clause"][1].split("THIS SOFTWARE IS PROVIDED BY")[1]
+    gnu = ("This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the "
+           "Free Software Foundation; either version {2} of the License, or (at your option) any later version.")
+    cases = {
+        start + one + two + end: "BSD-2-Clause",
+        start + one + two + name + end: "BSD-3-Clause",
+        start + one + two + ads + name + end: "BSD-4-Clause",
+        start + one: "BSD",
+        gnu.format("program", "", "2"): "GPL-2.0",
+        gnu.format("program", "", "3"): "GPL-3.0",
+        gnu.format("library", "Lesser ", "2.1"): "LGPL-2.1",
+        gnu.format("library", "Library ", "2"): "LGPL-2.0",
+        gnu.format("library", "Lesser ", "3"): "LGPL-3.0",
+        gnu.format("program", "Affero ", "3"): "AGPL-3.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "Licensed under the MIT License": "MIT",
+        "Licensed under the BSD License": None,
+        "Licensed under the Apache License, Version 1.1": None,
+        **{f"Licensed under CC {k} {v}": f"CC-{k}-{v}" for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "3.0", "4.0")},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "CC-BY-NC-SA-4.0",
+        **{t.replace("[[", "").replace("]]", ""): n for n in ("MIT", "MIT-0", "X11", "ISC", "0BSD", "Zlib") for t in TEMPLATES[n][-1:]},
+        **{all_templates()[n][-1].replace("[[", "").replace("]]", ""): n
+           for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "GFDL-1.2", "GFDL-1.3")},
+    }
+    found, rows = licenses_of(spark, [f"before it some words. {t} And after it." for t in cases])
+    for (text, want), got in zip(cases.items(), found):
+        assert got == ([want] if want else []), (text[:80], want, got)
+    for k, (text, want) in enumerate(cases.items()):
+        if want not in (None, "BSD") and len(text) > 1000:
+            assert rows[k][0]["coverage"] > 0.9 and rows[k][0]["end_byte"] - rows[k][0]["start_byte"] > 0.95 * len(text) - 60, (want, rows[k])
