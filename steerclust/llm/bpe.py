@@ -204,6 +204,8 @@ class Bpe:
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.specials = [t["content"] for t in spec["added_tokens"]]
+        # what a special string begins with that no normalisation makes: every text without it is done with
+        self.special_starts = ["<|"] if all(s.startswith("<|") for s in self.specials) else [""]
         # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
@@ -334,9 +336,17 @@ class Bpe:
             rank[row[back], best[back] - 1] = self.rank(ids[row[back], best[back] - 1], new[back])
         return final, used
 
+    def has_special(self, text: str) -> bool:
+        """Whether a text holds a special string, or would after normalisation."""
+        if not any(c in text for c in self.special_starts):
+            return False
+        low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return any(s in text or s in low for s in self.specials)
+
     def apart(self, texts: list[str], data: np.ndarray, aside: tuple[str, ...] = ()) -> list[int]:
-        """Texts for the library: with special strings, characters of no known class, or ``aside``."""
-        found = {i for i, t in enumerate(texts) for s in self.specials if s in t} if b"<|" in data.tobytes() else set()
+        """Texts for the library: with special strings in any case, characters of no known class, or
+        ``aside``."""
+        found = {i for i, t in enumerate(texts) if t and self.has_special(t)}
         if len(data) and data.max() >= 0x80:
             table = class_table()
             for i, t in enumerate(texts):

@@ -273,14 +273,17 @@ def _write(path: str, end_id: int):
 
 def normalize(arr: pa.Array, bpe) -> pa.Array:
     """The vocabulary's normalisation (NFC, lower case; blanks need none, they are dropped). Texts
-    where case mapping depends on more than the character are left for the library."""
+    where case mapping depends on more than the character, and texts that hold a special string or
+    would by this, are left as they are for the library."""
     import unicodedata
 
     out = []
     for t in arr.to_pylist():
-        if t.isascii():
-            out.append(t.lower() if not any(s in t for s in bpe.specials) else t)
-        elif any(s in t for s in (*CASED, *bpe.specials)):
+        if bpe.has_special(t):
+            out.append(t)
+        elif t.isascii():
+            out.append(t.lower())
+        elif any(s in t for s in CASED):
             out.append(t)
         else:
             out.append(unicodedata.normalize("NFC", t).lower())

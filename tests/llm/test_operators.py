@@ -367,3 +367,25 @@ def test_license_neighbours(spark):
     for k, (text, want) in enumerate(cases.items()):
         if want not in (None, "BSD") and len(text) > 1000:
             assert rows[k][0]["coverage"] > 0.9 and rows[k][0]["end_byte"] - rows[k][0]["start_byte"] > 0.95 * len(text) - 60, (want, rows[k])
+
+
+@pytest.mark.parametrize("file,gaps", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_special_strings_in_any_case(file, gaps):
+    """The raw text decides what the library gets: lower-casing makes no special string."""
+    import random
+
+    import pyarrow as pa
+
+    from steerclust.llm import bpe
+    from steerclust.llm.range_coder import CASED, normalize
+
+    rnd = random.Random(7)
+    parts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "|>", "ENDOFTEXT", " ", "a", "É", "é", "̸", "Σ", "İ", "K"]
+    texts_ = ["".join(rnd.choices(parts, k=rnd.randint(1, 8))) for _ in range(2000)] + ["a <|ENDOFTEXT|> b", "ä <|ENDOFTEXT|> b"]
+    vocab = bpe.load(public_tokenizers.path(file))
+    want = [e.ids for e in vocab.library.encode_batch(texts_, add_special_tokens=False)]
+    arr = pa.array(texts_)
+    flat, n = bpe.encode(vocab, normalize(arr, vocab), True, CASED) if gaps else bpe.encode(vocab, arr, False)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    if gaps:
+        assert want[-2] == [320, 27, 347, 40786, 4160, 91, 285, 321]
