@@ -389,3 +389,26 @@ def test_special_strings_in_any_case(file, gaps):
     assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
     if gaps:
         assert want[-2] == [320, 27, 347, 40786, 4160, 91, 285, 321]
+
+
+def test_hot_contexts_are_spread(spark, docs, monkeypatch):
+    """Contexts with many pairs go over all shards, with the same scores as in one."""
+    from pyspark.sql import functions as F
+
+    from steerclust.llm import ngram_lm as lm
+
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    texts_ = spark.createDataFrame([(i, " ".join(f"the x{(i * 37 + k * k) % 211}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    rows = texts_.unionByName(docs.select("doc_id", "text"))
+    key_ = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"])
+    whole = sorted(lm.score_texts(rows, held).collect(), key=key_)
+    spread = sorted(lm.score_texts(rows, held, hot_pairs=2, wide=1).collect(), key=key_)
+    assert len(whole) == len(spread) == rows.count()
+    for a, b in zip(whole, spread):
+        assert a[:5] == b[:5] and a["base_score"] == pytest.approx(b["base_score"], rel=1e-9) and a["score"] == pytest.approx(b["score"], rel=1e-9)
+    # no answer task sees all successors of one hot context
+    names = np.full(500, 7, np.uint64)
+    b = type("Block", (), {"context_words": names[:1], "contexts": np.array([0]), "sizes": lambda self: np.array([500]),
+                           "words": lm.mix(np.arange(500).astype(np.uint64)), "pairs": np.arange(500)})()
+    cuts = lm._Spread(b, names[:1], 16).cuts
+    assert np.diff(cuts).sum() == 500 and np.diff(cuts).max() < 100
