@@ -42,3 +42,11 @@ def test_recall_at_registered_settings(spark):
     recall = {name: N.recall_at_k(df, exact).first()[0] for name, df in found.items()}
     print(recall)
     assert recall["ivf"] >= 0.6 and recall["pq"] >= 0.3 and recall["lsh"] >= 0.1
+
+
+def test_wide_search_recall(spark):
+    from steerclust.plans.registry import queries
+
+    for sf in ("/root/testdata/sf0.001", SF01):
+        found = queries()["knn_ivf_wide"](spark, sf)
+        assert N.recall_at_k(found, N.knn_exact(S.items(spark, sf), 10)).first()[0] >= 0.9
