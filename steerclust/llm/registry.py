@@ -23,6 +23,7 @@ MODULES = (
     "token_transducer",
     "license_scan",
     "odd_sketch_dedup",
+    "conversation_trie",
 )
 
 
