@@ -24,6 +24,7 @@ MODULES = (
     "license_scan",
     "odd_sketch_dedup",
     "conversation_trie",
+    "token_alignment",
 )
 
 
