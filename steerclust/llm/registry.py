@@ -25,6 +25,7 @@ MODULES = (
     "odd_sketch_dedup",
     "conversation_trie",
     "token_alignment",
+    "toxicity_channel",
 )
 
 
