@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_BASE, NON_BLANK, U64, Rolling, Words, mix, prepare, random_words, text_buffers, text_slices
+from .common import BYTE_BASE, NON_BLANK, U64, Rolling, Words, materialize, mix, prepare, random_words, text_buffers, text_slices
 
 SYMBOLS = 28  # 0: anything but a letter, 1 to 26: a to z, 27: a byte of another letter
 BUCKETS = 1 << 20
@@ -349,7 +349,7 @@ def _count(held):
         at = np.flatnonzero(total.any(axis=0))
         for i in range(0, len(at), 1 << 17):
             some = at[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_pydict({"bucket": some} | {f"n{g}": total[g, some] for g in range(4)})
+            yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32)} | {f"n{g}": total[g, some].astype(np.int32) for g in range(4)})
 
     return run
 
@@ -418,11 +418,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) == 1).cast("int").alias("toxic"))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     train = source.where("doc_id is not null").where(~held_out()).withColumn("hash", F.xxhash64("text"))
-    train = train.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(marks, ["doc_id", "salt"])
+    # a merge join at every size: labels are a share of all rows, so no broadcast; texts move once
+    train = train.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(marks.hint("merge"), ["doc_id", "salt"])
     # equal texts lie in one half, so no text is judged by its own copies
-    train = train.select("text", (F.pmod(F.xxhash64("hash"), F.lit(2)) + 2 * F.col("toxic")).cast("int").alias("kind"))
+    train = materialize(train.select("text", (F.pmod(F.xxhash64("hash"), F.lit(2)) + 2 * F.col("toxic")).cast("int").alias("kind")), "labelled")
     held = spark.sparkContext.broadcast(characters)
-    sums = train.mapInArrow(_count(held), "bucket long, n0 long, n1 long, n2 long, n3 long").groupBy("bucket").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(4)])
+    sums = train.mapInArrow(_count(held), "bucket int, n0 int, n1 int, n2 int, n3 int").groupBy("bucket").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(4)])
     table = sums.toArrow()  # at most 2 * BUCKETS + 1 rows
     n = np.zeros((4, 2 * BUCKETS + 1))
     at = table.column("bucket").to_numpy()
