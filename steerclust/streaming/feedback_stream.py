@@ -4,11 +4,11 @@
   written to ``accepted`` / ``quarantine`` tables partitioned by batch id with dynamic
   partition overwrite, so a replayed batch rewrites exactly its own output (idempotent sink).
   Optional event-time dedupe: ``withWatermark(ts) + dropDuplicatesWithinWatermark(session, seq)``.
-* ``stream_links`` (J2): link events are appended to an event table (deduplicated on read by
-  (session, seq), so replays are harmless); the order-exact link store (I5) is recomputed for
-  the sessions touched by the batch only, and their buckets are overwritten together with the
-  stored links of the other sessions. Late or out-of-order files therefore give the same end
-  state as the batch job. ``buckets`` should be about the bytes of all events over 128 MB.
+* ``stream_links`` (J2): every micro-batch is folded into an incremental link store (see
+  ``link_state``): of a touched session only its spanning forest and live cannot events are read,
+  whatever its history, and late or out-of-order rows give the same end state as the batch job. The
+  links are written once more as a plain table when the stream has ended. ``buckets`` should be
+  about the bytes of all state over 128 MB.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import feedback as FB
-from ..operators import links as L
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir
+from .link_state import LinkStore
 
 BUCKETS = 64
 
@@ -84,36 +84,14 @@ def stream_links(
 ) -> str:
     """Keep the resolved link store current while link events arrive; returns its path."""
     root = _root(spark, root)
-    events_path, links_path = f"{root}/events", f"{root}/links"
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    store = LinkStore(spark, root, buckets)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select("session_id", "seq", "kind", "i", "j").withColumn("bucket", bucket).persist()
-        try:
-            b.write.mode("append").partitionBy("bucket").parquet(events_path)
-            sessions = b.select("session_id", "bucket").distinct()
-            touched = [r["bucket"] for r in sessions.select("bucket").distinct().collect()]  # ≤ `buckets` ids
-            if not touched:
-                return
-            own = F.col("bucket").isin(touched)
-            ev = spark.read.parquet(events_path).where(own).join(sessions, ["session_id", "bucket"], "left_semi")
-            res = L.resolve_links(ev.dropDuplicates(["session_id", "seq"]).drop("bucket")).withColumn("bucket", bucket)
-            kept = spark.read.schema(res.schema).parquet(links_path).where(own).join(sessions, ["session_id", "bucket"], "left_anti")
-            # written first: the buckets it is read from are overwritten
-            whole = cut_lineage(res.unionByName(kept.select(*res.columns)))
-            whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(links_path)
-        finally:
-            b.unpersist()
-
-    L.resolve_links(spark.createDataFrame([], "session_id long, seq long, kind string, i long, j long")).withColumn("bucket", bucket).write.mode(
-        "ignore"
-    ).partitionBy("bucket").parquet(links_path)
     q = (
-        stream.writeStream.foreachBatch(per_batch)
+        stream.writeStream.foreachBatch(store.add)
         .option("checkpointLocation", f"{root}/_checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return links_path
+    store.links().write.mode("overwrite").parquet(f"{root}/links")
+    return f"{root}/links"
