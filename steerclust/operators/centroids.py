@@ -3,7 +3,8 @@
 Vectors are summed per (cluster, dimension) after ``posexplode``; Spark's partial aggregation
 combines map-side, so a cluster holding a third of all rows costs no more than any other.
 Centroid tables are small (K × d) and reach the item side through a size-checked broadcast
-equi-join (``attach_centroids``), never a cross join.
+equi-join (``attach_centroids``), never a cross join; larger ones are scored group by group and
+only the scores are put together (``merge_partials``).
 """
 
 from __future__ import annotations
@@ -101,34 +102,46 @@ def remember_size(cents: DataFrame, rows: int, doubles: int) -> DataFrame:
 
 
 def attach_centroids(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, int]:
-    """Give every row of ``df`` the centroid list ``cents ARRAY<STRUCT<cluster_id, mu>>``.
+    """Give every row of ``df`` the centroid list ``cents ARRAY<STRUCT<cluster_id, mu>>``, in
+    ``cluster_id`` order; returns the rows and the number of lists per row.
 
-    The centroid table is measured first (one tiny job). Up to ``max_bytes`` it is one group,
+    The centroid table is measured first (one tiny job). Up to ``max_bytes`` it is one list,
     broadcast through an equi-join on a constant group key. Beyond that it is split into G groups
-    of bounded size: each row (numbered, in the shared checkpoint folder) is repeated once per
-    group, joined without broadcast on (group, salt) so that no key holds every row, and its G
-    partial lists are put together again. The list is complete and in ``cluster_id`` order at any
-    size; the second value returned is always 1 (lists per row).
+    of bounded size: each row (numbered, in the shared checkpoint folder) appears once per group
+    (``_row``, ``_g``) with that group's list, through a join without broadcast on (group, salt), so
+    that no key holds every row. The lists of a row are never put together: callers score each of
+    them and combine the scores (``merge_partials``, or nothing where every centroid gives a row).
     """
     k, d = measured_size(cents)
     est = k * max(d, 1) * 8
     groups = max(1, math.ceil(est / max_bytes))
     packed = (
-        cents.withColumn("g", F.pmod(F.col("cluster_id"), F.lit(groups)).cast("int"))
-        .groupBy("g")
+        cents.withColumn("_g", F.pmod(F.col("cluster_id"), F.lit(groups)).cast("int"))
+        .groupBy("_g")
         .agg(F.array_sort(F.collect_list(F.struct(*cents.columns))).alias("cents"))
     )
     if groups == 1:
-        left = df.withColumn("g", const_key(df))
-        return left.join(F.broadcast(packed), "g").drop("g"), 1
+        left = df.withColumn("_g", const_key(df))
+        return left.join(F.broadcast(packed), "_g").drop("_g"), 1
     salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
     left = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).withColumn(
-        "g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+        "_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
     right = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    whole = left.join(right, ["g", "_salt"]).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("cents"))).alias("cents"))
-    return numbered.join(whole, "_row").drop("_row"), 1
+    return left.join(right, ["_g", "_salt"]).drop("_salt"), groups
+
+
+def merge_partials(joined: DataFrame, groups: int, keep: list[str], partial: F.Column, merge, out: str) -> DataFrame:
+    """``(*keep, out)``: one score per row from the scores of its centroid lists. ``partial`` scores one
+    list; ``merge`` makes one value of the array of a row's partial values. What is shuffled is the
+    partial values, and the kept columns once."""
+    if groups == 1:
+        return joined.select(*keep, partial.alias(out))
+    first = F.col("_g") == 0
+    parts = joined.select("_row", *[F.when(first, F.col(c)).alias(c) for c in keep], F.struct(partial.alias("p")).alias("_part"))
+    whole = parts.groupBy("_row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keep], F.collect_list("_part").alias("_parts"))
+    return whole.select(*keep, merge(F.transform("_parts", lambda p: p["p"])).alias(out))
 
 
 def join_own_centroid(df: DataFrame, cents: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..session import cut_lineage
-from .centroids import attach_centroids, remember_size
+from .centroids import attach_centroids, merge_partials, remember_size
 
 # Numbers in one block of point-centre differences (32 MB of doubles).
 DIFF_CELLS = 1 << 22
@@ -35,9 +35,7 @@ def _assign(df: DataFrame, cents: DataFrame, vec: str) -> DataFrame:
         F.transform("cents", lambda c: F.struct(V.sq_euclidean(vec, c["mu"]).alias("d"), c["cluster_id"].alias("k")))
     )
     keep = [c for c in df.columns]
-    out = j.select(*keep, best.alias("_b"))
-    if groups > 1:
-        out = out.groupBy(*keep).agg(F.min("_b").alias("_b"))
+    out = merge_partials(j, groups, keep, best, F.array_min, "_b")
     return out.select(*keep, F.col("_b.k").alias("cluster_id"), F.col("_b.d").alias("sq_dist"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import cut_lineage
 from . import pairs as P
-from .centroids import attach_centroids
+from .centroids import attach_centroids, merge_partials
 
 
 def normalized(df: DataFrame, vec: str = "z", out: str = "u") -> DataFrame:
@@ -114,11 +114,12 @@ def nearest_cross_cluster(df: DataFrame, seeds: DataFrame, vec: str = "z") -> Da
 def assign_cells(df: DataFrame, cells: DataFrame, vec: str = "u", nprobe: int = 1) -> DataFrame:
     """Nearest ``nprobe`` cells by inner product (the coarse quantizer is an inner-product index):
     adds ``cell`` (exploded when nprobe > 1) and ``probe`` (0 = nearest)."""
-    j, _ = attach_centroids(df, cells)
+    j, groups = attach_centroids(df, cells)
     scored = F.array_sort(
         F.transform("cents", lambda c: F.struct((-V.dot(vec, c["mu"])).alias("neg"), c["cluster_id"].alias("cell")))
     )
-    return j.select(*df.columns, F.posexplode(F.slice(scored, 1, nprobe)).alias("probe", "c")).select(
+    near = merge_partials(j, groups, df.columns, F.slice(scored, 1, nprobe), lambda parts: F.slice(F.array_sort(F.flatten(parts)), 1, nprobe), "_near")
+    return near.select(*df.columns, F.posexplode("_near").alias("probe", "c")).select(
         *df.columns, "probe", F.col("c.cell").alias("cell")
     )
 
@@ -173,24 +174,19 @@ def knn_lsh(df: DataFrame, k: int = 10, planes: int = 8, tables: int = 4, vec: s
     dim = int(u.select(F.max(F.size("u"))).first()[0])
     hp = lsh_planes(df.sparkSession, dim, planes, tables, seed)
     hp = hp.select((F.col("table") * planes + F.col("plane")).alias("cluster_id"), "mu", "table", "plane")
-    j, _ = attach_centroids(u, hp)
-    bits = j.select(
-        "item_id",
-        "u",
-        F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"),
-        "cents",
-    ).select(
-        "item_id",
-        "u",
-        "table",
-        F.aggregate(
-            F.filter("cents", lambda c: c["table"] == F.col("table")),
+    j, groups = attach_centroids(u, hp)
+    # the bit of a plane has the plane's place, so the planes of a table may come in several lists
+    signs = F.transform(
+        F.sequence(F.lit(0), F.lit(tables - 1)),
+        lambda t: F.aggregate(
+            F.filter("cents", lambda c: (c["table"] == t) & (V.dot("u", c["mu"]) > 0)),
             F.lit(0).cast("long"),
-            # every row sees the same broadcast plane list, so the bit order is the same everywhere
-            lambda acc, c: acc * 2 + F.when(V.dot("u", c["mu"]) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"),
-        ).alias("bucket"),
+            lambda acc, c: acc + F.pow(F.lit(2.0), F.lit(planes - 1) - c["plane"]).cast("long"),
+        ),
     )
-    bits = cut_lineage(bits)
+    add = lambda parts: F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), tables), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    buckets = merge_partials(j, groups, ["item_id", "u"], signs, add, "_buckets")
+    bits = cut_lineage(buckets.select("item_id", "u", F.posexplode("_buckets").alias("table", "bucket")))
     wanted = min(k, u.count())
     queries = bits.withColumnRenamed("item_id", "query_id")
     best = cut_lineage(_distinct_pairs(P.knn_within_groups(queries, bits, ["table", "bucket"], "u", k)))
@@ -227,20 +223,3 @@ def upsert_vectors(index: DataFrame, updates: DataFrame, vec: str = "z") -> Data
     """I13 upsert: rows with the same id are replaced (left anti join + union)."""
     keep = index.join(updates.select("item_id"), "item_id", "left_anti")
     return keep.unionByName(updates.select(*index.columns))
-
-
-def knn_pq(df: DataFrame, cells: DataFrame, codebook: DataFrame, k: int = 10, nprobe: int = 10, m: int = 8, vec: str = "z") -> DataFrame:
-    """IVF search where the stored vectors are product-quantized: data rows are decoded from
-    their codes (approximate), queries stay exact, scores are inner products; top-k per query."""
-    from . import quantize as QZ
-
-    u = normalized(df.select("item_id", vec), vec, "u").select("item_id", "u")
-    codes = QZ.pq_encode(u.withColumnRenamed("u", "v"), codebook, m, "v", normalize=False)
-    dec = QZ.pq_decode(codes.select("item_id", "codes"), codebook).select("item_id", F.col("recon").alias("u"))
-    ucells = normalized(cells, "mu", "mu")
-    data = assign_cells(dec, ucells, "u", 1).drop("probe")
-    queries = assign_cells(u.withColumnRenamed("item_id", "query_id"), ucells, "u", nprobe).drop("probe")
-    cands = P.knn_within_groups(queries, data, ["cell"], "u", k)
-    return _rank_topk(cands.withColumnRenamed("query_id", "item_id"), "item_id", k).select(
-        "item_id", "rank", "neighbor_id", "similarity"
-    )

@@ -102,7 +102,7 @@ def davies_bouldin(df: DataFrame, vec: str = "z") -> DataFrame:
         .agg(F.avg(V.euclidean(vec, "mu")).alias("s"))
     )
     table = means.join(spread, "cluster_id")
-    withall, _ = attach_centroids(table.select("cluster_id", "mu", "s"), table.select("cluster_id", "mu", "s"))
+    withall, groups = attach_centroids(table.select("cluster_id", "mu", "s"), table.select("cluster_id", "mu", "s"))
     others = F.filter("cents", lambda c: c["cluster_id"] != F.col("cluster_id"))
     ratios = F.transform(
         others,
@@ -118,6 +118,8 @@ def davies_bouldin(df: DataFrame, vec: str = "z") -> DataFrame:
             F.transform(ratios, lambda r: F.when(r["m"] == 0, F.lit(0.0)).otherwise(r["num"] / r["m"]))
         ).alias("score"),
     )
+    if groups > 1:
+        per = per.groupBy("cluster_id").agg(*[F.max(c).alias(c) for c in ("s", "max_m", "score")])
     agg = per.agg(
         F.avg(F.coalesce("score", F.lit(0.0))).alias("db"),
         F.max(F.abs("s")).alias("max_s"),
@@ -179,7 +181,7 @@ def learned_davies_bouldin(df: DataFrame, heads: str = "heads") -> DataFrame:
         .agg(F.sqrt(F.avg(F.array_min(V.head_sq_distances(heads, "mu")))).alias("s"))
     )
     table = hm.join(spread, "cluster_id")
-    withall, _ = attach_centroids(table, table)
+    withall, groups = attach_centroids(table, table)
     others = F.filter("cents", lambda c: c["cluster_id"] != F.col("cluster_id"))
     per = withall.select(
         "cluster_id",
@@ -189,6 +191,8 @@ def learned_davies_bouldin(df: DataFrame, heads: str = "heads") -> DataFrame:
             lambda acc, x: F.greatest(acc, x),
         ).alias("score"),
     )
+    if groups > 1:
+        per = per.groupBy("cluster_id").agg(F.max("score").alias("score"))
     c = _counts(df)
     return glue(c, per.agg(F.avg("score").alias("db"))).select(
         F.when(F.col("n_labels") >= 2, F.col("db")).alias("learned_davies_bouldin")

@@ -1,7 +1,8 @@
 """Vector quantization (I10–I12), byte accounting (A8) and a Parquet store (A4).
 
 Quantizer parameters are tiny (two scalars, one mean vector, or an M × 2^b × d/M codebook) and
-reach the rows through a broadcast equi-join on a constant key: one row, proven size. Codes are
+reach the rows through a broadcast equi-join on a constant key, a code book only if its measured size
+allows (``with_params``). Codes are
 ``ARRAY<SMALLINT>``-compatible ints (Spark has no unsigned byte; more than 8 bits also works).
 """
 
@@ -15,13 +16,31 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import checkpoint_dir, cut_lineage
-from .centroids import const_key
+from .centroids import MAX_BROADCAST_BYTES, const_key
 
 FLOAT_BYTES = 4  # embeddings are stored as float32
 
 
-def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Attach a one-row parameter table to every row (broadcast equi-join on a constant)."""
+def book_bytes(params: DataFrame) -> int:
+    """Bytes of the numbers in a one-row parameter table; a code book is measured, once per table
+    object, all else is a few numbers or one vector."""
+    if "codebook" not in params.columns:
+        return 0
+    known = getattr(params, "_steerclust_bytes", None)
+    if known is None:
+        known = 8 * int(params.agg(F.max(F.size(F.flatten(F.flatten("codebook"))))).first()[0] or 0)
+        params._steerclust_bytes = known
+    return known
+
+
+def with_params(df: DataFrame, params: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Attach a one-row parameter table to every row: a broadcast equi-join on a constant, or beyond
+    ``max_bytes`` a shuffle join with one copy of the parameters for each of many salts."""
+    if book_bytes(params) > max_bytes:
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        one = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+        copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        return one.join(copies.hint("shuffle_hash"), "_salt").drop("_salt", "_row")
     return df.withColumn("_one", const_key(df)).join(F.broadcast(params.withColumn("_one", const_key(params))), "_one").drop("_one")
 
 

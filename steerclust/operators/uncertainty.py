@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .centroids import attach_centroids
+from .centroids import attach_centroids, merge_partials
 
 
 def _dist_list(vec: str) -> F.Column:
@@ -38,11 +38,7 @@ def item_uncertainty(df: DataFrame, cents: DataFrame, vec: str = "z") -> DataFra
     joined, groups = attach_centroids(df.select(*cols), cents)
     top2 = F.slice(F.array_sort(_dist_list(vec)), 1, 2)
     keep = [c for c in cols if c != vec]
-    scored = joined.select(*keep, top2.alias("top"))
-    if groups > 1:
-        scored = scored.groupBy(*keep).agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 2).alias("top")
-        )
+    scored = merge_partials(joined, groups, keep, top2, lambda parts: F.slice(F.array_sort(F.flatten(parts)), 1, 2), "top")
     return scored.select(
         *keep,
         F.col("top")[0]["k"].alias("nearest_cluster"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import kmeans as KM
 from ..sources import tables as S
 from .common import SQL_ITEMS, finish, sql_lloyd, with_, with_recursive
@@ -57,6 +58,53 @@ def q_grow_k(spark, sf):
     return finish(labels)
 
 
+# Six batches dealt by id, three epochs: 18 steps, each moving the centres of its rows.
+SQL_MINIBATCH = with_recursive(
+    SQL_ITEMS,
+    SQL_PREP,
+    "pts AS (SELECT item_id, z AS v, CAST(floor(((item_id * 2654435761) % 4294967296) / 4294967296.0 * 6) AS INTEGER) % 6 AS batch FROM p)",
+    """steps AS (SELECT 0 AS t, row_number() OVER (ORDER BY item_id) - 1 AS cluster_id, v AS mu, CAST(0 AS BIGINT) AS had FROM pts QUALIFY cluster_id < 10
+  UNION ALL
+  SELECT t + 1, cluster_id, CASE WHEN n IS NULL THEN mu ELSE
+    list_transform(list_zip(mu, s), lambda e: e[1] + (e[2] - n * e[1]) / (had + n)) END, had + coalesce(n, 0) FROM (
+    SELECT c.t, c.cluster_id, c.mu, c.had, m.n, m.s FROM steps c LEFT JOIN (
+      SELECT cluster_id, any_value(n) AS n, list(x ORDER BY pos) AS s FROM (
+        SELECT cluster_id, pos, sum(x) AS x, count(*) AS n FROM (
+          SELECT cluster_id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM (
+            SELECT q.item_id, q.v, k.cluster_id FROM steps k JOIN pts q ON q.batch = k.t % 6
+            QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY list_distance(q.v, k.mu), k.cluster_id) = 1))
+        GROUP BY ALL) GROUP BY cluster_id) m ON m.cluster_id = c.cluster_id
+    WHERE c.t < 18))""",
+    "c AS (SELECT cluster_id, mu FROM steps WHERE t = 18)",
+)
+
+
+@register(
+    "kmeans_minibatch",
+    SQL_MINIBATCH
+    + """SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(pos AS BIGINT) AS dim, round(x, 6) AS value FROM (
+  SELECT cluster_id, unnest(list_transform(mu, lambda v: v / (sqrt(list_sum(list_transform(mu, lambda y: y*y))) + 1e-10))) AS x,
+  unnest(generate_series(0, len(mu) - 1)) AS pos FROM c)""",
+)
+def q_kmeans_minibatch(spark, sf):
+    """Mini-batch rounds from fixed starts: six batches, three epochs over all rows."""
+    from ..operators import minibatch as MB
+
+    it = S.items(spark, sf)
+    rows = it.count()
+    _, cents, _ = MB.kmeans_minibatch(it, 10, batch_rows=max(1, rows // 6), epochs=3, tol=-1.0, start=KM.start_rows(V.prepare_cluster_input(it, "z"), 10), max_batches=6)
+    return finish(cents.select("cluster_id", F.posexplode("mu").alias("dim", "value")))
+
+
+@register("kmeans_parallel")
+def q_kmeans_parallel(spark, sf):
+    """Mini-batch k-means in full: k-means|| start and batches until the centres rest."""
+    from ..operators import minibatch as MB
+
+    labels, _, _ = MB.kmeans_minibatch(S.items(spark, sf), 10, batch_rows=256)
+    return finish(labels)
+
+
 @register("kmeans_best")
 def q_kmeans_best(spark, sf):
     """k-means++ with ten restarts, each until its centres rest; checked against numpy in tests."""
@@ -257,6 +305,27 @@ def q_project_heads(spark, sf):
     return finish(long)
 
 
+@register(
+    "project_heads_nonlinear",
+    with_(SQL_ITEMS)
+    + """, u AS (SELECT k, (((k * 2654435761) % 4294967296) / 4294967296.0 * 2 - 1) * 0.1 * sqrt(6.0 / 96) AS w FROM range(2 * 2 * 32 * 64) t(k)),
+w1 AS (SELECT k // 2048 AS h, (k // 64) % 32 AS q, k % 64 AS i, w FROM u WHERE k < 4096),
+w2 AS (SELECT (k - 4096) // 2048 AS h, ((k - 4096) // 32) % 64 AS o, (k - 4096) % 32 AS q, w FROM u WHERE k >= 4096),
+x AS (SELECT item_id, unnest(z) AS v, unnest(generate_series(0, 63)) AS i FROM items),
+a AS (SELECT x.item_id, w1.h, w1.q, greatest(sum(w1.w * x.v), 0.0) AS a FROM x JOIN w1 USING (i) GROUP BY ALL),
+y AS (SELECT a.item_id, a.h, w2.o, sum(w2.w * a.a) AS y FROM a JOIN w2 ON w2.h = a.h AND w2.q = a.q GROUP BY ALL),
+n AS (SELECT item_id, h, sqrt(sum(y * y)) AS nrm FROM y GROUP BY ALL)
+SELECT y.item_id, CAST(y.h AS BIGINT) AS head, CAST(o AS BIGINT) AS dim, round(y / greatest(nrm, 1e-12), 6) AS value
+FROM y JOIN n USING (item_id, h)""",
+)
+def q_project_heads_nonlinear(spark, sf):
+    """I7 with a hidden layer of 32."""
+    it = S.items(spark, sf).select("item_id", F.col("z").alias("h"))
+    z = M.project(it, M.init_two_layer(2, 64, hidden=32, init="hash"), None)
+    long = z.select("item_id", F.posexplode("heads").alias("head", "v")).select("item_id", "head", F.posexplode("v").alias("dim", "value"))
+    return finish(long)
+
+
 SQL_LOSS = """hf AS (SELECT item_id, cluster_id, h0, h1, list_concat(h0, h1) AS z FROM heads),
 cm_dims AS (SELECT cluster_id, pos, sum(x) / count(*) AS m FROM (
   SELECT cluster_id, unnest(z) AS x, unnest(generate_series(0, len(z) - 1)) AS pos FROM hf) GROUP BY ALL),
@@ -405,3 +474,43 @@ def q_refine_round(spark, sf):
     docs = S.load_items(spark, f"{sf.rstrip('/')}/documents.parquet", id_col="doc_id")
     out = refine_round(spark, docs, S.messages(spark, sf), n_clusters=5)
     return finish(out.select("cluster_id", "size", "title"))
+
+
+SQL_START_MODEL = with_recursive(
+    SQL_ITEMS,
+    """wts AS (SELECT h, o, i, ((((h * 4096 + o * 64 + i) * 2654435761) % 4294967296) / 4294967296.0 * 2 - 1) * 0.1 * sqrt(3.0) AS w
+  FROM range(2) t1(h), range(64) t2(o), range(64) t3(i))""",
+    "x AS (SELECT item_id, unnest(z) AS v, unnest(generate_series(0, 63)) AS i FROM items)",
+    "y AS (SELECT x.item_id, w.h, w.o, sum(w.w * x.v) AS y FROM x JOIN wts w USING (i) GROUP BY ALL)",
+    "n AS (SELECT item_id, h, sqrt(sum(y * y)) AS nrm FROM y GROUP BY ALL)",
+    "pts AS (SELECT item_id, 0 AS s, list(y / greatest(nrm, 1e-12) ORDER BY h, o) AS v FROM y JOIN n USING (item_id, h) GROUP BY item_id)",
+    "c0 AS (SELECT 0 AS s, row_number() OVER (ORDER BY item_id) - 1 AS cluster_id, v AS mu FROM pts QUALIFY cluster_id < 10)",
+    sql_lloyd("pts", "c0", "c"),
+    """a AS (SELECT p.item_id, c.cluster_id FROM pts p CROSS JOIN c
+  QUALIFY row_number() OVER (PARTITION BY p.item_id ORDER BY list_distance(p.v, c.mu), c.cluster_id) = 1)""",
+)
+
+
+@register(
+    "restored_model",
+    SQL_START_MODEL
+    + """SELECT 'weight' AS kind, CAST(h AS BIGINT) AS a, CAST(o AS BIGINT) AS b, CAST(i AS BIGINT) AS c, round(w, 6) AS value FROM wts
+UNION ALL SELECT 'moment', h, o, i, 0.0 FROM wts
+UNION ALL SELECT DISTINCT 'bias', h, o, 0, 0.0 FROM wts
+UNION ALL SELECT 'steps', 0, 0, 0, 0.0
+UNION ALL SELECT 'centre', cluster_id, unnest(range(128)), 0, round(unnest(mu), 6) FROM c
+UNION ALL SELECT 'assignment', item_id, 0, 0, CAST(cluster_id AS DOUBLE) FROM a""",
+)
+def q_restored_model(spark, sf):
+    """Two saved turns, the first of them training, then a rollback to step 1: weights,
+    moments, centres and assignment as they were before that training."""
+    from ..operators import model_state as MS
+    from ..operators.state import state_root
+
+    base = S.items(spark, sf).select("item_id", F.col("z").alias("h"))
+    store = MS.ModelStore(spark, state_root(spark))
+    model = MS.start_model(base, *M.init_adapter(2, 64, init="hash"), 10)
+    store.save(0, model, "initial state")
+    trained = MS.train_turn(store, 0, base, model, "Applied: step 1", epochs=1)
+    store.save(0, trained, "Applied: step 2")
+    return finish(MS.long_rows(store.rollback(0, 1)))

@@ -115,8 +115,8 @@ def q_knn_ivf_trained(spark, sf):
 
 @register("knn_lsh")
 def q_knn_lsh(spark, sf):
-    """Random-hyperplane LSH join (8 planes × 4 tables); approximate, checked by recall in tests."""
-    return finish(N.knn_lsh(S.items(spark, sf), k=10, planes=8, tables=4))
+    """Random-hyperplane LSH join (4 planes × 16 tables); approximate, checked by recall in tests."""
+    return finish(N.knn_lsh(S.items(spark, sf), k=10, planes=4, tables=16))
 
 
 @register(
@@ -148,19 +148,40 @@ def q_upsert_vectors(spark, sf):
     return finish(out.select("item_id", "cluster_id", F.col("z")[0].alias("x0")))
 
 
-SQL_STORED = """sub AS (SELECT item_id, unnest(range(8)) AS s, unnest([u[i * 8 + 1: i * 8 + 8] for i in range(8)]) AS v FROM u),
+SQL_STORED = """sub AS (SELECT item_id, unnest(range(32)) AS s, unnest([u[i * 2 + 1: i * 2 + 2] for i in range(32)]) AS v FROM u),
 book0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY item_id) - 1 AS cluster_id, v AS mu FROM sub QUALIFY cluster_id < 16),
 {fitted},
 enc AS (SELECT b.item_id, b.s, k.mu AS cv FROM sub b JOIN fitted k ON k.s = b.s
   QUALIFY row_number() OVER (PARTITION BY b.item_id, b.s ORDER BY list_distance(b.v, k.mu), k.cluster_id) = 1),
 stored AS (SELECT item_id, flatten(list(cv ORDER BY s)) AS u FROM enc GROUP BY item_id)""".format(fitted=sql_lloyd("sub", "book0", "fitted"))
 
+SQL_CODE_SEARCH = """dcell AS (SELECT u.item_id, c.cell FROM u CROSS JOIN cells c
+  QUALIFY row_number() OVER (PARTITION BY u.item_id ORDER BY list_inner_product(u.u, c.mu) DESC, c.cell) = 1),
+qcell AS (SELECT u.item_id, c.cell FROM u CROSS JOIN cells c
+  QUALIFY row_number() OVER (PARTITION BY u.item_id ORDER BY list_inner_product(u.u, c.mu) DESC, c.cell) <= 12),
+near AS (SELECT q.item_id, d.item_id AS neighbor_id FROM qcell q JOIN dcell d USING (cell) JOIN u uq ON uq.item_id = q.item_id
+  JOIN stored st ON st.item_id = d.item_id
+  QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY list_inner_product(uq.u, st.u) DESC, d.item_id) <= 50),
+exact AS (SELECT n.item_id, n.neighbor_id, list_inner_product(a.u, b.u) AS similarity FROM near n
+  JOIN u a ON a.item_id = n.item_id JOIN u b ON b.item_id = n.neighbor_id)
+SELECT item_id, CAST(rank AS BIGINT) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, neighbor_id) - 1 AS rank FROM exact) WHERE rank < 10"""
+
 
-@register("knn_pq", with_recursive(SQL_ITEMS, SQL_U, SQL_CELLS, SQL_STORED, sql_probe("stored")))
+@register("knn_pq", with_recursive(SQL_ITEMS, SQL_U, SQL_CELLS, SQL_STORED, SQL_CODE_SEARCH))
 def q_knn_pq(spark, sf):
-    """IVF (16 cells, 4 probes) over product-quantized vectors (8 × 4 bits); cells and codebook are
-    fitted on all rows."""
+    """Code search: 16 cells (12 probes) and a 32 x 4 bit code book fitted on all rows; 50 rows a
+    query are scored exactly."""
+    from ..operators import code_search as CS
     from ..operators import quantize as QZ
 
     it = S.items(spark, sf)
-    return finish(N.knn_pq(it, N.rested_cells(it, 16), QZ.pq_fit(it, 8, 4), k=10, nprobe=4))
+    return finish(CS.knn_pq(it, N.rested_cells(it, 16), QZ.pq_fit(it, 32, 4), k=10, nprobe=12, keep=50))
+
+
+@register("knn_graph")
+def q_knn_graph(spark, sf):
+    """Graph search (degree 20, beam 64) for all items; checked by recall in tests."""
+    from ..operators import graph_search as GS
+
+    return finish(GS.knn_graph(S.items(spark, sf), k=10))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from steerclust.operators import centroids, kmeans, neighbors, quality, quantize
+from steerclust.operators import centroids, kmeans, neighbors, quality, quantize, uncertainty
 from steerclust.operators.feedback import parse_action_json
 from steerclust.sources import tables
 
@@ -68,3 +68,47 @@ def test_large_ids_in_messages_do_not_end_the_query(spark):
     frame = spark.createDataFrame([("Items 99999999999 and 5 should be in the same cluster.",)], "m string")
     assert frame.select(text.message_type("m")).first()[0] is not None
     assert frame.select(text._ids(F.col("m"), r"[Ii]tems?\s+([\d ,and]+)")).first()[0] is not None
+
+
+def _by_three(module, monkeypatch, max_bytes):
+    attach = centroids.attach_centroids
+    seen = []
+
+    def small(df, cents, _max=0):
+        out = attach(df, cents, max_bytes)
+        seen.append(out[1])
+        return out
+
+    monkeypatch.setattr(module, "attach_centroids", small)
+    return seen
+
+
+@pytest.mark.parametrize("groups", [1, 3, 50])
+def test_any_number_of_centroid_groups_gives_the_same(spark, items, monkeypatch, groups):
+    """Partial scores of 1, 3 and 50 groups are put together alike, for every kind of score."""
+    cents = spark.createDataFrame([(k, [float((k * 7 + p) % 5 - 2) for p in range(1)] * 64) for k in range(10)], "cluster_id int, mu array<double>")
+    some = items.select("item_id", "cluster_id", "z")
+    scores = {
+        uncertainty: [lambda: uncertainty.item_centroid_distances(some, cents), lambda: uncertainty.item_uncertainty(some, cents)],
+        kmeans: [lambda: kmeans.assign_nearest(some, cents)],
+        neighbors: [
+            lambda: neighbors.assign_cells(some.select("item_id", F.col("z").alias("u")), cents, "u", 4).drop("u"),
+            lambda: neighbors.knn_seeds(some, some.where("item_id < 7").select(F.col("item_id").alias("seed_id")), 5),
+            lambda: neighbors.nearest_cross_cluster(some, some.where("item_id < 4").select(F.col("item_id").alias("seed_id"))),
+        ],
+    }
+    whole = {m: [rows(f().drop("z")) for f in fs] for m, fs in scores.items()}
+    for module, fs in scores.items():
+        bytes_of = {1: 1 << 26, 3: 10 * 65 * 8 // 3 + 8, 50: 10 * 65 * 8 // 50}[groups]
+        seen = _by_three(module, monkeypatch, bytes_of)
+        assert [rows(f().drop("z")) for f in fs] == whole[module]
+        assert groups == 1 or max(seen) >= min(groups, 3)
+        monkeypatch.undo()
+
+
+def test_no_whole_list_beyond_the_bound(spark, items, monkeypatch):
+    """Beyond the bound rows meet one group at a time: the list in the joined rows is a part."""
+    cents = spark.createDataFrame([(k, [1.0] * 64) for k in range(20)], "cluster_id int, mu array<double>")
+    joined, groups = centroids.attach_centroids(items.select("item_id", "z"), cents, 3000)
+    assert groups > 1 and joined.agg(F.max(F.size("cents"))).first()[0] < 20
+    assert joined.groupBy("item_id").agg(F.sum(F.size("cents")).alias("n")).where("n <> 20").count() == 0
