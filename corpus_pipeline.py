@@ -4,9 +4,10 @@
 is written as Parquet and read again as the next stage's documents. All but the last keep the
 columns of ``docs``, whatever further columns there are. ``run`` applies them to ``documents``.
 
-Defined results: rows with null text have no language and go in the first stage; rows without id
-pass the dedup stages unchanged; of rows with one id, the near-dedup stage keeps one; empty tables
-give empty tables.
+Defined results: rows with null text have no language and go in the first stage; where no row has a
+usable language, that stage keeps every text with a letter; the near-dedup stage judges each text by
+itself, also where several texts share an id, and keeps one of rows that repeat; rows without id
+pass the dedup stages unchanged; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -41,19 +42,37 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = language_id.fit(docs)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    if not model.languages:
+        return _named(plain.where(F.col(f"c{names.index('text')}").rlike("\\p{L}")), names)
     known = language_id.predict(plain, model, f"c{names.index('text')}").where(F.col("lang_pred") != language_id.UNKNOWN)
     lang = f"c{names.index('lang')}"
     return _named(known.withColumn(lang, F.coalesce(F.col(lang), F.col("lang_pred"))), names)
 
 
+def _with_nodes(plain: DataFrame) -> DataFrame:
+    """``plain`` with ``_node``: the id, but a number of its own for each text where several texts
+    have that id. These numbers lie above all ids (below, if there is no room)."""
+    keys = plain.select("_id", "_hash").distinct()
+    several = keys.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    shared = keys.join(several, "_id", "left_semi").repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash")
+    shared = materialize(shared.withColumn("_rank", F.monotonically_increasing_id()), "shared-ids")
+    if shared.isEmpty():
+        return plain.withColumn("_node", F.col("_id"))
+    low, high = plain.agg(F.min("_id"), F.max("_id")).first()
+    first = high + 1 if high < 1 << 62 else low - (1 << 62)
+    shared = shared.select("_id", "_hash", (F.lit(first) + F.col("_rank")).alias("_own"))
+    return plain.join(shared, ["_id", "_hash"], "left").withColumn("_node", F.coalesce("_own", "_id")).drop("_own")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
-    found = odd_sketch_dedup.near_duplicates(docs).where("kept and doc_id is not null")
-    keys = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("row_hash").alias("_hash"))
-    plain, names = _keyed(docs)
-    chosen = plain.join(keys, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
-    nameless = plain.where(F.col("_id").isNull())
-    return _named(chosen.select(*plain.columns).union(nameless), names)
+    keyed, names = _keyed(docs)
+    plain = _with_nodes(keyed.where(F.col("_id").isNotNull()))
+    text = f"c{names.index('text')}"
+    found = odd_sketch_dedup.near_duplicates(plain.select("_node", text), "_node", text).where("kept")
+    keys = found.select(F.col("doc_id").alias("_node")).distinct()
+    chosen = plain.join(keys, "_node", "left_semi").dropDuplicates(["_node"]).select(*keyed.columns)
+    return _named(chosen.union(keyed.where(F.col("_id").isNull())), names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

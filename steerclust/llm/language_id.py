@@ -7,14 +7,15 @@ rows. The score is the chosen language's lead over the runner-up, scaled to 0..1
 ambiguous when it is (nearly) as close to another codeword.
 
 The classifiers are fitted on a bounded sample of labelled rows: at most ``ROWS_PER_LANGUAGE`` rows
-of each language, the smallest in a pseudo-random order of ids, and at most ``TRAIN_ROWS`` in all.
+of each language, the smallest in a pseudo-random order of ids, and at most ``TRAIN_ROWS`` in all
+(repeated rows count as one; rows without id are told apart by their text).
 Their n-gram profiles (``FEATURES`` numbers each) are made by the executors. Prediction covers all
 rows in one pass; neither id, source nor language is read by it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language in alphabetic order; with a single learned language every text with a letter gets
 it; with none, every text is ``und``; repeated rows each get their result; empty tables give empty
-results; rows without id are not held out and only used for training when they have a language.
+results; rows without id are not held out and are used for training when they have a language.
 """
 
 from __future__ import annotations
@@ -138,14 +139,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on the bounded sample of labelled rows with text."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keyed = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(5), F.col(id_col)).alias("turn"))
-    order = Window.partitionBy("lang").orderBy("turn", "doc_id")
-    first = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS_PER_LANGUAGE)
-    picked = first.orderBy("place", "lang").limit(TRAIN_ROWS).select("doc_id", "lang").distinct()
-    chosen = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(
-        F.broadcast(picked), ["doc_id", "lang"], "left_semi"
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")
     )
+    # repeated rows count once, so they take no other row's place; rows without id differ by their text
+    keys = rows.select("doc_id", "lang", "hash").distinct().withColumn("turn", F.xxhash64(F.lit(5), "doc_id"))
+    order = Window.partitionBy("lang").orderBy("turn", "doc_id", "hash")
+    first = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS_PER_LANGUAGE)
+    picked = F.broadcast(first.orderBy("place", "lang", "hash").limit(TRAIN_ROWS).select(*[F.col(c).alias(f"p_{c}") for c in ("doc_id", "lang", "hash")]))
+    same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("lang") == F.col("p_lang")) & (F.col("hash") == F.col("p_hash"))
+    chosen = rows.join(picked, same, "left_semi").groupBy("doc_id", "lang", "hash").agg(F.min("text").alias("text"))
 
     def run(batches):
         for part in text_slices(batches, "text"):
@@ -154,7 +157,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 {"doc_id": part.column("doc_id"), "lang": part.column("lang"), "profile": pa.array([r.tobytes() for r in x], pa.binary())}
             )
 
-    sample = sorted(chosen.mapInArrow(run, "doc_id long, lang string, profile binary").limit(2 * TRAIN_ROWS).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0))
+    sample = sorted(chosen.mapInArrow(run, "doc_id long, lang string, profile binary").collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["profile"]))
     languages = sorted({r["lang"] for r in sample})
     x = np.stack([np.frombuffer(r["profile"], np.float32) for r in sample]) if sample else np.zeros((0, FEATURES), np.float32)
     return Model(languages, x, np.array([languages.index(r["lang"]) for r in sample], np.int64))

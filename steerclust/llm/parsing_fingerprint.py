@@ -10,9 +10,11 @@ longer than ``LONG_WORD`` bytes). One level of parsing:
 * a phrase begins at every local minimum of the labels; its name is the hash of its names.
 
 Boundaries depend on a few neighbours only, so equal substrings get equal phrases inside, at any
-offset, on every level of the hierarchy. The fingerprint keeps, for each of two levels (phrases of
-about 3 and 10 words), the ``KEEP`` smallest phrase names; likeness is the share of common names
-among the smallest of both, averaged over the levels.
+offset, on every level of the hierarchy, which goes on until one phrase is left: its name, the root,
+is that of the whole text. The fingerprint keeps, for each of the first two levels (phrases of about
+3 and 10 words), the ``KEEP`` smallest phrase names, and the root, so that texts that differ anywhere
+have different fingerprints; likeness is the share of common names among the smallest of both,
+averaged over the levels.
 
 Next documents come from a range partitioning by id with whole texts moved once; the first
 document of a partition is also sent to the one before.
@@ -113,15 +115,22 @@ def smallest(names: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
-def fingerprints(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """``[document, level, KEEP]`` smallest phrase names (upper 32 bits)."""
+def fingerprints(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``[document, level, KEEP]`` smallest phrase names (upper 32 bits), and each document's root
+    (0 for an empty one)."""
     docs = len(offs) - 1
     names, doc = symbols(data, offs)
     out = []
     for level in range(LEVELS):
         names, doc = parse(names, doc, level)
         out.append(smallest(names >> U64(32) << U64(32), doc, docs))
-    return np.stack(out, axis=1)
+    roots, level = np.zeros(docs, U64), LEVELS
+    while len(names):
+        done = np.bincount(doc, minlength=docs)[doc] == 1
+        roots[doc[done]] = mix(names[done] + U64(level))
+        names, doc = parse(names[~done], doc[~done], level)
+        level += 1
+    return np.stack(out, axis=1), roots
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,11 +146,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return share.mean(axis=1)
 
 
-def fingerprint_string(fp: np.ndarray) -> list[str]:
-    """Per level, the kept names as 8 hex digits each; levels separated by a dash."""
+def fingerprint_string(fp: np.ndarray, roots: np.ndarray) -> list[str]:
+    """Per level, the kept names as 8 hex digits each, then the root as 16; separated by dashes."""
     top = (fp >> U64(32)).astype(">u4")
     count = (fp != _EMPTY).sum(axis=2)
-    return ["-".join(row[k, : n[k]].tobytes().hex() for k in range(LEVELS)) for row, n in zip(top, count)]
+    return ["-".join([*(row[k, : n[k]].tobytes().hex() for k in range(LEVELS)), f"{r:016x}"]) for row, n, r in zip(top, count, roots.tolist())]
 
 
 def _pairs(batches):
@@ -165,10 +174,10 @@ def _compare(batches):
         for i in range(rows):
             half = len(texts[i]) // 2
             edited.append(texts[i][: len(texts[i]) - half] + texts[i + 1][:half])
-        own = fingerprints(*text_buffers(pa.array(texts, pa.large_string())))
+        own, roots = fingerprints(*text_buffers(pa.array(texts, pa.large_string())))
         new = pa.array(edited, pa.large_string())
         data, offs = text_buffers(new)
-        changed = fingerprints(data, offs)
+        changed, changed_roots = fingerprints(data, offs)
         raw = data.tobytes()
         head = part.slice(0, rows)
         yield pa.RecordBatch.from_pydict(
@@ -176,8 +185,8 @@ def _compare(batches):
                 "doc_id": head.column("doc_id"),
                 "n_chars": pa.array([len(t) for t in texts[:rows]], pa.int64()),
                 "edited_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offs[:-1], offs[1:])],
-                "fingerprint": fingerprint_string(own[:rows]),
-                "edited_fingerprint": fingerprint_string(changed),
+                "fingerprint": fingerprint_string(own[:rows], roots[:rows]),
+                "edited_fingerprint": fingerprint_string(changed, changed_roots),
                 "near_edited": likeness(own[:rows], changed),
                 "near_next": likeness(own[:rows], own[1 : rows + 1]),
             }
@@ -211,9 +220,9 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for part in text_slices(batches, "text"):
-            fp = fingerprints(*text_buffers(part.column("text")))
+            fp, roots = fingerprints(*text_buffers(part.column("text")))
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": part.column("doc_id"), "row_hash": part.column("row_hash"), "fingerprint": fingerprint_string(fp)}
+                {"doc_id": part.column("doc_id"), "row_hash": part.column("row_hash"), "fingerprint": fingerprint_string(fp, roots)}
             )
 
     return source_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_hash long, fingerprint string")
