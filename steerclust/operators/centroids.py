@@ -139,8 +139,10 @@ def merge_partials(joined: DataFrame, groups: int, keep: list[str], partial: F.C
     if groups == 1:
         return joined.select(*keep, partial.alias(out))
     first = F.col("_g") == 0
-    parts = joined.select("_row", *[F.when(first, F.col(c)).alias(c) for c in keep], F.struct(partial.alias("p")).alias("_part"))
-    whole = parts.groupBy("_row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keep], F.collect_list("_part").alias("_parts"))
+    scored = joined.select("_row", "_g", *keep, F.struct(partial.alias("p")).alias("_part"))
+    parts = scored.select("_row", *[F.when(first, F.col(c)).alias(f"_k{i}") for i, c in enumerate(keep)], "_part")
+    firsts = [F.first(f"_k{i}", ignorenulls=True).alias(c) for i, c in enumerate(keep)]
+    whole = parts.groupBy("_row").agg(*firsts, F.collect_list("_part").alias("_parts"))
     return whole.select(*keep, merge(F.transform("_parts", lambda p: p["p"])).alias(out))
 
 

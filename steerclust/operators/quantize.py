@@ -39,7 +39,7 @@ def with_params(df: DataFrame, params: DataFrame, max_bytes: int = MAX_BROADCAST
     if book_bytes(params) > max_bytes:
         salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         one = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
-        copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         return one.join(copies.hint("shuffle_hash"), "_salt").drop("_salt", "_row")
     return df.withColumn("_one", const_key(df)).join(F.broadcast(params.withColumn("_one", const_key(params))), "_one").drop("_one")
 

@@ -181,7 +181,7 @@ def q_knn_pq(spark, sf):
 
 @register("knn_graph")
 def q_knn_graph(spark, sf):
-    """Graph search (degree 20, beam 64) for all items; checked by recall in tests."""
+    """Graph search (degree 12, beam 24) for all items; checked by recall in tests."""
     from ..operators import graph_search as GS
 
     return finish(GS.knn_graph(S.items(spark, sf), k=10))

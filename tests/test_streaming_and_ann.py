@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from steerclust.operators import links as L
 from steerclust.operators import neighbors as N
-from steerclust.operators import quantize as Q
 from steerclust.sources import tables as S
 from steerclust.streaming import feedback_stream as FS
 
@@ -30,20 +29,6 @@ def test_ivf_and_lsh_recall(spark):
     assert N.recall_at_k(lsh, exact).first()[0] >= 0.3
 
 
-def test_recall_at_registered_settings(spark):
-    """Random directions, about the hardest case for cells: 4 of 16 cells hold over a third."""
-    it = S.items(spark, SF01)
-    exact = N.knn_exact(it, 10)
-    found = {
-        "ivf": N.knn_ivf(it, N.rested_cells(it, 16), k=10, nprobe=4),
-        "pq": N.knn_pq(it, N.rested_cells(it, 16), Q.pq_fit(it, 8, 4), k=10, nprobe=4),
-        "lsh": N.knn_lsh(it, k=10, planes=8, tables=4),
-    }
-    recall = {name: N.recall_at_k(df, exact).first()[0] for name, df in found.items()}
-    print(recall)
-    assert recall["ivf"] >= 0.6 and recall["pq"] >= 0.3 and recall["lsh"] >= 0.1
-
-
 def test_wide_search_recall(spark):
     from steerclust.plans.registry import queries
 
