@@ -115,8 +115,8 @@ def q_knn_ivf_trained(spark, sf):
 
 @register("knn_lsh")
 def q_knn_lsh(spark, sf):
-    """Random-hyperplane LSH join (4 planes × 16 tables); approximate, checked by recall in tests."""
-    return finish(N.knn_lsh(S.items(spark, sf), k=10, planes=4, tables=16))
+    """Random-hyperplane LSH join (4 planes × 20 tables); approximate, checked by recall in tests."""
+    return finish(N.knn_lsh(S.items(spark, sf), k=10, planes=4, tables=20))
 
 
 @register(
@@ -181,7 +181,7 @@ def q_knn_pq(spark, sf):
 
 @register("knn_graph")
 def q_knn_graph(spark, sf):
-    """Graph search (degree 12, beam 24) for all items; checked by recall in tests."""
+    """Graph search (degree 16, beam 24) for all items; checked by recall in tests."""
     from ..operators import graph_search as GS
 
     return finish(GS.knn_graph(S.items(spark, sf), k=10))
