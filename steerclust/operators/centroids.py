@@ -1,7 +1,7 @@
 """Cluster-level aggregates: centroids (D5), stats (D1/D2), variance ranking (D3/D4), labels.
 
-Vectors are summed per (cluster, dimension) after ``posexplode``; Spark's partial aggregation
-combines map-side, so a cluster holding a third of all rows costs no more than any other.
+Vectors are summed as whole arrays; Spark's partial aggregation combines map-side, so a cluster
+holding a third of all rows costs no more than any other.
 Centroid tables are small (K × d) and reach the item side through a size-checked broadcast
 equi-join (``attach_centroids``), never a cross join; larger ones are scored group by group and
 only the scores are put together (``merge_partials``).
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,17 +25,13 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def vector_sums(df: DataFrame, keys: list[str], vec: str = "z") -> DataFrame:
-    """Per key: ``n``, element-wise ``sum`` array and ``sumsq`` (Σ‖x‖²) — one scan, one shuffle of
-    K·d partial rows (map-side combined)."""
-    per_dim = (
-        df.select(*keys, F.posexplode(vec).alias("pos", "x"))
-        .groupBy(*keys, "pos")
-        .agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.count(F.lit(1)).alias("c"))
-    )
-    return per_dim.groupBy(*keys).agg(
-        F.max("c").alias("n"),
-        F.sum("ss").alias("sumsq"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]).alias("sum"),
+    """Per key: ``n``, element-wise ``sum`` array and ``sumsq`` (Σ‖x‖²): one scan, one shuffle of one
+    partial row (with its array of sums) per key and task; rows without a vector do not count."""
+    squares = F.aggregate(F.col(vec), F.lit(0.0), lambda acc, x: acc + x * x)
+    return df.where(F.col(vec).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(squares).alias("sumsq"),
+        vector_to_array(Summarizer.sum(array_to_vector(vec))).alias("sum"),
     )
 
 

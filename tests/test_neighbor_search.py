@@ -22,7 +22,7 @@ def exact(spark, sf):
 
 
 @pytest.mark.parametrize("sf", SIZES)
-@pytest.mark.parametrize("name", ["knn_ivf_wide", "knn_pq", "knn_graph", "knn_lsh"])
+@pytest.mark.parametrize("name", ["knn_pq", "knn_graph", "knn_lsh"])
 def test_recall(spark, name, sf):
     found = queries()[name](spark, sf).persist()
     rows = S.items(spark, sf).count()
