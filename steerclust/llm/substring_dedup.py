@@ -12,9 +12,10 @@ place, and a document keeps about one anchor per 20 words. Documents meet on the
    earliest document) is extended word by word: each of its windows is looked up among the
    windows of the other stretches of the same anchor.
 
-Both steps are grouped minima (pre-aggregated before the shuffle) and joins whose hot keys AQE
-splits; no pair of documents is ever formed, so a passage shared by a third of all documents
-costs one row per occurrence. Adjacent repeated stretches and windows merge to maximal repeats.
+Both steps are grouped minima (pre-aggregated before the shuffle) and joins; no pair of documents is
+ever formed, so a passage shared by a third of all documents costs one row per occurrence, though
+these rows meet in one task (one side of the join is aggregated in the same stage, so AQE does not
+split it). Adjacent repeated stretches and windows merge to maximal repeats.
 
 Defined results: null or blank texts have no words; documents without id neither remove nor lose
 words; rows with the same id are never repeats of each other; ties do not exist (ids decide);
