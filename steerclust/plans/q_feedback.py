@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import feedback as FB
 from ..sources import tables as S
 from .common import SQL_FEEDBACK_LOG, finish, with_
-from .q_text import SQL_CLASSIFIED, SQL_MESSAGES, classified_messages
+from .q_text import SQL_CLASSIFIED, SQL_EMPH, SQL_MESSAGES, classified_messages
 from .registry import register
 
 
@@ -149,7 +149,8 @@ def q_apply_actions(spark, sf):
     return finish(t["links"])
 
 
-SQL_TABLES = """flags AS (SELECT session_id, CAST(it AS BIGINT) AS item_id FROM (
+SQL_TABLES = (
+    """flags AS (SELECT session_id, CAST(it AS BIGINT) AS item_id FROM (
     SELECT session_id, unnest(item_ids) AS it FROM v WHERE feedback_type = 'miscluster') GROUP BY ALL),
 splits AS (SELECT session_id, c AS cluster_id FROM (
     SELECT session_id, unnest(cluster_ids) AS c FROM v WHERE feedback_type = 'subcluster') GROUP BY ALL),
@@ -157,14 +158,14 @@ labels AS (SELECT session_id, cluster_ids[1] AS cluster_id, max_by(text_payload,
     WHERE feedback_type = 'rename_cluster' GROUP BY ALL),
 kw AS (SELECT DISTINCT session_id, lower(k) AS keyword FROM (
     SELECT session_id, unnest(CASE WHEN len(kws) > 0 THEN kws ELSE [regexp_replace(text_payload, '^\\s+|\\s+$', '', 'g')] END) AS k FROM (
-    SELECT session_id, text_payload, list_filter(list_transform(string_split_regex(regexp_replace(text_payload, '^\\s+|\\s+$', '', 'g'),
-      '(?i)\\s*(?:,|;|\\band\\b|\\bor\\b|\\b&\\b)\\s*'), lambda t: regexp_replace(regexp_replace(regexp_replace(t,
-      '(?i)\\b(?:elements?|aspects?|features?|concepts?|themes?|keywords?|topics?|factors?)\\b', '', 'g'), '^\\s+|\\s+$', '', 'g'),
-      '\\s+', ' ', 'g')), lambda t: length(t) > 0) AS kws FROM v WHERE feedback_type = 'emphasize_feature')))
+    SELECT session_id, text_payload, list_filter("""
+    + SQL_EMPH
+    + """, lambda t: length(t) > 0) AS kws FROM v WHERE feedback_type = 'emphasize_feature')))
 SELECT session_id, 'flag' AS target, CAST(item_id AS VARCHAR) AS value FROM flags
 UNION ALL SELECT session_id, 'split', CAST(cluster_id AS VARCHAR) FROM splits
 UNION ALL SELECT session_id, 'label', CAST(cluster_id AS VARCHAR) || '=' || label FROM labels
 UNION ALL SELECT session_id, 'keyword', keyword FROM kw"""
+)
 
 
 def table_rows(t) -> DataFrame:

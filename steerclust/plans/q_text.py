@@ -150,8 +150,8 @@ def _words_sql() -> str:
 SQL_MESSAGES = f"""messages AS (SELECT f.session_id, f.seq, 'user' AS role, CASE
   WHEN e.event_type = 'click' AND f.seq % 2 = 0 THEN 'Items ' || CAST(f.a AS VARCHAR) || ' and ' || CAST(f.b AS VARCHAR) || ' should be in the same cluster.'
   WHEN e.event_type = 'click' THEN 'Clusters ' || CAST(f.a % 10 AS VARCHAR) || ' and ' || CAST(f.b % 10 AS VARCHAR) || ' should be merged.'
-  WHEN e.event_type = 'error' AND f.seq % 2 = 0 THEN 'Item ' || CAST(f.a AS VARCHAR) || ' should NOT be grouped with item ' || CAST(f.b AS VARCHAR) || '.'
-  WHEN e.event_type = 'error' THEN 'Cluster ' || CAST(f.a % 10 AS VARCHAR) || ' seems too mixed and should be split into separate groups.'
+  WHEN e.event_type = 'error' AND f.seq % 2 = 0 THEN 'Keep apart item ' || CAST(f.a AS VARCHAR) || ' from item ' || CAST(f.b AS VARCHAR) || '.'
+  WHEN e.event_type = 'error' THEN 'Please divide cluster ' || CAST(f.a % 10 AS VARCHAR) || ': its texts are about two things.'
   WHEN e.event_type = 'view' AND f.seq % 2 = 0 THEN 'Item ' || CAST(f.a AS VARCHAR) || ' seems to be in the wrong cluster.'
   WHEN e.event_type = 'view' THEN 'Please rename cluster ' || CAST(f.a % 10 AS VARCHAR) || ' to ''Topic ' || CAST(f.b AS VARCHAR) || '''.'
   WHEN e.event_type = 'signup' AND f.seq % 2 = 0 THEN 'Emphasize ' || {_words_sql()}[f.a % 8 + 1] || ' and ' || {_words_sql()}[f.b % 8 + 1] || ' elements when clustering.'
@@ -216,9 +216,15 @@ def q_classify_message(spark, sf):
     )
 
 
-SQL_EMPH = f"""list_transform(string_split_regex(regexp_replace(text_payload, '^\\s+|\\s+$', '', 'g'), '(?i)\\s*(?:,|;|\\band\\b|\\bor\\b|\\b&\\b)\\s*'),
-  lambda t: regexp_replace(regexp_replace(regexp_replace(t, '(?i)\\b(?:elements?|aspects?|features?|concepts?|themes?|keywords?|topics?|factors?)\\b', '', 'g'),
-  '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"""
+# The fixed patterns of functions/text.py, in DuckDB's spelling of the flags.
+_SPLIT, _NOISE = (p.replace("(?iU)", "(?i)") for p in (T.EMPHASIS_SPLIT, T.EMPHASIS_NOISE))
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+SQL_EMPH = (
+    f"list_transform(string_split_regex({_TRIM.format('text_payload')}, '{_SPLIT}'), "
+    + r"lambda t: regexp_replace("
+    + _TRIM.format(f"regexp_replace(t, '{_NOISE}', '', 'g')")
+    + r", '\s+', ' ', 'g'))"
+)
 
 
 @register(

@@ -174,8 +174,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = (
         F.when((t == "click") & ~odd, F.concat(F.lit("Items "), a, F.lit(" and "), b, F.lit(" should be in the same cluster.")))
         .when(t == "click", F.concat(F.lit("Clusters "), a10, F.lit(" and "), b10, F.lit(" should be merged.")))
-        .when((t == "error") & ~odd, F.concat(F.lit("Item "), a, F.lit(" should NOT be grouped with item "), b, F.lit(".")))
-        .when(t == "error", F.concat(F.lit("Cluster "), a10, F.lit(" seems too mixed and should be split into separate groups.")))
+        .when((t == "error") & ~odd, F.concat(F.lit("Keep apart item "), a, F.lit(" from item "), b, F.lit(".")))
+        .when(t == "error", F.concat(F.lit("Please divide cluster "), a10, F.lit(": its texts are about two things.")))
         .when((t == "view") & ~odd, F.concat(F.lit("Item "), a, F.lit(" seems to be in the wrong cluster.")))
         .when(t == "view", F.concat(F.lit("Please rename cluster "), a10, F.lit(" to 'Topic "), b, F.lit("'.")))
         .when((t == "signup") & ~odd, F.concat(F.lit("Emphasize "), wa, F.lit(" and "), wb, F.lit(" elements when clustering.")))
