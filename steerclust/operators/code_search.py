@@ -5,15 +5,14 @@ subspace's code vectors); the approximate score of a row is the sum of the table
 name, so a scan reads ``m`` small integers a row. The ``keep`` best rows of each query are then
 scored with the exact vectors, and the ``k`` best of them are the result.
 
-Cells are scanned by the grouped kernel of ``pairs`` (blocks on both sides, so a cell holding a
-third of all rows is many tasks). The code book is measured; beyond ``MAX_BROADCAST_BYTES`` rows
+Cells are scanned by the grouped kernel of ``pairs`` (blocks on both sides, joined by cell; a cell
+holding a third of all rows is several tasks, and gives ``keep`` rows a query however large it is). The code book is measured; beyond ``MAX_BROADCAST_BYTES`` rows
 are decoded by a join instead and scanned as vectors, with the same scores.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,33 +30,23 @@ def default_cells(n: int) -> int:
 
 
 def code_scan(queries: DataFrame, data: DataFrame, book: np.ndarray, keep: int, block_rows: int = P.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``(query_id, neighbor_id, similarity)``: per query and block the ``keep`` rows of largest
+    """``(query_id, neighbor_id, similarity)``: per query and cell the ``keep`` rows of largest
     approximate score. ``queries``: ``(query_id, cell, u)``; ``data``: ``(item_id, cell, codes)``;
     ``book``: ``[subspace, code, dimension]``."""
-    both = P.cell_blocks(queries, data, ["cell"], ["u"], ["codes"], block_rows)
-    held = both.sparkSession.sparkContext.broadcast(book)
+    held = queries.sparkSession.sparkContext.broadcast(book)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, ds = pdf[pdf["_role"] == "q"], pdf[pdf["_role"] == "d"].sort_values("_id")
-        if len(qs) == 0 or len(ds) == 0:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []})
+    def score(u: np.ndarray, codes: np.ndarray) -> np.ndarray:
         m, _, width = held.value.shape
-        q = np.vstack(qs["u"].to_numpy()).reshape(len(qs), m, width)
-        codes = np.vstack(ds["codes"].to_numpy())
-        score = np.zeros((len(qs), len(ds)))
+        q, at = u.reshape(len(u), m, width), codes.astype(np.int64)
+        out = np.zeros((len(u), len(codes)))
         for s in range(m):
             table = q[:, s] @ held.value[s].T
-            score += table[:, codes[:, s]]
-        order = np.argsort(-score, axis=1, kind="stable")[:, :keep]  # equal scores in id order
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(qs["_id"].to_numpy(), order.shape[1]),
-                "neighbor_id": ds["_id"].to_numpy()[order].reshape(-1),
-                "similarity": np.take_along_axis(score, order, axis=1).reshape(-1),
-            }
-        )
+            out += table[:, at[:, s]]
+        return out
 
-    return both.groupBy("cell", "_dblk", "_qblk").applyInPandas(kernel, "query_id long, neighbor_id long, similarity double")
+    start = lambda left: P._TopK(left, keep, ("query_id", "neighbor_id"), score)
+    pairs = P.grouped_pairs(queries, data, ["cell"], "u", "codes", block_rows)
+    return pairs.mapInArrow(P._meet(start), "query_id long, neighbor_id long, similarity double")
 
 
 def knn_pq(
