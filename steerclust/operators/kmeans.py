@@ -1,8 +1,8 @@
 """k-means (I1) and growing K.
 
 * ``lloyd``: deterministic Lloyd iterations from caller-given start rows. One Spark job per
-  round: numpy assignment and per-partition partial sums over Arrow batches, combined by a
-  grouped sum; the K×d centre table (size-checked) is the only state on the driver.
+  round over points packed once into blocks: numpy assignment and per-partition partial sums,
+  added in a tree; the K×d centre table (size-checked) is the only state on the driver.
 * ``kmeans_best``: k-means++ starts over all rows, several restarts run side by side in the same
   passes, each until its centres rest; the restart of lowest cost wins.
 * ``kmeans_ml``: Spark ML ``KMeans`` (k-means|| start) over several seeds, best by cost.
@@ -14,9 +14,9 @@ returned centroids are unit-normalized afterwards, as in the reference.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +25,12 @@ from ..functions import vectors as V
 from ..session import cut_lineage
 from .centroids import attach_centroids, merge_partials, remember_size
 
-# Numbers in one block of point-centre differences (32 MB of doubles).
+# Numbers in one block of point-centre scores or differences (32 MB of doubles).
 DIFF_CELLS = 1 << 22
+BLOCK_ROWS = 512  # rows of a packed block
+DIRECT_CELLS = 1 << 18  # numbers of all partitions' sums that the driver adds by itself
+
+POINTS = "rows int, x binary"
 
 
 def _assign(df: DataFrame, cents: DataFrame, vec: str) -> DataFrame:
@@ -44,20 +48,103 @@ def assign_nearest(df: DataFrame, cents: DataFrame, vec: str = "z") -> DataFrame
     return _assign(df.drop("cluster_id") if "cluster_id" in df.columns else df, cents, vec)
 
 
+class Nearest:
+    """Nearest centres by squared Euclidean distance from direct differences; ties → lowest id.
+
+    Centres are scored by a matrix product; where several lie within its rounding error of the
+    best (or a number is not finite), direct differences decide among them."""
+
+    def __init__(self, C: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        _, first = np.unique(C[order], axis=0, return_index=True)
+        order = order[np.sort(first)]  # of equal centres the one of lowest id
+        self.C, self.ids = np.ascontiguousarray(C[order], dtype=np.float64), ids[order]
+        self.sq = np.einsum("kd,kd->k", self.C, self.C)
+        self.slack = 8 * (C.shape[1] + 8) * np.finfo(np.float64).eps
+        self.chunk = max(1, DIFF_CELLS // max(1, len(self.C)))
+
+    def of(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's centre (id) and squared distance."""
+        at, dist = np.empty(len(X), np.int64), np.empty(len(X))
+        for lo in range(0, len(X), self.chunk):
+            x = X[lo : lo + self.chunk]
+            j = self._places(x)
+            diff = x - self.C[j]
+            at[lo : lo + self.chunk] = j
+            dist[lo : lo + self.chunk] = np.einsum("nd,nd->n", diff, diff)
+        return self.ids[at], dist
+
+    def _places(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            score = x @ self.C.T
+            score *= -2.0
+            score += self.sq
+            j = score.argmin(axis=1)
+            limit = score[np.arange(len(x)), j] + self.slack * (np.einsum("nd,nd->n", x, x) + self.sq.max())
+        score[~np.isfinite(limit)] = -np.inf
+        close = score <= np.where(np.isfinite(limit), limit, 0.0)[:, None]
+        many = np.flatnonzero(np.count_nonzero(close, axis=1) > 1)
+        step = max(1, DIFF_CELLS // max(1, self.C.size))
+        for lo in range(0, len(many), step):
+            rows = many[lo : lo + step]
+            r, c = np.nonzero(close[rows])
+            diff = x[rows[r]] - self.C[c]
+            d = np.einsum("nd,nd->n", diff, diff)
+            d = np.where(np.isnan(d), -np.inf, d)  # as argmin takes them
+            order = np.lexsort((c, d, r))
+            j[rows] = c[order][np.searchsorted(r, np.arange(len(rows)))]
+        return j
+
+
 def _np_assign(X: np.ndarray, C: np.ndarray, ids: np.ndarray):
-    """Nearest centre by squared Euclidean distance from direct differences; ties → lowest id."""
-    chunk = max(1, DIFF_CELLS // max(1, C.size))
-    out_k = np.empty(len(X), dtype=np.int64)
-    out_d = np.empty(len(X))
-    order = np.argsort(ids, kind="stable")
-    Cs, ids_s = C[order], ids[order]
-    for s0 in range(0, len(X), chunk):
-        diff = X[s0 : s0 + chunk, None, :] - Cs[None, :, :]
-        d = np.einsum("nkd,nkd->nk", diff, diff)
-        j = np.argmin(d, axis=1)
-        out_k[s0 : s0 + chunk] = ids_s[j]
-        out_d[s0 : s0 + chunk] = d[np.arange(len(j)), j]
-    return out_k, out_d
+    return Nearest(C, ids).of(X)
+
+
+def _vectors(col: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
+
+
+def _pack(batches):
+    """Rows with a vector as blocks (``POINTS``) of up to ``BLOCK_ROWS``."""
+    held, size = [], 0
+    for batch in batches:
+        X = _vectors(batch.column(0)) if batch.num_rows else None
+        for lo in range(0, batch.num_rows, BLOCK_ROWS):
+            part = X[lo : lo + BLOCK_ROWS]
+            if size and size + len(part) > BLOCK_ROWS:
+                yield _block(held, size)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if size:
+        yield _block(held, size)
+
+
+def matrices(blocks: DataFrame) -> RDD:
+    """``POINTS`` rows as matrices, held by the executors for many passes."""
+    return blocks.rdd.map(lambda r: np.frombuffer(r.x, np.float64).reshape(r.rows, -1)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def packed(pts: DataFrame, vec: str = "z") -> RDD:
+    """The vectors as matrices of up to ``BLOCK_ROWS`` rows, dealt evenly to the cores: what the rounds
+    read. They are written once to the shared folder; the caller unpersists them."""
+    cores = max(8, pts.sparkSession.sparkContext.defaultParallelism)
+    return matrices(cut_lineage(pts.select(vec).mapInArrow(_pack, POINTS).repartition(cores)))
+
+
+def _block(held: list[np.ndarray], size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"rows": pa.array([size], pa.int32()), "x": [np.concatenate(held).tobytes()]})
+
+
+def _sums_of(X: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Sum of the rows of each place."""
+    total = np.zeros((k, X.shape[1]))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        places, first = np.unique(at[order], return_index=True)
+        total[places] = np.add.reduceat(X[order], first, axis=0)
+    return total
 
 
 def _centres(cur: DataFrame):
@@ -67,37 +154,53 @@ def _centres(cur: DataFrame):
     return ids, C
 
 
-def _round_sums(pts: DataFrame, ids: np.ndarray, centres: dict[int, np.ndarray], vec: str, dims: dict[int, slice] | None = None) -> DataFrame:
-    """One pass for all restarts in ``centres`` (run → K×d): assign every point, add per partition,
-    then per (run, cluster): ``(run, cluster_id, n, s, cost)``, ``s`` the vector sum. ``dims``: the
-    dimensions a run sees (all, if not given)."""
+def centre_table(spark, ids: np.ndarray, C: np.ndarray) -> DataFrame:
+    """``(cluster_id, mu)`` of centres held by the driver."""
+    if not len(ids):
+        return spark.createDataFrame([], "cluster_id int, mu array<double>")
+    mu = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * C.shape[1], pa.int32()), pa.array(np.ascontiguousarray(C).ravel()))
+    table = pa.table({"cluster_id": pa.array(ids, pa.int32()), "mu": mu})
+    return remember_size(spark.createDataFrame(table, "cluster_id int, mu array<double>"), len(ids), C.shape[1])
+
+
+def _round_sums(
+    points: RDD, ids: np.ndarray, centres: dict[int, np.ndarray], dims: dict[int, slice] | None = None
+) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, float]]:
+    """One pass over ``packed`` points for all restarts in ``centres`` (run → K×d): assign every point and
+    add, per partition and then over all. Of every restart: the places (in ``ids``) of the clusters
+    met, their counts and vector sums, and the cost. ``dims``: the dimensions a run sees (all, if not
+    given)."""
     place = np.argsort(ids, kind="stable")
+    near = {r: Nearest(C, ids) for r, C in centres.items()}
 
-    def run(batches):
-        acc = {r: (np.zeros(len(ids)), np.zeros_like(C), np.zeros(len(ids))) for r, C in centres.items()}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            for r, C in centres.items():
+    def run(blocks):
+        acc = {}
+        for X in blocks:
+            for r, search in near.items():
                 part = X[:, dims[r]] if dims else X
-                k, d = _np_assign(part, C, ids)
+                k, d = search.of(part)
                 at = place[np.searchsorted(ids[place], k)]
-                n, total, cost = acc[r]
-                np.add.at(total, at, part)
-                n += np.bincount(at, minlength=len(ids))
-                cost += np.bincount(at, weights=d, minlength=len(ids))
-        for r, (n, total, cost) in acc.items():
-            met = np.flatnonzero(n)
-            if len(met):
-                yield pd.DataFrame(
-                    {"run": np.int32(r), "cluster_id": ids[met].astype(np.int32), "n": n[met], "s": list(total[met]), "cost": cost[met]}
-                )
-
-    parts = pts.select(vec).mapInPandas(run, schema="run int, cluster_id int, n double, s array<double>, cost double")
-    return parts.groupBy("run", "cluster_id").agg(
-        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.sum("cost").alias("cost")
-    )
+                if r not in acc:
+                    acc[r] = [np.zeros(len(ids)), np.zeros((len(ids), part.shape[1])), 0.0]
+                acc[r][0] += np.bincount(at, minlength=len(ids))
+                acc[r][1] += _sums_of(part, at, len(ids))
+                acc[r][2] += d.sum()
+        yield acc
+
+    def add(a, b):
+        for r, (n, total, cost) in b.items():
+            a[r] = [a[r][0] + n, a[r][1] + total, a[r][2] + cost] if r in a else [n, total, cost]
+        return a
+
+    parts = points.mapPartitions(run)
+    # K×d numbers a partition: a few go to the driver, more are added on the way
+    few = points.getNumPartitions() * sum(C.size for C in centres.values()) <= DIRECT_CELLS
+    acc = parts.fold({}, add) if few else parts.treeReduce(add)
+    found = []
+    for r, (n, total, cost) in sorted(acc.items()):
+        met = np.flatnonzero(n)
+        found.append((r, met, n[met], total[met], float(cost)))
+    return found
 
 
 def lloyd_rounds(
@@ -106,21 +209,23 @@ def lloyd_rounds(
     """Rounds of all restarts together; a restart whose largest centre move is ≤ ``tol`` rests.
     Returns the centres, each restart's cost as of its last pass, and its number of rounds."""
     centres, cost, rounds = dict(centres), dict.fromkeys(centres, float("inf")), dict.fromkeys(centres, 0)
-    place = {int(k): i for i, k in enumerate(ids)}
-    moving = set(centres)
+    moving = set(centres) if len(ids) else set()
+    points = packed(pts, vec) if moving and max_iter > 0 else None
     for _ in range(max_iter):
         if not moving:
             break
         new = {r: centres[r].copy() for r in moving}
         total = dict.fromkeys(moving, 0.0)
-        for row in _round_sums(pts, ids, {r: centres[r] for r in moving}, vec, dims).collect():  # ≤ K rows a restart
-            new[row["run"]][place[row["cluster_id"]]] = np.asarray(row["s"]) / row["n"]
-            total[row["run"]] += row["cost"]
+        for r, met, n, s, spent in _round_sums(points, ids, {r: centres[r] for r in moving}, dims):
+            new[r][met] = s / n[:, None]
+            total[r] = spent
         for r in sorted(moving):
-            moved = float(np.max(np.linalg.norm(new[r] - centres[r], axis=1))) if len(ids) else 0.0
+            moved = float(np.max(np.linalg.norm(new[r] - centres[r], axis=1)))
             centres[r], cost[r], rounds[r] = new[r], total[r], rounds[r] + 1
             if tol >= 0 and moved <= tol:
                 moving.discard(r)
+    if points is not None:
+        points.unpersist()
     return centres, cost, rounds
 
 
@@ -146,11 +251,10 @@ def plus_plus_starts(pts: DataFrame, k: int, restarts: int = 10, seed: int = 42,
 
         def race(batches, held=held, step=step):
             best: dict[int, tuple] = {}
-            for pdf in batches:
-                if len(pdf) == 0:
+            for batch in batches:
+                if batch.num_rows == 0:
                     continue
-                X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-                ids = pdf["item_id"].to_numpy()
+                X, ids = _vectors(batch.column(1)), batch.column(0).to_numpy()
                 for r, C in held.items():
                     dist = _np_assign(X, C, np.arange(len(C)))[1] if len(C) else np.ones(len(X))
                     with np.errstate(divide="ignore"):
@@ -159,9 +263,10 @@ def plus_plus_starts(pts: DataFrame, k: int, restarts: int = 10, seed: int = 42,
                     if np.isfinite(key[at]) and (r not in best or (key[at], ids[at]) < best[r][:2]):
                         best[r] = (float(key[at]), int(ids[at]), X[at].tolist())
             if best:
-                yield pd.DataFrame([(r, *b) for r, b in best.items()], columns=["run", "key", "item_id", vec])
+                named = dict(zip(["run", "key", "item_id", vec], zip(*((r, *b) for r, b in best.items()))))
+                yield pa.RecordBatch.from_pydict(named | {"run": pa.array(named["run"], pa.int32())})
 
-        drawn = pts.select("item_id", vec).mapInPandas(race, f"run int, key double, item_id long, {vec} array<double>")
+        drawn = pts.select(F.col("item_id").cast("long").alias("item_id"), vec).mapInArrow(race, f"run int, key double, item_id long, {vec} array<double>")
         won = drawn.groupBy("run").agg(F.min_by(vec, F.struct("key", "item_id")).alias(vec)).collect()  # one row a restart
         if not won:
             break
@@ -175,14 +280,13 @@ def assign_np(pts: DataFrame, ids: np.ndarray, C: np.ndarray, vec: str = "z") ->
     schema = T.StructType([pts.schema["item_id"], T.StructField("cluster_id", T.IntegerType()), T.StructField("sq_dist", T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            k, dd = _np_assign(X, C, ids)
-            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "cluster_id": k.astype(np.int32), "sq_dist": dd})
+        near = Nearest(C, ids)
+        for batch in batches:
+            if batch.num_rows:
+                k, d = near.of(_vectors(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k, pa.int32()), pa.array(d)], schema.names)
 
-    return pts.select("item_id", vec).mapInPandas(run, schema=schema)
+    return pts.select("item_id", vec).mapInArrow(run, schema=schema)
 
 
 def lloyd(
@@ -196,7 +300,7 @@ def lloyd(
     the largest centre move is ≤ ``tol`` (``tol < 0``: run exactly ``max_iter`` rounds).
 
     Each round is one distributed pass (assignment + per-partition partial sums in numpy over
-    Arrow batches, combined by a grouped sum); only the K×d centre table returns to the driver,
+    packed blocks, added in a tree); only the K×d centre table returns to the driver,
     exactly like Spark ML's k-means. Returns ``(labels(item_id, cluster_id), raw_centroids
     (cluster_id, mu), iterations)``; labels are written once to the shared checkpoint folder."""
     spark = df.sparkSession
@@ -204,8 +308,7 @@ def lloyd(
     ids, C = _centres(start.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("mu").cast("array<double>").alias("mu")))
     centres, _, rounds = lloyd_rounds(pts, ids, {0: C}, max_iter, tol, vec)
     C, it = centres[0], rounds[0]
-    cents = spark.createDataFrame([(int(k), C[i].tolist()) for i, k in enumerate(ids)], "cluster_id int, mu array<double>")
-    cents = remember_size(cents, len(ids), C.shape[1])
+    cents = centre_table(spark, ids, C)
     labels = cut_lineage(assign_np(pts, ids, C, vec).select("item_id", "cluster_id"))
     return labels, cents, it
 
@@ -236,8 +339,10 @@ def kmeans_best(
     ids = np.arange(len(starts[0]))
     centres, _, _ = lloyd_rounds(pts, ids, starts, max_iter, tol, vec)
     cost = dict.fromkeys(centres, 0.0)
-    for row in _round_sums(pts, ids, centres, vec).groupBy("run").agg(F.sum("cost").alias("cost")).collect():
-        cost[row["run"]] = row["cost"]
+    points = packed(pts, vec)
+    for r, _, _, _, spent in _round_sums(points, ids, centres):
+        cost[r] = spent
+    points.unpersist()
     best = min(cost, key=lambda r: (cost[r], r))
     labels = cut_lineage(assign_np(pts, ids, centres[best], vec).select("item_id", "cluster_id"))
     cents = spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(ids, centres[best])], "cluster_id int, mu array<double>")

@@ -13,40 +13,40 @@ epoch reads all batches; a run ends when an epoch moves no centre by more than `
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import checkpoint_dir, cut_lineage
 from . import kmeans as KM
-from .centroids import remember_size
 
 BATCH_MULT, BATCH_MOD = 2654435761, 4294967296
+FILE_ROWS = 1 << 15
 
 
-def _cost(pts: DataFrame, C: np.ndarray, vec: str) -> float:
-    row = KM._round_sums(pts, np.arange(len(C)), {0: C}, vec).agg(F.sum("cost")).first()
-    return float(row[0] or 0.0)
+def _cost(points: RDD, C: np.ndarray) -> float:
+    return sum(cost for *_, cost in KM._round_sums(points, np.arange(len(C)), {0: C}))
 
 
 def _drawn(pts: DataFrame, C: np.ndarray, cost: float, oversample: float, step: int, seed: int, vec: str) -> np.ndarray:
     """Rows drawn in one round, about ``oversample`` of them."""
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            dist = KM._np_assign(X, C, np.arange(len(C)))[1]
-            hit = KM._uniform(pdf["item_id"].to_numpy(), 0, step, seed) < oversample * dist / cost
-            if hit.any():
-                yield pdf.loc[hit, ["item_id", vec]]
-
-    rows = pts.select("item_id", vec).mapInPandas(run, pts.select("item_id", vec).schema).orderBy("item_id").collect()
+        near = KM.Nearest(C, np.arange(len(C)))
+        for batch in batches:
+            if batch.num_rows:
+                dist = near.of(KM._vectors(batch.column(1)))[1]
+                hit = KM._uniform(batch.column(0).to_numpy(), 0, step, seed) < oversample * dist / cost
+                if hit.any():
+                    yield batch.filter(pa.array(hit))
+
+    rows = pts.select("item_id", vec).mapInArrow(run, pts.select("item_id", vec).schema).orderBy("item_id").collect()
     return np.array([r[vec] for r in rows], dtype=np.float64).reshape(len(rows), C.shape[1])
 
 
@@ -84,44 +84,54 @@ def parallel_start(pts: DataFrame, k: int, rounds: int = 5, oversample: float |
     if not first:
         return np.zeros((0, 0))
     oversample = oversample or 2.0 * k
+    points = KM.packed(pts, vec)
     C = np.array([first[0][vec]], dtype=np.float64)
     step = 0
     while step < rounds or len(C) < k:
-        cost = _cost(pts, C, vec)
+        cost = _cost(points, C)
         if cost <= 0 or step >= rounds + 50:
             break
         C = np.vstack([C, _drawn(pts, C, cost, oversample, step, seed, vec)])
         step += 1
     C = np.unique(C, axis=0)
     weight = np.zeros(len(C))
-    for row in KM._round_sums(pts, np.arange(len(C)), {0: C}, vec).select("cluster_id", "n").collect():
-        weight[row["cluster_id"]] = row["n"]
+    for _, met, n, _, _ in KM._round_sums(points, np.arange(len(C)), {0: C}):
+        weight[met] = n
+    points.unpersist()
     return weighted_kmeans(C, weight, k, seed=seed)
 
 
-def dealt(pts: DataFrame, batches: int, vec: str = "z") -> DataFrame:
-    """``pts`` written once with ``batch``, a table partition for each batch."""
+def dealt(pts: DataFrame, batches: int, vec: str = "z", rows: int | None = None) -> DataFrame:
+    """``pts`` written once with ``batch``, a table partition for each batch; of a known number of
+    ``rows`` about ``FILE_ROWS`` go to a file, so that a step opens few files."""
     spark = pts.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
     batch = F.pmod(F.pmod(F.col("item_id") * F.lit(BATCH_MULT), F.lit(BATCH_MOD)) / F.lit(BATCH_MOD) * batches, F.lit(batches))
-    rows = pts.select("item_id", vec, F.floor(batch).cast("int").alias("batch"))
-    rows.write.partitionBy("batch").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = pts.select("item_id", vec, F.floor(batch).cast("int").alias("batch"))
+    spread = table
+    if rows is not None:
+        lots = math.ceil(max(1, rows) / batches / FILE_ROWS)
+        spread = table.repartition(batches * lots, "batch", F.pmod(F.xxhash64("item_id"), F.lit(lots)))
+    spread.write.partitionBy("batch").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def minibatch_rounds(table: DataFrame, C: np.ndarray, batches: int, epochs: int, tol: float = 1e-3, vec: str = "z") -> tuple[np.ndarray, int]:
     """Centres after at most ``epochs`` epochs over ``table`` (of ``dealt``), and the epochs run."""
     ids = np.arange(len(C))
     C, had = C.copy(), np.zeros(len(C))
+    points = [KM.matrices(table.where(F.col("batch") == batch).select(vec).mapInArrow(KM._pack, KM.POINTS)) for batch in range(batches)]
     for epoch in range(epochs):
         before = C.copy()
-        for batch in range(batches):
-            for row in KM._round_sums(table.where(F.col("batch") == batch), ids, {0: C}, vec).collect():  # <= K rows
-                k, n = row["cluster_id"], row["n"]
+        for batch in points:
+            for _, k, n, s, _ in KM._round_sums(batch, ids, {0: C}):
                 had[k] += n
-                C[k] += (np.asarray(row["s"]) - n * C[k]) / had[k]
+                C[k] += (s - n[:, None] * C[k]) / had[k][:, None]
         if tol >= 0 and np.linalg.norm(C - before, axis=1).max(initial=0.0) <= tol:
-            return C, epoch + 1
+            epochs = epoch + 1
+            break
+    for batch in points:
+        batch.unpersist()
     return C, epochs
 
 
@@ -139,10 +149,9 @@ def kmeans_minibatch(
         C = KM._centres(start.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("mu").cast("array<double>").alias("mu")))[1]
     if not len(C):
         return pts.select("item_id", F.lit(None).cast("int").alias("cluster_id")), spark.createDataFrame([], "cluster_id int, mu array<double>"), 0
-    batches = min(max_batches, max(1, round(pts.count() / batch_rows)))
-    C, done = minibatch_rounds(dealt(pts, batches, vec), C, batches, epochs, tol, vec)
+    rows = pts.count()
+    batches = min(max_batches, max(1, round(rows / batch_rows)))
+    C, done = minibatch_rounds(dealt(pts, batches, vec, rows), C, batches, epochs, tol, vec)
     ids = np.arange(len(C))
     labels = cut_lineage(KM.assign_np(pts, ids, C, vec).select("item_id", "cluster_id"))
-    cents = spark.createDataFrame(pd.DataFrame({"cluster_id": ids.astype(np.int32), "mu": [c.tolist() for c in C]}), "cluster_id int, mu array<double>")
-    cents = remember_size(cents, len(ids), C.shape[1])
-    return labels, cents.select("cluster_id", V.l2_normalize("mu", zero="eps").alias("mu")), done
+    return labels, KM.centre_table(spark, ids, C).select("cluster_id", V.l2_normalize("mu", zero="eps").alias("mu")), done

@@ -71,3 +71,24 @@ def test_start_finds_separate_groups_and_few_rows(spark):
     assert len(MB.parallel_start(few, 5)) == 2
     none = few.where(F.lit(False))
     assert MB.kmeans_minibatch(none, 3)[0].count() == 0
+
+
+def test_a_batch_is_read_from_one_file(spark):
+    items = S.items(spark, "/root/testdata/sf0.001").select("item_id", "z").repartition(6)
+    table = MB.dealt(items, 7, rows=items.count())
+    assert len(table.inputFiles()) == 7 and table.count() == items.count()
+
+
+def test_nearest_centres_are_those_of_direct_differences():
+    rng = np.random.default_rng(4)
+    X, C = rng.integers(-1, 2, (400, 5)).astype(float), rng.integers(-1, 2, (60, 5)).astype(float)
+    X[0], X[1, 0], X[2], C[7] = np.nan, np.inf, 1e200, C[3]
+    ids = rng.permutation(60) * 3
+    order = np.argsort(ids)
+    with np.errstate(all="ignore"):
+        direct = np.einsum("nkd,nkd->nk", X[:, None] - C[order], X[:, None] - C[order])
+    near = KM.Nearest(C, ids)
+    near.chunk = 33
+    at, dist = near.of(X)
+    assert (at == ids[order][direct.argmin(axis=1)]).all()
+    assert np.array_equal(dist, direct.min(axis=1), equal_nan=True)
