@@ -579,6 +579,14 @@ def _score(total: int, kinds: int, shards: int, hot: dict, weights: dict):
     return run
 
 
+def _drop(table: DataFrame) -> None:
+    """Delete the files of a table of ``materialize`` that no later job reads."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _by_name(rows, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Names of hot contexts, sorted, and the values beside them."""
     names = np.array([r["name"] for r in rows], np.int64).view(U64)
@@ -612,6 +620,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             for r in words.where("level = 4").collect() for i, t in zip(np.frombuffer(r["first"], "<i8"), np.frombuffer(r["second"], "<i8"))
         ]
         found += [{"name": int(BEGIN), "total": r["total"]} for r in words.where("level = 5").collect() if r["kinds"] >= hot_pairs]
+        _drop(blocks)
+        _drop(words)
         hot, weights, told = {}, {}, None
         for order in ORDERS:
             if order == 3:

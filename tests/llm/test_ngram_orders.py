@@ -1,9 +1,11 @@
 """The n-gram model of order 3 against a direct model, and the levels of its trie."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -75,3 +77,14 @@ def test_trie_levels():
         total[v, u] += n
     want = [(max(have.get((int(v), int(u), int(w)), 0) - 0.75, 0) / max(total[int(v), int(u)], 1)) for (v, u), w in zip(asked[of], words)]
     assert codes.tolist() == lm.quantize(np.array(want)).tolist()
+
+
+def test_blocks_are_kept_once(spark, monkeypatch):
+    """Tables that the numbered blocks replace do not lie beside them in the shared folder."""
+    made, plain = {}, lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, name: made.setdefault(name, plain(df, name)))
+    rows = spark.createDataFrame([(i, f"a b c{i}") for i in range(30)], "doc_id long, text string")
+    assert lm.score_texts(rows, F.expr(HELD)).count() == 30
+    left = {name: {os.path.exists(urlparse(f).path) for f in table.inputFiles()} for name, table in made.items()}
+    assert left["blocks"] == left["words"] == {False}
+    assert left["numbered"] == left["answers2"] == left["answers3"] == left["scores"] == {True}
