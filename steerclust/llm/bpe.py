@@ -169,6 +169,29 @@ def symbols_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 _VALUES = random_words(256, 31)
 
 
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct 64-bit hashes in ascending order, where each comes first, and each element's place
+    among them. Only one element of each hash is sorted, found by a table with a slot per hash; hashes
+    that share a slot take turns."""
+    n = len(names)
+    bits = max(10, n.bit_length() - 2)
+    slot = (names >> U64(64 - bits)).astype(np.int64)
+    table = np.empty(1 << bits, np.int64)
+    leader, todo = np.empty(n, np.int64), np.arange(n)
+    while len(todo):
+        at = slot[todo]
+        table[at[::-1]] = todo[::-1]  # the first of a slot is written last
+        first = table[at]
+        same = names[first] == names[todo]
+        leader[todo[same]] = first[same]
+        todo = todo[~same]
+    firsts = np.flatnonzero(leader == np.arange(n))
+    firsts = firsts[np.argsort(names[firsts])]
+    place = np.empty(n, np.int64)
+    place[firsts] = np.arange(len(firsts))
+    return names[firsts], firsts, place[leader]
+
+
 class Pieces:
     """The pieces of a slice and its distinct pieces."""
 
@@ -182,9 +205,10 @@ class Pieces:
             blank = np.isin(sym[begin] % UNKNOWN, (SPACE, BLANK))
             start, end = start[~blank], end[~blank]
         self.start, self.end = start, end
-        self.doc = np.searchsorted(offs, start, side="right") - 1
+        of = np.searchsorted(start, offs)
+        self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(of))
         name = mix(Rolling(_VALUES[data], BYTE_BASE).of(start, end) + (end - start).astype(U64))
-        self.name, at, self.which = np.unique(name, return_index=True, return_inverse=True)
+        self.name, at, self.which = distinct(name)
         self.first, self.length = start[at], (end - start)[at]
 
 

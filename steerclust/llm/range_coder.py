@@ -38,52 +38,80 @@ TOTAL_BITS = 20
 CASED = ("\u0130", "\u03a3")  # lower case of these depends on the library's rules: it gets such texts unchanged
 _NONE = np.uint32((1 << TOTAL_BITS) - 1)
 _LOW, _W32 = U64(0xFFFFFFFF), U64(32)
+# change of a slot by 2 * confidence + (its prediction was right): the confidence goes up to 3 or down to 0
+_CONFIDENCE = np.array([0, 1, -1, 1, -1, 1, -1, 0]).astype(np.uint32) << np.uint32(TOTAL_BITS)
 
 
 class Mixer:
-    """The adaptive model of all blocks (lanes) of a segment."""
+    """The adaptive model of all blocks (lanes) of a segment. Arrays of two rows hold order 2 first,
+    then order 1, so that one numpy operation does both."""
 
     def __init__(self, lanes: int):
-        self.one = np.full(lanes << SLOT_BITS, _NONE, np.uint32)
-        self.two = self.one.copy()
-        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
-        self.ways = np.arange(lanes, dtype=np.int64) << 5
+        self.table = np.full(2 * lanes << SLOT_BITS, _NONE, np.uint32)
+        self.base = (np.arange(2 * lanes, dtype=np.int64) << SLOT_BITS).reshape(2, lanes)
+        self.ways = (np.arange(2 * lanes, dtype=np.int64) << 5).reshape(2, lanes)
         # per way: probability of the order-2 prediction, and of the order-1 prediction if not
-        self.p2 = np.repeat(np.array([[2000, 8000, 26000, 52000]], np.int64), 8).reshape(4, 8)
-        self.p2 = np.tile(self.p2.ravel(), lanes)
-        self.p1 = np.tile(np.tile(np.repeat(np.array([2000, 8000, 26000, 45000], np.int64), 2), 4), lanes)
-        self.prev1 = np.zeros(lanes, np.uint32)
-        self.prev2 = np.zeros(lanes, np.uint32)
+        p2 = np.repeat(np.array([2000, 8000, 26000, 52000], np.int64), 8)
+        p1 = np.tile(np.repeat(np.array([2000, 8000, 26000, 45000], np.int64), 2), 4)
+        self.p = np.concatenate([np.tile(p2, lanes), np.tile(p1, lanes)])
+        # multiples of the previous id, of the one before it, and what the latter is next
+        self.prev1, self.prev2, self.prev = (np.zeros(lanes, np.uint32) for _ in range(3))
 
     def predict(self, n: int):
-        """Predicted ids of both orders and their weights out of 2**16, for the first n lanes."""
-        shift = np.uint32(32 - SLOT_BITS)
-        h = self.prev1[:n] * np.uint32(2654435761)
-        self.a1 = self.base[:n] + (h >> shift)
-        self.a2 = self.base[:n] + ((h * np.uint32(5) + self.prev2[:n] * np.uint32(2246822519)) >> shift)
-        self.e1, self.e2 = self.one.take(self.a1), self.two.take(self.a2)
-        x1, x2 = self.e1 & _NONE, self.e2 & _NONE
-        self.c1, self.c2 = self.e1 >> np.uint32(TOTAL_BITS), self.e2 >> np.uint32(TOTAL_BITS)
-        self.way = self.ways[:n] + ((self.c2 << np.uint32(3)) | (self.c1 << np.uint32(1)) | (x1 == x2))
-        self.w2 = self.p2.take(self.way)
-        self.q = self.p1.take(self.way)
-        w1 = 1 + ((65534 - self.w2) * np.minimum(self.q, 60000) >> 16)  # neither order 1 nor order 0 is ever impossible
-        return x2, x1, self.w2.astype(U64), w1.astype(U64)
-
-    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, own1: np.ndarray) -> None:
-        """``hit2``, ``hit1``: what was coded; ``own1``: the order-1 prediction was right by itself."""
-        self.p2[self.way] = self.w2 + np.where(hit2, (65536 - self.w2) >> 5, -(self.w2 >> 5))
-        self.p1[self.way] = self.q + np.where(hit2, 0, np.where(hit1, (65536 - self.q) >> 5, -(self.q >> 5)))
-        up = np.uint32(1 << TOTAL_BITS)
-        for table, at, entry, conf, ok in ((self.two, self.a2, self.e2, self.c2, hit2), (self.one, self.a1, self.e1, self.c1, own1)):
-            table[at] = np.where(ok, entry + np.where(conf < 3, up, np.uint32(0)), np.where(conf > 0, entry - up, x))
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = x
+        """Predicted ids of both orders, the weight of the first out of 2**16 and the sum of both
+        weights, for the first n lanes."""
+        h = np.empty((2, n), np.uint32)
+        np.multiply(self.prev1[:n], np.uint32(5), out=h[0])
+        h[0] += self.prev2[:n]
+        h[1] = self.prev1[:n]
+        h >>= np.uint32(32 - SLOT_BITS)
+        self.at = self.base[:, :n] + h
+        self.entry = self.table.take(self.at)
+        x = self.entry & _NONE
+        self.conf = self.entry >> np.uint32(TOTAL_BITS)
+        way = self.conf[0] << np.uint32(3)
+        way |= self.conf[1] << np.uint32(1)
+        way |= x[0] == x[1]
+        self.way = self.ways[:, :n] + way
+        self.w = self.p.take(self.way)
+        both = np.minimum(self.w[1], 60000)  # neither order 1 nor order 0 is ever impossible
+        both *= 65534 - self.w[0]
+        both >>= 16
+        both += 1
+        both += self.w[0]
+        return x, self.w[0].view(U64), both.view(U64)
+
+    def update(self, n: int, x: np.ndarray, right: np.ndarray) -> None:
+        """``right``: which orders predicted the ids ``x``; order 1 is asked only where order 2 fails."""
+        hit = right.copy()
+        np.greater(right[1], right[0], out=hit[1])
+        step = hit * 65505
+        step += 31
+        step -= self.w
+        step >>= 5  # up by (65536 - w) >> 5, or down by w >> 5
+        step[1] *= ~right[0]
+        step += self.w
+        self.p[self.way] = step
+        case = self.conf << np.uint32(1)
+        case |= right
+        self.entry += _CONFIDENCE.take(case)
+        np.copyto(self.entry, x, where=case == 0)
+        self.table[self.at] = self.entry
+        self.prev2, self.prev = self.prev, self.prev2
+        np.multiply(x, np.uint32(2246822519), out=self.prev[:n])
+        np.multiply(x, np.uint32(2654435761), out=self.prev1[:n])
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ids, their frequencies (at least 1, summing to 2**20), and each id's place."""
-    known, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() >> 24:  # far above any vocabulary
+        known, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    else:
+        count = np.bincount(ids)
+        known = np.flatnonzero(count)
+        places = np.zeros(len(count), np.uint32)
+        places[known] = np.arange(len(known))
+        place, count = places.take(ids), count[known]
     total = 1 << TOTAL_BITS
     freq = 1 + count * (total - len(known)) // max(len(ids), 1)
     if len(known):
@@ -104,50 +132,50 @@ def encode_blocks(place: np.ndarray, freq: np.ndarray) -> list[bytes]:
     padded = np.zeros(lanes * BLOCK, np.uint32)
     padded[: len(place)] = place
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    out = np.zeros((lanes, BLOCK * 5 // 4 + 8), np.uint32)
-    pos = np.zeros(lanes, np.int64)
+    wide = BLOCK * 5 // 4 + 8
+    out = np.zeros(lanes * wide, np.uint32)
+    row = np.arange(lanes) * wide
+    pos = row.copy()  # the place in ``out`` of a lane's next word
     low, span = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
     model = Mixer(lanes)
 
-    def narrow(at, start, width, bits):
-        """Shrink lanes ``at`` to [start, start + width) of 2**bits, carry, and emit full words."""
-        part = span[at] >> U64(bits)
-        old = low[at]
-        new = old + part * start
-        over = new < old
+    def narrow(low, span, pos, start, width, bits):
+        """Shrink lanes to [start, start + width) of 2**bits, carry, and emit full words."""
+        span >>= U64(bits)
+        up = span * start
+        low += up
+        over = low < up
         if over.any():
-            who = np.arange(lanes)[at][over]
-            word = pos[who] - 1
-            while len(who):
-                out[who, word] += np.uint32(1)
-                more = out[who, word] == 0
-                who, word = who[more], word[more] - 1
-        width = part * width
-        small = width <= _LOW
-        if small.any():
-            who = np.arange(lanes)[at][small]
-            out[who, pos[who]] = (new[small] >> _W32).astype(np.uint32)
-            pos[who] += 1
-            new = np.where(small, new << _W32, new)
-            width = np.where(small, width << _W32, width)
-        low[at], span[at] = new, width
+            word = pos[over] - 1
+            while len(word):
+                out[word] += np.uint32(1)
+                word = word[out[word] == 0] - 1
+        span *= width
+        small = np.flatnonzero(span <= _LOW)
+        if len(small):
+            word, full = pos.take(small), low.take(small)
+            out[word] = full >> _W32
+            pos[small] = word + 1
+            low[small] = full << _W32
+            span[small] = span.take(small) << _W32
 
     for t in range(int(size[0]) if lanes else 0):
         n = lanes if t < size[-1] else lanes - 1
         x = steps[t, :n]
-        x2, x1, w2, w1 = model.predict(n)
-        hit2, own1 = x == x2, x == x1
-        hit1 = own1 & ~hit2
-        start = np.where(hit2, U64(0), np.where(hit1, w2, w2 + w1))
-        width = np.where(hit2, w2, np.where(hit1, w1, U64(65536) - w2 - w1))
-        narrow(slice(0, n), start, width, 16)
-        rest = np.flatnonzero(~(hit2 | hit1))
+        predicted, w2, both = model.predict(n)
+        right = predicted == x
+        start = np.where(right[0], U64(0), np.where(right[1], w2, both))
+        end = np.where(right[0], w2, np.where(right[1], both, U64(65536)))
+        narrow(low[:n], span[:n], pos[:n], start, end - start, 16)
+        rest = np.flatnonzero(~(right[0] | right[1]))
         if len(rest):
-            narrow(rest, cum[x[rest]], freq[x[rest]], TOTAL_BITS)
-        model.update(n, x, hit2, hit1, own1)
-    out[np.arange(lanes), pos] = (low >> _W32).astype(np.uint32)
-    out[np.arange(lanes), pos + 1] = (low & _LOW).astype(np.uint32)
-    return [out[i, : pos[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
+            some, s = (low.take(rest), span.take(rest), pos.take(rest)), x.take(rest)
+            narrow(*some, cum.take(s), freq.take(s), TOTAL_BITS)
+            low[rest], span[rest], pos[rest] = some
+        model.update(n, x, right)
+    out[pos] = low >> _W32
+    out[pos + 1] = low & _LOW
+    return [out[a:b].astype("<u4", copy=False).tobytes() for a, b in zip(row.tolist(), (pos + 2).tolist())]
 
 
 def decode_blocks(blocks: list[bytes], freq: np.ndarray, n: int) -> np.ndarray:
@@ -159,8 +187,8 @@ def decode_blocks(blocks: list[bytes], freq: np.ndarray, n: int) -> np.ndarray:
     data = np.zeros((lanes, wide), np.uint32)
     for i, w in enumerate(words):
         data[i, : len(w)] = w
-    flat, row = data.ravel(), np.arange(lanes) * wide
-    pos = np.full(lanes, 2, np.int64)
+    flat = data.ravel()
+    pos = np.arange(lanes) * wide + 2  # the place in ``flat`` of a lane's next word
     code = (data[:, 0].astype(U64) << _W32 | data[:, 1]) if lanes else np.zeros(0, U64)
     span = np.full(lanes, 2**64 - 1, U64)
     cum = (np.cumsum(freq) - freq).astype(U64)
@@ -169,39 +197,38 @@ def decode_blocks(blocks: list[bytes], freq: np.ndarray, n: int) -> np.ndarray:
     model = Mixer(lanes)
     out = np.zeros((BLOCK, lanes), np.uint32)
 
-    def narrow(at, part, start, width):
-        left = code[at] - part * start
-        width = part * width
-        small = width <= _LOW
-        if small.any():
-            place = pos[at]
-            nxt = flat.take(row[at] + place).astype(U64)
-            left = np.where(small, left << _W32 | nxt, left)
-            width = np.where(small, width << _W32, width)
-            pos[at] = place + small
-        code[at], span[at] = left, width
+    def narrow(code, span, pos, start, width):
+        """``span`` holds the size of one part."""
+        code -= span * start
+        span *= width
+        small = np.flatnonzero(span <= _LOW)
+        if len(small):
+            word = pos.take(small)
+            code[small] = code.take(small) << _W32 | flat.take(word)
+            pos[small] = word + 1
+            span[small] = span.take(small) << _W32
 
     for t in range(int(size[0]) if lanes else 0):
         k = lanes if t < size[-1] else lanes - 1
-        at = slice(0, k)
-        x2, x1, w2, w1 = model.predict(k)
-        part = span[at] >> U64(16)
-        v = np.minimum(code[at] // part, U64(65535))
-        hit2 = v < w2
-        rest = v >= w2 + w1
-        hit1 = ~(hit2 | rest)
-        start = np.where(hit2, U64(0), np.where(hit1, w2, w2 + w1))
-        width = np.where(hit2, w2, np.where(hit1, w1, U64(65536) - w2 - w1))
-        narrow(at, part, start, width)
-        x = np.where(hit2, x2, x1)
+        x_of, w2, both = model.predict(k)
+        left, part = code[:k], span[:k]
+        part >>= U64(16)
+        v = left // part
+        hit2, rest = v < w2, v >= both
+        start = np.where(hit2, U64(0), np.where(rest, both, w2))
+        end = np.where(hit2, w2, np.where(rest, U64(65536), both))
+        narrow(left, part, pos[:k], start, end - start)
+        x = np.where(hit2, x_of[0], x_of[1])
         who = np.flatnonzero(rest)
         if len(who):
-            part = span[who] >> U64(TOTAL_BITS)
-            v = np.minimum(code[who] // part, U64((1 << TOTAL_BITS) - 1))
-            s = owner.take(v.astype(np.int64))
-            narrow(who, part, cum[s], freq[s])
+            some = left, part, place = code.take(who), span.take(who), pos.take(who)
+            part >>= U64(TOTAL_BITS)
+            v = np.minimum(left // part, U64((1 << TOTAL_BITS) - 1))
+            s = owner.take(v.view(np.int64))
+            narrow(left, part, place, cum.take(s), freq.take(s))
+            code[who], span[who], pos[who] = some
             x[who] = s
-        model.update(k, x, hit2, hit1, x == x1)
+        model.update(k, x, x_of == x)
         out[t, :k] = x
     return np.ascontiguousarray(out.T).ravel()[:n] if lanes else np.zeros(0, np.uint32)
 
@@ -218,7 +245,7 @@ def encode_segment(ids: np.ndarray) -> dict:
         "known": known.astype("<u4").tobytes(),
         "freq": freq.astype("<u4").tobytes(),
         "crcs": [zlib.crc32(raw[i : i + BLOCK].tobytes()) for i in range(0, len(raw), BLOCK)],
-        "blocks": encode_blocks(place.astype(np.uint32), freq),
+        "blocks": encode_blocks(place.astype(np.uint32, copy=False), freq),
     }
 
 
@@ -243,29 +270,43 @@ def _write(path: str, end_id: int):
         bpe = load(path)
         part = segment = 0
         held: list[np.ndarray] = []
-        docs: list[tuple] = []
+        docs: dict[str, list] = {"doc_ids": [], "row_hashes": [], "counts": []}
         size = 0
 
         def close():
             nonlocal held, docs, size, segment
-            row = {"part": part, "segment": segment, "doc_ids": [d[0] for d in docs], "row_hashes": [d[1] for d in docs], "counts": [d[2] for d in docs]}
-            row |= encode_segment(np.concatenate(held))
-            held, docs, size, segment = [], [], 0, segment + 1
+            row = {"part": part, "segment": segment} | docs | encode_segment(np.concatenate(held))
+            held, docs, size, segment = [], {name: [] for name in docs}, 0, segment + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for piece in text_slices(batches, "text"):
             flat, n = encode(bpe, normalize(piece.column("text"), bpe), gaps=True, aside=CASED)
-            for i, (ids, p) in enumerate(zip(np.split(flat, np.cumsum(n)[:-1]), piece.column("part").to_pylist())):
-                if p != part:
-                    if docs:
+            n = n + 1  # with the end id
+            ends = np.cumsum(n)
+            marked = np.full(int(ends[-1]), end_id, np.uint32)
+            inside = np.ones(len(marked), bool)
+            inside[ends - 1] = False
+            marked[inside] = flat
+            parts, hashes = (piece.column(c).to_numpy() for c in ("part", "row_hash"))
+            doc_ids = np.array(piece.column("doc_id").to_pylist(), object)  # None: no id
+            lo = 0
+            while lo < len(n):
+                if parts[lo] != part:
+                    if size:
                         yield close()
-                    part, segment = p, 0
-                held += [ids.astype(np.uint32), np.array([end_id], np.uint32)]
-                docs.append((piece.column("doc_id")[i].as_py(), piece.column("row_hash")[i].as_py(), len(ids) + 1))
-                size += len(ids) + 1
+                    part, segment = int(parts[lo]), 0
+                # up to the next part, or to the document that fills the segment
+                before = int(ends[lo] - n[lo])
+                hi = lo + int(np.searchsorted(parts[lo:], part, side="right"))
+                hi = min(hi, int(np.searchsorted(ends, before + SEGMENT_IDS - size)) + 1)
+                held.append(marked[before : ends[hi - 1]])
+                for name, values in zip(docs, (doc_ids[lo:hi], hashes[lo:hi], n[lo:hi])):
+                    docs[name] += values.tolist()
+                size += int(ends[hi - 1]) - before
                 if size >= SEGMENT_IDS:
                     yield close()
-        if docs:
+                lo = hi
+        if size:
             yield close()
 
     return run
