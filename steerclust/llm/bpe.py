@@ -167,6 +167,7 @@ def symbols_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _VALUES = random_words(256, 31)
+_GAP = np.isin(np.arange(2 * UNKNOWN + 1) % UNKNOWN, (SPACE, BLANK))
 
 
 def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +203,7 @@ class Pieces:
         start = pos[begin]
         end = np.append(start[1:], len(data))
         if gaps:
-            blank = np.isin(sym[begin] % UNKNOWN, (SPACE, BLANK))
+            blank = _GAP[sym[begin]]
             start, end = start[~blank], end[~blank]
         self.start, self.end = start, end
         of = np.searchsorted(start, offs)
@@ -241,6 +242,10 @@ class Bpe:
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self._hash_merges()
+        # merge ranks of two bytes, inside a word and at its end
+        every = np.repeat(self.byte_id, 256)
+        self.inner = self.rank(every, np.tile(self.byte_id, 256))
+        self.outer = self.rank(every, np.tile(self.last_id, 256))
         self._forget()
 
     def _forget(self) -> None:
@@ -288,16 +293,20 @@ class Bpe:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, ``NONE`` where the pair is no merge (or an id is -1)."""
-        key = a << 32 | b
-        out = np.full(len(key), self.NONE, np.int32)
-        todo = np.flatnonzero((a >= 0) & (b >= 0))
-        slot, key = self._slot(key[todo]), key[todo]
+        key = a.astype(np.int64, copy=False) << 32 | b  # negative for an id of -1
+        slot = self._slot(key)
+        have, able = self.keys.take(slot), key >= 0
+        hit = have == key
+        out = np.where(hit & able, self.ranks.take(slot), self.NONE)
+        todo = np.flatnonzero(~hit & able & (have >= 0))
+        slot, key = slot[todo], key[todo]
         while len(todo):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
             have = self.keys[slot]
             hit = have == key
             out[todo[hit]] = self.ranks[slot[hit]]
             go = ~hit & (have >= 0)
-            todo, key, slot = todo[go], key[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+            todo, key, slot = todo[go], key[go], slot[go]
         return out
 
     def merge_words(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,9 +322,13 @@ class Bpe:
                 count[rows] = [len(x) for x in coded]
                 found.append((rows, np.concatenate([np.asarray(x, np.int64) for x in coded])))
                 continue
-            ids = self.byte_id[data[start[rows][:, None] + np.arange(size)]]
-            ids[:, -1] = self.last_id[data[start[rows] + size - 1]]
-            final, n = self._merge(ids)
+            raw = data[start[rows][:, None] + np.arange(size)]
+            ids = self.byte_id[raw].astype(np.int32)
+            ids[:, -1] = self.last_id[raw[:, -1]]
+            two = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+            rank = self.inner[two]
+            rank[:, -1:] = self.outer[two[:, -1:]]
+            final, n = self._merge(ids, rank)
             count[rows] = n
             found.append((rows, final[np.arange(size) < n[:, None]]))
         # the groups' ids, put in order of the pieces
@@ -325,13 +338,12 @@ class Bpe:
             out[ranges(offset[rows], count[rows])] = ids
         return out, count
 
-    def _merge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, size = ids.shape
         final, used = np.empty_like(ids), np.full(rows, size)
         if size == 1:
             return ids, used
         alive = np.arange(rows)
-        rank = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(rows, size - 1)
         place = np.arange(size)
         while len(alive):
             best = rank.argmin(axis=1)
@@ -362,7 +374,10 @@ class Bpe:
 
     def has_special(self, text: str) -> bool:
         """Whether a text holds a special string, or would after normalisation."""
-        if not any(c in text for c in self.special_starts):
+        for c in self.special_starts:
+            if c in text:
+                break
+        else:
             return False
         low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
         return any(s in text or s in low for s in self.specials)

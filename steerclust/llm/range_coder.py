@@ -51,8 +51,8 @@ class Mixer:
         self.base = (np.arange(2 * lanes, dtype=np.int64) << SLOT_BITS).reshape(2, lanes)
         self.ways = (np.arange(2 * lanes, dtype=np.int64) << 5).reshape(2, lanes)
         # per way: probability of the order-2 prediction, and of the order-1 prediction if not
-        p2 = np.repeat(np.array([2000, 8000, 26000, 52000], np.int64), 8)
-        p1 = np.tile(np.repeat(np.array([2000, 8000, 26000, 45000], np.int64), 2), 4)
+        p2 = np.repeat(np.array([2000, 8000, 26000, 52000], np.uint32), 8)
+        p1 = np.tile(np.repeat(np.array([2000, 8000, 26000, 45000], np.uint32), 2), 4)
         self.p = np.concatenate([np.tile(p2, lanes), np.tile(p1, lanes)])
         # multiples of the previous id, of the one before it, and what the latter is next
         self.prev1, self.prev2, self.prev = (np.zeros(lanes, np.uint32) for _ in range(3))
@@ -74,24 +74,24 @@ class Mixer:
         way |= x[0] == x[1]
         self.way = self.ways[:, :n] + way
         self.w = self.p.take(self.way)
-        both = np.minimum(self.w[1], 60000)  # neither order 1 nor order 0 is ever impossible
-        both *= 65534 - self.w[0]
-        both >>= 16
-        both += 1
+        both = np.minimum(self.w[1], np.uint32(60000))  # neither order 1 nor order 0 is ever impossible
+        both *= np.uint32(65534) - self.w[0]
+        both >>= np.uint32(16)
+        both += np.uint32(1)
         both += self.w[0]
-        return x, self.w[0].view(U64), both.view(U64)
+        return x, self.w[0].astype(U64), both.astype(U64)
 
     def update(self, n: int, x: np.ndarray, right: np.ndarray) -> None:
         """``right``: which orders predicted the ids ``x``; order 1 is asked only where order 2 fails."""
         hit = right.copy()
         np.greater(right[1], right[0], out=hit[1])
-        step = hit * 65505
-        step += 31
-        step -= self.w
-        step >>= 5  # up by (65536 - w) >> 5, or down by w >> 5
+        step = hit * np.int32(65505)
+        step += np.int32(31)
+        step -= self.w.view(np.int32)
+        step >>= np.int32(5)  # up by (65536 - w) >> 5, or down by w >> 5
         step[1] *= ~right[0]
-        step += self.w
-        self.p[self.way] = step
+        step += self.w.view(np.int32)
+        self.p[self.way] = step.view(np.uint32)
         case = self.conf << np.uint32(1)
         case |= right
         self.entry += _CONFIDENCE.take(case)
