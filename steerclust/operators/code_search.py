@@ -2,7 +2,9 @@
 
 The index holds codes only. A query builds one table per subspace (its inner products with that
 subspace's code vectors); the approximate score of a row is the sum of the table entries its codes
-name, so a scan reads ``m`` small integers a row. The ``keep`` best rows of each query are then
+name. A scan multiplies a block of queries with the vectors that a block of codes stands for, and
+sums table entries only for the rows that this product, less its rounding error, leaves among the
+best; the outcome is that of the tables alone. The ``keep`` best rows of each query are then
 scored with the exact vectors, and the ``k`` best of them are the result.
 
 Cells are scanned by the grouped kernel of ``pairs`` (blocks on both sides, joined by cell; a cell
@@ -35,16 +37,19 @@ def code_scan(queries: DataFrame, data: DataFrame, book: np.ndarray, keep: int,
     ``book``: ``[subspace, code, dimension]``."""
     held = queries.sparkSession.sparkContext.broadcast(book)
 
-    def score(u: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def decoded(codes: np.ndarray) -> np.ndarray:
+        return held.value[np.arange(codes.shape[1]), codes.astype(np.int64)].reshape(len(codes), -1)
+
+    def exact(u: np.ndarray, codes: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         m, _, width = held.value.shape
-        q, at = u.reshape(len(u), m, width), codes.astype(np.int64)
-        out = np.zeros((len(u), len(codes)))
+        q, at = u.reshape(len(u), m, width), codes[c].astype(np.int64)
+        out = np.zeros(len(r))
         for s in range(m):
             table = q[:, s] @ held.value[s].T
-            out += table[:, at[:, s]]
+            out += table[r, at[:, s]]
         return out
 
-    start = lambda left: P._TopK(left, keep, ("query_id", "neighbor_id"), score)
+    start = lambda left: P._TopK(left, keep, ("query_id", "neighbor_id"), decoded, exact)
     pairs = P.grouped_pairs(queries, data, ["cell"], "u", "codes", block_rows)
     return pairs.mapInArrow(P._meet(start), "query_id long, neighbor_id long, similarity double")
 
